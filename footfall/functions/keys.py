@@ -16,15 +16,10 @@ KEY_DIGITS = 16
 def row_key(cells: Sequence[Column], key_bits: int = 4 * KEY_DIGITS) -> Column:
     """Key of a row given all its cells in file order."""
     parts = [F.concat(F.coalesce(cell, F.lit("")), F.lit(CELL_END)) for cell in cells]
-    return _digest(F.concat(*parts), key_bits)
+    return digest(F.concat(*parts), key_bits)
 
 
-def cells_key(cells: Column, key_bits: int = 4 * KEY_DIGITS) -> Column:
-    """The same key from an array of cells, for rows whose width varies."""
-    return _digest(F.concat(F.array_join(cells, CELL_END), F.lit(CELL_END)), key_bits)
-
-
-def _digest(content: Column, key_bits: int) -> Column:
+def digest(content: Column, key_bits: int) -> Column:
     if key_bits % 4 or not 0 < key_bits <= 256:
         raise ValueError("key_bits must be a multiple of 4, at most 256")
     digest = F.sha2(content, 256)

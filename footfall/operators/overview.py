@@ -17,6 +17,7 @@ from footfall.functions.times import (
     text_day,
 )
 from footfall.operators.visits import human, visits
+from footfall.schema import single_row
 
 # List sizes, the levels of the daily chart, the days a trend needs.
 TOP_PAGES = TOP_REFERRERS = 8
@@ -150,7 +151,8 @@ def daily_series(hits: DataFrame, as_of: Instant, since: Instant | None = None)
         .select(text_day(F.col("text")).alias("day"), "n")
     )
     if start is not None:
-        first = counts.sparkSession.range(1).select(F.lit(start).alias("day"), F.lit(0).cast("long").alias("n"))
+        first = single_row(counts.sparkSession)
+        first = first.select(F.lit(start).alias("day"), F.lit(0).cast("long").alias("n"))
         counts = counts.unionByName(first).groupBy("day").agg(F.sum("n").alias("n"))
     in_range = counts.where(F.col("day").isNotNull() & (F.col("day") <= end))
     next_day = F.lead("day").over(Window.orderBy("day"))

@@ -16,6 +16,7 @@ from footfall.operators.overview import (
     top_pages,
 )
 from footfall.operators.visits import visits
+from footfall.schema import single_row
 
 HEADLINE = ["visitors", "pageviews", "events", "bots", "single_page"]
 
@@ -59,7 +60,14 @@ def _visit_sections(hits: DataFrame, since: Instant | None, max_visit_days: int
         labels.country_or_unknown(F.col("country")).alias("countries"),
         listed.alias("listed"),
     )
-    counted = rows.groupingSets(
+    # Grouping sets over no rows lack the grand total; a visit of nothing provides it.
+    nothing = single_row(rows.sparkSession).select(
+        *[F.lit(0).cast("long").alias(name) for name in ("bot", "page_count", *facts)],
+        F.lit(None).cast("string").alias("referrers"),
+        F.lit(None).cast("string").alias("countries"),
+        F.lit(False).alias("listed"),
+    )
+    counted = rows.unionByName(nothing).groupingSets(
         [["referrers"], ["countries"], []], "referrers", "countries"
     ).agg(
         F.grouping("referrers").alias("no_referrer"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -78,3 +80,14 @@ ENTRY_FIELDS = {
     "browser": "browser",
     "system": "system",
 }
+
+
+def empty(spark: SparkSession, fields: T.StructType) -> DataFrame:
+    """No rows of a schema, known to the optimizer to be empty."""
+    columns = [F.lit(None).cast(field.dataType).alias(field.name) for field in fields]
+    return spark.range(0, 1, 1, 1).select(*columns).where(F.lit(False))
+
+
+def single_row(spark: SparkSession) -> DataFrame:
+    """One row without columns of use, to select literals from."""
+    return spark.range(0, 1, 1, 1)

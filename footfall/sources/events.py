@@ -6,71 +6,53 @@ separate: bots, mixed sessions, unflagged entries, events, empty referrers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions import times
 from footfall.schema import HITS, SYNC_LOG
 
 # What the remainders of the adapter's ids stand for.
-REFERRERS = ["", "Google", "Hacker News", "LinkedIn", "GitHub", "", "newsletter"]
-COUNTRIES = ["", "DE", "US", "GB", "NL", "AT"]
-BROWSERS = ["Chrome 126", "Safari 17.5", "Firefox 127", ""]
-SYSTEMS = ["macOS 14.5", "Windows 11", "Linux"]
-SCHEMES = {"": "o", "Hacker News": "g", "newsletter": "c"}
-
-
-def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
-
-
-def _text(*parts: Column) -> Column:
-    return F.concat(*[part.cast("string") for part in parts])
-
-
-def _rfc3339(clock: Column) -> Column:
-    return F.concat(F.substring(clock, 1, 10), F.lit("T"), F.substring(clock, 12, 8), F.lit("Z"))
+REFERRERS = "array('', 'Google', 'Hacker News', 'LinkedIn', 'GitHub', '', 'newsletter')"
+SCHEMES = "array('o', 'h', 'g', 'h', 'h', 'o', 'c')"
+COUNTRIES = "array('', 'DE', 'US', 'GB', 'NL', 'AT')"
+BROWSERS = "array('Chrome 126', 'Safari 17.5', 'Firefox 127', '')"
+SYSTEMS = "array('macOS 14.5', 'Windows 11', 'Linux')"
+
+CLOCK = "CAST(ts AS STRING)"
+DAY = f"substring({CLOCK}, 1, 10)"
+CREATED_AT = f"concat({DAY}, 'T', substring({CLOCK}, 12, 8), 'Z')"
+IS_PAGE = "event_type IN ('view', 'error')"
+IS_HOME = "(event_type = 'click' AND event_id % 4 = 0)"
+PAGE = f"CASE WHEN {IS_PAGE} THEN concat('/p/', event_id % 12) WHEN {IS_HOME} THEN '/'"
+SITE = "concat('site-', user_id % 3)"
+
+COLUMNS = {
+    "hit_key": "substring(sha2(concat_ws('|', event_id, user_id, event_type, props), 256), 1, 16)",
+    "session": f"concat(user_id, '-', replace({DAY}, '-', ''))",
+    "path": f"{PAGE} ELSE concat('CTA · ', event_type) END",
+    "title": f"{PAGE} ELSE '' END",
+    "is_event": f"CASE WHEN {IS_PAGE} OR {IS_HOME} THEN 0 ELSE 1 END",
+    "browser": f"{BROWSERS}[user_id % 4]",
+    "system": f"{SYSTEMS}[user_id % 3]",
+    "bot": "CASE WHEN user_id % 5 = 0 THEN 1 + user_id % 3 WHEN event_id % 97 = 0 THEN 2L ELSE 0L END",
+    "referrer": f"{REFERRERS}[(event_id + user_id) % 7]",
+    "referrer_scheme": f"{SCHEMES}[(event_id + user_id) % 7]",
+    "screen_size": "'1920,1080,1'",
+    "country": f"{COUNTRIES}[user_id % 6]",
+    "first_visit": "CASE WHEN (event_id * 7 + user_id) % 5 < 3 THEN 1 ELSE 0 END",
+    "created_at": CREATED_AT,
+    "site": SITE,
+}
 
 
 def _project(events: DataFrame) -> DataFrame:
-    event_id, user = F.col("event_id"), F.col("user_id")
-    kind, clock = F.col("event_type"), F.col("ts").cast("string")
-    is_home = (kind == "click") & (event_id % 4 == 0)
-    is_page = kind.isin("view", "error")
-    created_at = _rfc3339(clock)
-    referrer = _pick(REFERRERS, (event_id + user) % 7)
-    scheme = F.lit("h")
-    for source, letter in SCHEMES.items():
-        scheme = F.when(referrer == source, letter).otherwise(scheme)
-    path = (
-        F.when(is_page, _text(F.lit("/p/"), event_id % 12))
-        .when(is_home, F.lit("/"))
-        .otherwise(_text(F.lit("CTA · "), kind))
-    )
-    row = F.concat_ws("|", event_id.cast("string"), user.cast("string"), kind, F.col("props"))
-    day = F.replace(F.substring(clock, 1, 10), F.lit("-"), F.lit(""))
-    return events.select(
-        "props",
-        F.substring(F.sha2(row, 256), 1, 16).alias("hit_key"),
-        _text(user, F.lit("-"), day).alias("session"),
-        path.alias("path"),
-        F.when(is_page | is_home, path).otherwise("").alias("title"),
-        F.when(is_page | is_home, 0).otherwise(1).alias("is_event"),
-        _pick(BROWSERS, user % 4).alias("browser"),
-        _pick(SYSTEMS, user % 3).alias("system"),
-        F.when(user % 5 == 0, 1 + user % 3)
-        .when(event_id % 97 == 0, F.lit(2).cast("long"))
-        .otherwise(F.lit(0).cast("long"))
-        .alias("bot"),
-        referrer.alias("referrer"),
-        scheme.alias("referrer_scheme"),
-        F.lit("1920,1080,1").alias("screen_size"),
-        _pick(COUNTRIES, user % 6).alias("country"),
-        F.when((event_id * 7 + user) % 5 < 3, 1).otherwise(0).alias("first_visit"),
-        created_at.alias("created_at"),
-        _text(F.lit("site-"), user % 3).alias("site"),
-        times.to_instant(created_at).alias("ts"),
-        times.text_day(created_at).alias("event_date"),
+    hits = events.selectExpr("props", *[f"{rule} AS {name}" for name, rule in COLUMNS.items()])
+    return hits.withColumns(
+        {
+            "ts": times.to_instant(F.col("created_at")),
+            "event_date": times.text_day(F.col("created_at")),
+        }
     )
 
 
@@ -110,26 +92,22 @@ def load_export_cells(spark: SparkSession, folder: str) -> DataFrame:
 def load_sites(spark: SparkSession, folder: str) -> DataFrame:
     """One configured site per region; the last one holds sample data."""
     region = spark.read.parquet(f"{folder}/region.parquet")
-    return region.select(
-        F.concat(F.lit("site-"), "r_regionkey").alias("site"),
-        (F.col("r_regionkey") == 4).alias("is_demo"),
-    )
+    return region.selectExpr("concat('site-', r_regionkey) AS site", "r_regionkey = 4 AS is_demo")
 
 
 def load_sync_log(spark: SparkSession, folder: str) -> DataFrame:
     """One sync per site and day: its highest id, its last event, its row count."""
     events = spark.read.parquet(f"{folder}/events.parquet")
-    clock = F.col("ts").cast("string")
+    calls = events.selectExpr(
+        f"{SITE} AS site", f"replace({DAY}, '-', '') AS day", "event_id", f"{CREATED_AT} AS created_at"
+    )
     return (
-        events.groupBy(
-            _text(F.lit("site-"), F.col("user_id") % 3).alias("site"),
-            F.substring(clock, 1, 10).alias("day"),
-        )
+        calls.groupBy("site", "day")
         .agg(
             F.max("event_id").alias("last_hit_id"),
-            F.max(_rfc3339(clock)).alias("synced_at"),
+            F.max("created_at").alias("synced_at"),
             F.count("*").alias("rows"),
         )
-        .withColumn("seq", F.replace("day", F.lit("-"), F.lit("")).cast("long"))
+        .withColumn("seq", F.col("day").cast("long"))
         .select(*SYNC_LOG.fieldNames())
     )

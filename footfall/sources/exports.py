@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import csv
+import functools
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.functions import keys, times
-from footfall.schema import HITS
+from footfall.schema import HITS, empty
 
 # The format version, the digits that spell it, the columns a file
 # must have, and the header name of each text column of a hit.
@@ -33,8 +36,8 @@ TEXT_COLUMNS = {
 FLAG_COLUMNS = {"is_event": "Event", "bot": "Bot", "first_visit": "FirstVisit"}
 LONG_MAX = 9223372036854775807
 
-# A cell after its comma: quoted with doubled quotes inside, or up to the next comma.
-CELL_PATTERN = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*)'
+# A cell after its comma: quoted, with quotes inside doubled, or up to the next comma.
+CELL_PATTERN = r',(?:"([^"]*+(?:""[^"]*+)*+)"|([^,]*))'
 
 
 class ExportError(ValueError):
@@ -77,7 +80,7 @@ class Header:
         if name not in self.names:
             return F.lit("")
         last = len(self.names) - 1 - self.names[::-1].index(name)
-        return F.coalesce(self.cells[last], F.lit(""))
+        return F.coalesce(F.col(f"c{last}"), F.lit(""))
 
 
 def read_export(
@@ -100,11 +103,16 @@ def read_export(
     paths = [paths] if isinstance(paths, str) else list(paths)
     if key_mode not in ("cells", "canonical"):
         raise ValueError(f"unknown key_mode {key_mode!r}")
-    hits = spark.createDataFrame([], HITS)
-    for parsed, files in _files_by_header(spark, paths, header):
-        cells = _read_cells(spark, files, parsed, header, multi_line)
-        hits = hits.unionByName(_to_hits(cells, parsed, site, key_mode, key_bits))
-    return hits
+    hits = [
+        _to_hits(_read_cells(spark, files, parsed, header, multi_line), parsed, site, key_mode, key_bits)
+        for parsed, files in _files_by_header(spark, paths, header)
+    ]
+    return functools.reduce(DataFrame.unionByName, hits) if hits else empty(spark, HITS)
+
+
+def literal_path(path: str) -> str:
+    """A file name as a path that is not taken for a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
 def _files_by_header(
@@ -127,7 +135,7 @@ def _files_by_header(
     # The reader needs the file names of each header; the listing holds them anyway.
     files: dict[str, list[str]] = {line: [] for line in parsed}
     for row in lines.collect():
-        files[row.line.rstrip("\r")].append(row.file)
+        files[row.line.rstrip("\r")].append(literal_path(unquote(row.file)))
     return [(parsed[line], files[line]) for line in sorted(files)]
 
 
@@ -150,19 +158,17 @@ def _read_cells(
         .csv(files)
     )
     # A line break inside a cell is a single line feed, however the file writes it.
-    unified = [F.replace(F.col(f"`{name}`"), F.lit("\r\n"), F.lit("\n")) for name in raw.columns]
-    return raw.select(*[cell.alias(f"c{i}") for i, cell in enumerate(unified[:-1])], unified[-1].alias("ragged"))
+    targets = [*(f"c{position}" for position in range(len(parsed.names))), "ragged"]
+    return raw.selectExpr(
+        *[f"replace(`{name}`, '\\r\\n', '\\n') AS {target}" for name, target in zip(raw.columns, targets)]
+    )
 
 
 def _present_cells(record: Column) -> Column:
-    """The cells a record really has; a short row has fewer than the header names."""
-    found = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(CELL_PATTERN), F.lit(1))
-
-    def unquote(cell: Column) -> Column:
-        inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
-        return F.when(cell.startswith('"'), inner).otherwise(cell)
-
-    return F.transform(found, unquote)
+    """The keyed content of the cells a record really has, from its text; a short row
+    has fewer than the header names, and an absent cell is not an empty one."""
+    ended = F.regexp_replace(F.concat(F.lit(","), record), CELL_PATTERN, "$1$2" + keys.CELL_END)
+    return F.replace(ended, F.lit('""'), F.lit('"'))
 
 
 def _to_hits(cells: DataFrame, header: Header, site: str, key_mode: str, key_bits: int) -> DataFrame:
@@ -177,7 +183,7 @@ def _to_hits(cells: DataFrame, header: Header, site: str, key_mode: str, key_bit
         key = (
             F.when(ragged.isNull(), keys.row_key(header.cells, key_bits))
             .when(quotes % 2 == 1, F.raise_error(F.concat(F.lit("unclosed quote in export row: "), ragged)))
-            .otherwise(keys.cells_key(_present_cells(ragged), key_bits))
+            .otherwise(keys.digest(_present_cells(ragged), key_bits))
         )
     is_event = (flag["is_event"] == "1") | (F.lower(flag["is_event"]) == "true")
     return cells.select(

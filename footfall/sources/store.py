@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.functions.times import Instant, instant_text
-from footfall.schema import HITS, SYNC_LOG
+from footfall.schema import HITS, SYNC_LOG, empty, single_row
 from footfall.sources.exports import read_export
 
 # A hit is stored once per site.
@@ -93,10 +93,11 @@ class Store:
         if seq is None:
             calls = self.sync_log(spark).where(F.col("site") == site)
             seq = (calls.agg(F.max("seq").alias("seq")).first().seq or 0) + 1
-        entry = spark.createDataFrame(
-            [(site, seq, last_hit_id, instant_text(synced_at), rows)], SYNC_LOG
+        values = (site, seq, last_hit_id, instant_text(synced_at), rows)
+        entry = single_row(spark).select(
+            *[F.lit(value).cast(field.dataType).alias(field.name) for value, field in zip(values, SYNC_LOG)]
         )
-        entry.coalesce(1).write.mode("append").parquet(self.log_path)
+        entry.write.mode("append").parquet(self.log_path)
 
     def sync(
         self,
@@ -117,7 +118,7 @@ class Store:
         """Start over with these hits instead of merging into what is stored."""
         fresh = hits.select(*HITS.fieldNames()).dropDuplicates(HIT_ID)
         _write_hits(fresh, self.hits_path, "overwrite")
-        spark.createDataFrame([], SYNC_LOG).write.mode("overwrite").parquet(self.log_path)
+        empty(spark, SYNC_LOG).write.mode("overwrite").parquet(self.log_path)
 
 
 def _write_hits(hits: DataFrame, path: str, mode: str) -> None:
@@ -151,4 +152,4 @@ def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> Data
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall.functions.times import Instant
+from footfall.sources.exports import literal_path
 from footfall.sources.store import Store
 
 # The schema the binary file source has; naming it lets the stream start on an empty folder.
@@ -40,7 +41,7 @@ def ingest_landing(
 
     def sync_files(batch: DataFrame, batch_id: int) -> None:
         # At most files_per_batch names.
-        names = [row.path for row in batch.collect()]
+        names = [literal_path(row.path) for row in batch.collect()]
         if names:
             store.sync(batch.sparkSession, names, site, clock(), seq=batch_id, **export_options)
 

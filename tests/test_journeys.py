@@ -1,0 +1,48 @@
+import random
+
+import pytest
+from conftest import rows
+
+from footfall.operators import journeys as j
+
+
+def test_steps_in_order_ties_by_key(make_hits):
+    at = "2026-07-20T10:00:00Z"
+    hits = make_hits(
+        {"hit_key": "b", "session": "a", "path": "/second", "created_at": at, "title": None},
+        {"hit_key": "a", "session": "a", "path": "/first", "created_at": at, "title": "First"},
+        {"hit_key": "0", "session": "a", "path": "sign up", "created_at": "2026-07-20T10:00:01Z", "is_event": 1},
+        {"hit_key": "c", "session": "other", "path": "/x", "created_at": at},
+    )
+    assert rows(j.journey(hits, "a")) == [
+        ("/first", "First", 0, at),
+        ("/second", "", 0, at),
+        ("sign up", "", 1, "2026-07-20T10:00:01Z"),
+    ]
+    positions = rows(j.journeys(hits).orderBy("session", "position"), "session", "position", "path")
+    assert positions == [("a", 1, "/first"), ("a", 2, "/second"), ("a", 3, "sign up"), ("other", 1, "/x")]
+
+
+@pytest.mark.parametrize("heavy_sessions", [1, 2, 100])
+def test_pieces_give_the_same_positions(make_hits, heavy_sessions):
+    """One session holds most hits, on several days, many in the same second."""
+    rng = random.Random(7)
+    data = []
+    for number in range(900):
+        session = "hot" if number % 3 else f"s{number % 20}"
+        moment = f"2026-07-{rng.choice([19, 20, 21])}T10:00:{rng.choice(['00', '00', '07'])}Z"
+        if number == 5:
+            moment = "soon"
+        data.append({"session": session, "path": f"/{number}", "created_at": moment, "title": str(number)})
+    hits = make_hits(*data)
+    by_session = {}
+    for session, at, key in rows(hits, "session", "created_at", "hit_key"):
+        by_session.setdefault(session, []).append((at, key))
+    expected = {
+        (session, key): position
+        for session, steps in by_session.items()
+        for position, (_, key) in enumerate(sorted(steps), 1)
+    }
+    split = j.journeys(hits, heavy_hits=10, heavy_sessions=heavy_sessions)
+    assert {(s, k): p for s, k, p in rows(split, "session", "hit_key", "position")} == expected
+    assert split.count() == len(data)

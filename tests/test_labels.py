@@ -1,0 +1,108 @@
+import pytest
+
+from pyspark.sql import functions as F
+
+from footfall.functions import labels, times
+
+NOW = "2026-07-25T12:00:00Z"
+
+
+@pytest.fixture
+def label(spark):
+    def apply(function, value, *args, type_="string"):
+        column = F.lit(value).cast(type_)
+        return spark.range(1).select(function(column, *args)).first()[0]
+
+    return apply
+
+
+@pytest.mark.parametrize(
+    "seconds, text",
+    [(None, "—"), (0, "0s"), (59, "59s"), (60, "1m00s"), (134, "2m14s"), (3599, "59m59s"), (3600, "1h00m"), (86399, "23h59m"), (90061, "25h01m")],
+)
+def test_duration(label, seconds, text):
+    assert label(labels.duration_label, seconds, type_="long") == text
+
+
+@pytest.mark.parametrize(
+    "value, three_way, two_way",
+    [(None, "?", "direct"), ("", "direct", "direct"), (" \t", "direct", " \t"), ("Google", "Google", "Google")],
+)
+def test_unknown_and_direct(label, value, three_way, two_way):
+    assert label(labels.source_label, value) == three_way
+    assert label(labels.referrer_or_direct, value) == two_way
+
+
+@pytest.mark.parametrize("value, text", [(None, "??"), ("", "??"), ("DE", "DE")])
+def test_country(label, value, text):
+    assert label(labels.country_or_unknown, value) == text
+
+
+@pytest.mark.parametrize(
+    "value, text",
+    [("Chrome 126", "Chrome"), ("Samsung Internet 20", "Samsung"), ("Lynx", "Lynx"), (" 1", " 1"), ("", ""), (None, None)],
+)
+def test_browser(label, value, text):
+    assert label(labels.browser_family, value) == text
+
+
+@pytest.mark.parametrize(
+    "moment, text",
+    [
+        ("2026-07-25T11:59:30Z", "moments"),
+        ("2026-07-25T12:00:30Z", "moments"),
+        ("2026-07-25T11:56:00Z", "4m"),
+        ("2026-07-25T09:00:01Z", "2h"),
+        ("2026-07-23T12:00:00Z", "2d"),
+        (None, None),
+    ],
+)
+def test_age(label, moment, text):
+    assert label(labels.age_label, moment, NOW) == text
+
+
+@pytest.mark.parametrize(
+    "moment, text",
+    [
+        ("2026-07-25T09:05:00Z", "09:05"),
+        ("2026-07-24T23:05:00Z", "Fri 23:05"),
+        ("2026-07-18T12:00:01Z", "Sat 12:00"),
+        ("2026-07-18T12:00:00Z", "18 Jul 12:00"),
+        ("2025-07-25T09:05:00Z", "25 Jul 09:05"),
+    ],
+)
+def test_stream_when(label, moment, text):
+    assert label(labels.stream_when, moment, NOW) == text
+
+
+def test_list_when(label):
+    assert label(labels.list_when, "2026-07-25T09:05:00Z") == "07-25 09:05"
+
+
+def test_seconds_or_dash(label):
+    assert label(labels.seconds_or_dash, 0, type_="long") == "0s"
+    assert label(labels.seconds_or_dash, None, type_="long") == "-"
+
+
+def test_labels_do_not_depend_on_the_session_zone(spark, label):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert label(labels.stream_when, "2026-07-24T23:05:00Z", NOW) == "Fri 23:05"
+        assert label(labels.age_label, "2026-07-25T11:56:00Z", NOW) == "4m"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_instants():
+    assert times.instant_text("2026-07-25T12:00:00+02:00") == "2026-07-25T10:00:00Z"
+    assert times.days_before(NOW, 28) == "2026-06-27T12:00:00Z"
+    assert times.cutoff_text(None) == "0000-01-01T00:00:00Z"
+
+
+@pytest.mark.parametrize(
+    "text, day",
+    [("2026-07-25T12:00:00Z", "2026-07-25"), ("2026-7-5T12:00:00Z", None), ("2026-02-30T00:00:00Z", None), ("soon", None), ("", None)],
+)
+def test_text_day(label, text, day):
+    found = label(times.text_day, text)
+    assert (found and found.isoformat()) == day

@@ -1,0 +1,54 @@
+import pytest
+from conftest import rows
+
+from footfall.operators.sites import site_rollup, stalest_site
+from footfall.schema import SYNC_LOG
+
+NOW = "2026-07-25T12:00:00Z"
+LOG = [
+    ("fresh", 1, 10, "2026-07-25T11:56:00Z", 3),
+    ("old", 1, 10, "2026-07-20T12:00:00Z", 3),
+    ("old", 2, 12, "2026-07-23T12:00:00Z", 1),
+    ("demo", 1, 0, "2026-07-01T12:00:00Z", 1),
+]
+
+
+@pytest.fixture
+def rollup(spark, make_hits):
+    def build(*names, log=LOG):
+        sites = spark.createDataFrame([(n, n == "demo") for n in names], "site string, is_demo boolean")
+        hits = make_hits(
+            *[
+                {"session": s, "path": "/", "created_at": "2026-07-20T10:00:00Z", "bot": b, "site": site}
+                for s, b, site in [
+                    ("a", 0, "fresh"), ("b", 0, "fresh"), ("b", 2, "fresh"), ("c", 1, "old"),
+                    ("a", 0, "old"), ("x", 0, "unlisted"),
+                ]
+            ]
+        )
+        return site_rollup(sites, hits, spark.createDataFrame(log, SYNC_LOG), NOW)
+
+    return build
+
+
+def test_rollup(rollup):
+    found = rows(rollup("fresh", "old", "never", "demo").orderBy("site"))
+    assert found == [
+        ("demo", True, 0, 0, 0, "2026-07-01T12:00:00Z", 1, "demo data"),
+        ("fresh", False, 1, 2, 1, "2026-07-25T11:56:00Z", 3, "4m ago"),
+        ("never", False, 0, 0, 0, None, 0, "never synced"),
+        ("old", False, 1, 1, 1, "2026-07-23T12:00:00Z", 4, "2d ago"),
+    ]
+
+
+@pytest.mark.parametrize(
+    "names, expected",
+    [
+        (("fresh", "old", "never", "demo"), [("never",)]),
+        (("fresh", "old", "demo"), [("old",)]),
+        (("demo",), []),
+        ((), []),
+    ],
+)
+def test_stalest(rollup, names, expected):
+    assert rows(stalest_site(rollup(*names)), "site") == expected
