@@ -62,6 +62,12 @@ def text_day(text: Column) -> Column:
     return F.when(parsed.cast("string") == day, parsed)
 
 
+def day_of(hits: DataFrame) -> Column:
+    """The day of each hit: the stored column where there is one, so that counting by
+    day does not read the text."""
+    return F.col("event_date") if "event_date" in hits.columns else text_day(F.col("created_at"))
+
+
 def since_filter(hits: DataFrame, since: Instant | None) -> DataFrame:
     """Hits at or after a cutoff. The text predicate decides; the day predicate it
     implies lets a table partitioned by ``event_date`` skip whole days."""

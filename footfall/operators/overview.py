@@ -11,10 +11,10 @@ from footfall.functions import labels
 from footfall.functions.times import (
     Instant,
     cutoff_text,
+    day_of,
     day_text,
     drop_settled_days,
     since_filter,
-    text_day,
 )
 from footfall.operators.visits import human, visits
 from footfall.schema import single_row
@@ -142,21 +142,18 @@ def daily_series(hits: DataFrame, as_of: Instant, since: Instant | None = None)
     to the next one, so the hits are read once. That window has no partitions on
     purpose: it runs over the counts, at most one row per calendar day.
     """
-    start = None if since is None else dt.date.fromisoformat(day_text(since))
     end = F.lit(dt.date.fromisoformat(day_text(as_of)))
-    counts = (
-        human(since_filter(hits, start))
-        .groupBy(F.substring("created_at", 1, 10).alias("text"))
-        .agg(F.count_if(F.col("is_event") == 0).alias("n"))
-        .select(text_day(F.col("text")).alias("day"), "n")
-    )
-    if start is not None:
-        first = single_row(counts.sparkSession)
-        first = first.select(F.lit(start).alias("day"), F.lit(0).cast("long").alias("n"))
-        counts = counts.unionByName(first).groupBy("day").agg(F.sum("n").alias("n"))
-    in_range = counts.where(F.col("day").isNotNull() & (F.col("day") <= end))
+    days = human(hits).withColumn("day", day_of(hits)).where(F.col("day") <= end)
+    pages = F.count_if(F.col("is_event") == 0).alias("n")
+    if since is None:
+        counts = days.groupBy("day").agg(pages)
+    else:
+        start = F.lit(dt.date.fromisoformat(day_text(since)))
+        first = single_row(hits.sparkSession).select(start.alias("day"), F.lit(0).cast("long").alias("n"))
+        counted = days.where(F.col("day") >= start).groupBy("day").agg(pages)
+        counts = counted.unionByName(first.where(start <= end)).groupBy("day").agg(F.sum("n").alias("n"))
     next_day = F.lead("day").over(Window.orderBy("day"))
-    filled = in_range.withColumn("until", F.coalesce(F.date_sub(next_day, 1), end)).select(
+    filled = counts.withColumn("until", F.coalesce(F.date_sub(next_day, 1), end)).select(
         F.col("day").alias("counted"), "n", F.explode(F.sequence("day", "until")).alias("day")
     )
     n = F.when(F.col("day") == F.col("counted"), F.col("n")).otherwise(F.lit(0).cast("long"))

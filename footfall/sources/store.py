@@ -55,9 +55,11 @@ class Store:
         """Append the hits whose key is not stored yet; the rest is ignored.
 
         The key covers the date, so a stored copy of a hit lies on the same day:
-        only the batch's days are compared. The batch is kept for the three passes
-        over it and is recomputed from its source where an executor is lost. A
-        repeated call after a failure finds what was written and adds the rest.
+        only the batch's days are compared, and stored keys are first narrowed to
+        those of the batch, which Spark broadcasts when its size allows and shuffles
+        when not. The batch is kept for the passes over it and is recomputed from its
+        source where an executor is lost. A repeated call after a failure finds what
+        was written and adds the rest.
         """
         spark = batch.sparkSession
         batch = batch.select(*HITS.fieldNames()).persist()
@@ -74,7 +76,9 @@ class Store:
             known = before.count()
             fresh = batch.dropDuplicates(HIT_ID)
             if known:
-                fresh = fresh.join(before.select(*HIT_ID), HIT_ID, "left_anti")
+                offered = batch.select(*HIT_ID).distinct()
+                stored = before.select(*HIT_ID).join(offered, HIT_ID, "left_semi")
+                fresh = fresh.join(stored, HIT_ID, "left_anti")
             _write_hits(fresh, self.hits_path, "append")
             return Inserted(shape.rows, _on_days(self.hits(spark), shape).count() - known)
         finally:
