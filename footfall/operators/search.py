@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footfall.functions.times import Instant, cutoff_text, drop_settled_days
 from footfall.operators.visits import RECENT_COLUMNS, RECENT_LIMIT, human, newest, visits
 
 # Visit fields a reader sees on the row.
@@ -40,19 +41,33 @@ def _matches(hits: DataFrame, query: str, entry: Sequence[str] = ROW_FIELDS) ->
 
 
 def search_visits(
-    hits: DataFrame, query: str = "", include_bots: bool = False, limit: int | None = RECENT_LIMIT
+    hits: DataFrame,
+    query: str = "",
+    include_bots: bool = False,
+    limit: int | None = RECENT_LIMIT,
+    since: Instant | None = None,
+    max_visit_days: int | None = None,
 ) -> DataFrame:
-    """Visits matching ``query``, newest first, people only unless bots are asked for."""
-    found = _matches(hits, query, (*ROW_FIELDS, "system"))
+    """Visits matching ``query``, newest first, people only unless bots are asked for.
+
+    The list takes all of history. ``since`` asks only for visits that began after it;
+    where session ids are known to live ``max_visit_days``, older days are not read.
+    """
+    found = _matches(drop_settled_days(hits, since, max_visit_days), query, (*ROW_FIELDS, "system"))
+    found = found.where(F.col("first_seen") >= cutoff_text(since))
     found = found if include_bots else human(found)
     return newest(found, limit).select(*RECENT_COLUMNS, "match_reason")
 
 
 def recent_visits(
-    hits: DataFrame, include_bots: bool = False, limit: int | None = RECENT_LIMIT
+    hits: DataFrame,
+    include_bots: bool = False,
+    limit: int | None = RECENT_LIMIT,
+    since: Instant | None = None,
+    max_visit_days: int | None = None,
 ) -> DataFrame:
     """The newest visits: a search for nothing in particular."""
-    return search_visits(hits, "", include_bots, limit)
+    return search_visits(hits, "", include_bots, limit, since, max_visit_days)
 
 
 def match_reasons(hits: DataFrame, query: str, include_bots: bool = False) -> DataFrame:

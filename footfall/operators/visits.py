@@ -72,10 +72,17 @@ def newest(visit_rows: DataFrame, limit: int | None) -> DataFrame:
     return ordered if limit is None else ordered.limit(limit)
 
 
-def visit_list(hits: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """The printed list of the newest human visits."""
-    rows = visits(hits, entry=("entry_path", "referrer", "country", "browser"))
-    return newest(human(rows), limit).select(
+def visit_list(
+    hits: DataFrame,
+    limit: int = LIST_LIMIT,
+    since: times.Instant | None = None,
+    max_visit_days: int | None = None,
+) -> DataFrame:
+    """The printed list of the newest human visits, optionally of those begun since."""
+    recent = times.drop_settled_days(hits, since, max_visit_days)
+    rows = human(visits(recent, entry=("entry_path", "referrer", "country", "browser")))
+    rows = rows.where(F.col("first_seen") >= times.cutoff_text(since))
+    return newest(rows, limit).select(
         labels.list_when(F.col("first_seen")).alias("when"),
         "country",
         "browser",

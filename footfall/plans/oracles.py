@@ -106,7 +106,7 @@ DIRECT = "coalesce(nullif(referrer, ''), 'direct')"
 COUNTRY = "coalesce(nullif(country, ''), '??')"
 
 HIT_COLUMNS = ", ".join(name for name in HITS.fieldNames() if name not in ("site", "ts", "event_date"))
-STORED_HITS = f"""{HIT_COLUMNS}, created_at::TIMESTAMPTZ AS ts, created_at[:10]::DATE AS event_date"""
+STORED_HITS = f"""{HIT_COLUMNS}, epoch(created_at::TIMESTAMP)::BIGINT AS ts, created_at[:10] AS event_date"""
 
 
 def _on_row(query: str) -> str:
@@ -154,7 +154,7 @@ def _top_visits(label: str, limit: int) -> str:
 
 def _daily(start: str) -> str:
     return f"""
-  SELECT day::DATE AS day, coalesce(c.n, 0) AS n
+  SELECT day::DATE::VARCHAR AS day, coalesce(c.n, 0) AS n
   FROM (SELECT unnest(generate_series({start}, DATE '{AS_OF[:10]}', INTERVAL 1 DAY)) AS day) d
   LEFT JOIN (
     SELECT created_at[:10]::DATE AS counted, count(*) AS n FROM hits
@@ -222,7 +222,7 @@ REPORT = " UNION ALL ".join(
         _report_section("referrers", _top_visits(DIRECT, 8), "n DESC, label"),
         _report_section("countries", _top_visits(COUNTRY, 6), "n DESC, label"),
         _report_section("pages", PAGES, "n DESC, label"),
-        _report_section("daily", f"SELECT day::VARCHAR AS label, n FROM ({DAILY_WEEK})", "label"),
+        _report_section("daily", f"SELECT day AS label, n FROM ({DAILY_WEEK})", "label"),
     ]
 )
 
@@ -320,7 +320,7 @@ hits AS (SELECT * REPLACE (CASE WHEN bot > 0 THEN '/crawl' || path ELSE path END
     "hit_keys": f"{WITH_EXPORT} SELECT hit_key, count(*) AS n FROM export GROUP BY 1",
     "key_drift": "SELECT count(*) AS drifted_keys FROM events WHERE false",
     "insert_new_hits": f"{WITH_HITS} {_batches()}",
-    "replaced_hits": f"""{WITH_HITS} SELECT created_at[:10]::DATE AS event_date, count(DISTINCT hit_key) AS n
+    "replaced_hits": f"""{WITH_HITS} SELECT created_at[:10] AS event_date, count(DISTINCT hit_key) AS n
   FROM hits WHERE created_at >= '{HALF}' GROUP BY 1""",
     "stream_ingest": f"{WITH_EXPORT} SELECT DISTINCT {STORED_HITS}, 'site-0' AS site FROM export",
     "stream_sync_state": f"""{WITH_EXPORT} SELECT 'site-0' AS site, 0::BIGINT AS last_hit_id,

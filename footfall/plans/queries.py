@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.functions import times
 from footfall.functions.labels import source_label
@@ -41,6 +42,25 @@ def _over_hits(operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return run
 
 
+def _plain(frame: DataFrame) -> DataFrame:
+    """Days as text and instants as seconds: types that compare alike in every engine."""
+    columns = {}
+    for field in frame.schema:
+        if isinstance(field.dataType, T.DateType):
+            columns[field.name] = F.col(field.name).cast("string")
+        elif isinstance(field.dataType, T.TimestampType):
+            columns[field.name] = F.unix_seconds(field.name)
+    return frame.withColumns(columns)
+
+
+def _daily_week(hits: DataFrame) -> DataFrame:
+    return _plain(overview.daily_series(hits, AS_OF, WEEK))
+
+
+def _daily_all(hits: DataFrame) -> DataFrame:
+    return _plain(overview.daily_series(hits, AS_OF))
+
+
 def _hidden_bots(hits: DataFrame) -> DataFrame:
     """Bots get paths of their own, so that one search matches bots only."""
     path = F.when(F.col("bot") > 0, F.concat(F.lit("/crawl"), "path")).otherwise(F.col("path"))
@@ -48,7 +68,7 @@ def _hidden_bots(hits: DataFrame) -> DataFrame:
 
 
 def _levels(hits: DataFrame) -> DataFrame:
-    return overview.daily_levels(overview.daily_series(hits, AS_OF))
+    return _plain(overview.daily_levels(overview.daily_series(hits, AS_OF)))
 
 
 def _summary(hits: DataFrame) -> DataFrame:
@@ -101,13 +121,16 @@ def _write_export(cells: DataFrame) -> str:
     return path
 
 
+def _export(spark: SparkSession, folder: str) -> DataFrame:
+    return read_export(spark, _write_export(events.load_export_cells(spark, folder)))
+
+
 def _read_export(spark: SparkSession, folder: str) -> DataFrame:
-    path = _write_export(events.load_export_cells(spark, folder))
-    return read_export(spark, path)
+    return _plain(_export(spark, folder))
 
 
 def _hit_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return _read_export(spark, folder).groupBy("hit_key").agg(F.count("*").alias("n"))
+    return _export(spark, folder).groupBy("hit_key").agg(F.count("*").alias("n"))
 
 
 def _key_drift(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,7 +170,7 @@ def _replaced_hits(spark: SparkSession, folder: str) -> DataFrame:
     store = Store(shared_folder(spark, "store"))
     store.insert(hits)
     store.replace(spark, hits.where(F.col("created_at") >= HALF))
-    return store.hits(spark).groupBy("event_date").agg(F.count("*").alias("n"))
+    return _plain(store.hits(spark).groupBy("event_date").agg(F.count("*").alias("n")))
 
 
 def _stream(spark: SparkSession, folder: str) -> Store:
@@ -163,7 +186,7 @@ def _stream(spark: SparkSession, folder: str) -> Store:
 
 
 def _stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    return _stream(spark, folder).hits(spark)
+    return _plain(_stream(spark, folder).hits(spark))
 
 
 def _stream_state(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,8 +211,8 @@ QUERIES: dict[str, Query] = {
     "top_pages": _over_hits(overview.top_pages, WEEK),
     "top_referrers": _over_hits(overview.top_referrers, WEEK),
     "top_countries": _over_hits(overview.top_countries, WEEK),
-    "daily_series": _over_hits(overview.daily_series, AS_OF, WEEK),
-    "daily_series_all": _over_hits(overview.daily_series, AS_OF),
+    "daily_series": _over_hits(_daily_week),
+    "daily_series_all": _over_hits(_daily_all),
     "daily_levels": _over_hits(_levels),
     "series_summary": _over_hits(_summary),
     "overview_report": _over_hits(report.overview_report, AS_OF, WEEK),

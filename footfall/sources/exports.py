@@ -36,6 +36,9 @@ TEXT_COLUMNS = {
 FLAG_COLUMNS = {"is_event": "Event", "bot": "Bot", "first_visit": "FirstVisit"}
 LONG_MAX = 9223372036854775807
 
+# Up to this many files are asked for their first line one by one.
+FEW_FILES = 32
+
 # A cell after its comma: quoted, with quotes inside doubled, or up to the next comma.
 CELL_PATTERN = r',(?:"([^"]*+(?:""[^"]*+)*+)"|([^,]*))'
 
@@ -94,9 +97,10 @@ def read_export(
 ) -> DataFrame:
     """Hits of all files. Every header is checked before a single row is parsed.
 
-    Finding the headers scans the raw text once; pass the expected ``header`` line
-    to skip that, each file is then held to it while it is read. ``multi_line=False``
-    lets Spark split huge plain files, for exports without line breaks in cells.
+    For a few files that reads their first lines; among many, finding the headers
+    scans the raw text once. Pass the expected ``header`` line to skip that: each file
+    is then held to it while it is read. ``multi_line=False`` lets Spark split huge
+    plain files, for exports without line breaks in cells.
     ``key_mode="canonical"`` keys a hit by its mapped columns in name order, so the
     key survives reordered or widened exports.
     """
@@ -120,23 +124,38 @@ def _files_by_header(
 ) -> list[tuple[Header, list[str]]]:
     if header is not None:
         return [(Header.parse(header), paths)]
-    lines = (
-        spark.read.text(paths)
-        .select("value", F.col("_metadata.file_path").alias("file"), "_metadata.file_block_start")
-        .where((F.col("file_block_start") == 0) & (F.rtrim("value") != ""))
-        .withColumn("row", F.monotonically_increasing_id())
-        .groupBy("file")
-        .agg(F.min_by("value", "row").alias("line"))
+    text = spark.read.text(paths)
+    files = [literal_path(unquote(file)) for file in text.inputFiles()]
+    if len(files) <= FEW_FILES:
+        first_rows = [(file, _lines(spark.read.text(file)).head()) for file in files]
+        found = [(file, row.line) for file, row in first_rows if row]
+        headers = {line: Header.parse(line) for _, line in found}
+    else:
+        by_file = (
+            _lines(text)
+            .withColumn("row", F.monotonically_increasing_id())
+            .groupBy("file")
+            .agg(F.min_by("line", "row").alias("line"))
+        )
+        headers = {row.line: Header.parse(row.line) for row in by_file.select("line").distinct().collect()}
+        # One header is the rule; else the reader needs the files of each, as listed.
+        found = [] if len(headers) == 1 else [(literal_path(unquote(r.file)), r.line) for r in by_file.collect()]
+    if len(headers) == 1:
+        return [(next(iter(headers.values())), paths)]
+    return [(parsed, [file for file, first in found if first == line]) for line, parsed in headers.items()]
+
+
+def _lines(text: DataFrame) -> DataFrame:
+    """Lines that may be a header: of the start of a file and not blank."""
+    return (
+        text.select(
+            F.rtrim("value", F.lit("\r")).alias("line"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+        )
+        .where((F.col("start") == 0) & (F.col("line") != ""))
+        .select("file", "line")
     )
-    found = [row.line.rstrip("\r") for row in lines.select("line").distinct().collect()]
-    parsed = {line: Header.parse(line) for line in found}
-    if len(parsed) == 1:
-        return [(next(iter(parsed.values())), paths)]
-    # The reader needs the file names of each header; the listing holds them anyway.
-    files: dict[str, list[str]] = {line: [] for line in parsed}
-    for row in lines.collect():
-        files[row.line.rstrip("\r")].append(literal_path(unquote(row.file)))
-    return [(parsed[line], files[line]) for line in sorted(files)]
 
 
 def _read_cells(

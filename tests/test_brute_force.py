@@ -1,0 +1,147 @@
+"""Random hits against plain Python written from the definitions."""
+
+import datetime as dt
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from conftest import one, rows
+
+from footfall.operators import insights, overview, search, visits
+
+AS_OF = "2026-07-25T12:00:00Z"
+SINCE = "2026-07-22T12:00:00Z"
+FIELDS = ("entry_path", "referrer", "country", "browser")
+
+
+def random_hits(seed, count=400):
+    rng = random.Random(seed)
+    hits = []
+    for number in range(count):
+        # One session takes a third of the hits.
+        session = "hot" if rng.random() < 0.33 else f"s{rng.randrange(60)}"
+        moment = dt.datetime(2026, 7, rng.choice([18, 19, 20, 22, 23, 25, 26]), rng.randrange(24), rng.randrange(3))
+        hits.append(
+            {
+                "hit_key": f"{rng.getrandbits(64):016x}",
+                "session": session,
+                "path": rng.choice(["/", "/Docs", "/docs/a", "/100%", "CTA"]),
+                "created_at": moment.strftime("%Y-%m-%dT%H:%M:%SZ"),
+                "is_event": int(rng.random() < 0.3),
+                "first_visit": int(rng.random() < 0.3),
+                "bot": rng.choice([0] * 30 + [1, 2, -1]) if session != "hot" else 0,
+                "referrer": rng.choice(["", "Google", "docs.example"]),
+                "country": rng.choice(["", "DE", "US"]),
+                "browser": rng.choice(["Chrome 126", ""]),
+            }
+        )
+    return hits
+
+
+def python_visits(hits):
+    groups = defaultdict(list)
+    for hit in hits:
+        groups[hit["session"]].append(hit)
+    found = {}
+    for session, steps in groups.items():
+        steps.sort(key=lambda h: (h["created_at"], h["hit_key"]))
+        flagged = [h for h in steps if h["first_visit"]]
+        entry = flagged[0] if flagged else None
+        seconds = [dt.datetime.fromisoformat(h["created_at"]).timestamp() for h in steps]
+        found[session] = {
+            "steps": steps,
+            "first_seen": steps[0]["created_at"],
+            "pages": sum(not h["is_event"] for h in steps),
+            "bot": max(h["bot"] for h in steps),
+            "duration": int(max(seconds) - min(seconds)) if len(steps) > 1 else None,
+            **{name: entry and entry["path" if name == "entry_path" else name] for name in FIELDS},
+        }
+    return found
+
+
+@pytest.fixture(params=[1, 2], scope="module")
+def data(request):
+    hits = random_hits(request.param)
+    return hits, python_visits(hits)
+
+
+def test_visits(make_hits, data):
+    hits, expected = data
+    found = rows(
+        visits.visits(make_hits(*hits)),
+        "session", "first_seen", "page_count", "bot", "duration_seconds", *FIELDS,
+    )
+    assert sorted(map(repr, found)) == sorted(
+        repr((s, v["first_seen"], v["pages"], v["bot"], v["duration"], *[v[f] for f in FIELDS]))
+        for s, v in expected.items()
+    )
+
+
+@pytest.mark.parametrize("query", ["docs", "%", "cta", "de", "zzz"])
+def test_search(make_hits, data, query):
+    hits, expected = data
+    matches = []
+    for session, visit in expected.items():
+        if visit["bot"] != 0:
+            continue
+        inside = [h["path"] for h in visit["steps"] if query in h["path"].lower()]
+        if any(visit[f] is not None and query in visit[f].lower() for f in FIELDS):
+            matches.append((session, ""))
+        elif inside:
+            matches.append((session, inside[0]))
+    matches.sort()
+    matches.sort(key=lambda m: expected[m[0]]["first_seen"], reverse=True)
+    assert rows(search.search_visits(make_hits(*hits), query), "session", "match_reason") == matches
+    recent = [m for m in matches if expected[m[0]]["first_seen"] >= SINCE]
+    assert rows(search.search_visits(make_hits(*hits), query, since=SINCE), "session", "match_reason") == recent
+
+
+@pytest.mark.parametrize("since", [None, SINCE])
+def test_headline_and_lists(make_hits, data, since):
+    hits, expected = data
+    cutoff = since or "0000"
+    recent = [h for h in hits if h["created_at"] >= cutoff]
+    people = [h for h in recent if h["bot"] == 0]
+    begun = [v for v in expected.values() if v["bot"] == 0 and v["first_seen"] >= cutoff]
+    frame = make_hits(*hits)
+    assert tuple(one(overview.headline(frame, since))) == (
+        len({h["session"] for h in people}),
+        sum(not h["is_event"] for h in people),
+        sum(h["is_event"] for h in people),
+        len({h["session"] for h in recent if h["bot"] > 0}),
+        sum(v["pages"] == 1 for v in begun),
+    )
+
+    def best(counts, limit):
+        return sorted(counts.items(), key=lambda item: (-item[1], item[0]))[:limit]
+
+    assert rows(overview.top_pages(frame, since)) == best(
+        Counter(h["path"] for h in people if not h["is_event"]), 8
+    )
+    assert rows(overview.top_referrers(frame, since)) == best(Counter(v["referrer"] or "direct" for v in begun), 8)
+    assert rows(overview.top_countries(frame, since)) == best(Counter(v["country"] or "??" for v in begun), 6)
+
+
+@pytest.mark.parametrize("since", [None, SINCE])
+def test_daily_series(make_hits, data, since):
+    hits, _ = data
+    people = [h for h in hits if h["bot"] == 0]
+    day = dt.date.fromisoformat((since or min(h["created_at"] for h in people))[:10])
+    expected = []
+    while day <= dt.date(2026, 7, 25):
+        n = sum(h["created_at"].startswith(str(day)) and not h["is_event"] for h in people)
+        expected.append((day, n))
+        day += dt.timedelta(days=1)
+    assert rows(overview.daily_series(make_hits(*hits), AS_OF, since)) == expected
+    # Without the stored day the text gives the same.
+    assert rows(overview.daily_series(make_hits(*hits).drop("event_date"), AS_OF, since)) == expected
+
+
+def test_reached_from(make_hits, data):
+    hits, expected = data
+    views = Counter()
+    for visit in expected.values():
+        if visit["bot"] == 0:
+            views[visit["referrer"] or "direct"] += sum(h["path"] == "/Docs" for h in visit["steps"])
+    views = {k: n for k, n in views.items() if n}
+    assert dict(rows(insights.reached_from(make_hits(*hits), "/Docs"))) == views

@@ -108,6 +108,19 @@ def test_files_with_different_headers_gzip_and_odd_names(spark, export, write, t
     ]
 
 
+def test_many_files_give_the_same(spark, export, write, tmp_path, monkeypatch):
+    """Beyond a few files the headers come from one scan instead of single looks."""
+    write("2Date,Session,Path\n2026-07-25T11:32:39Z,s2,/other\n", "re ordered%20+[1].csv")
+    write("", "empty.csv")
+    few = sorted(map(repr, rows(read_export(spark, str(tmp_path)))))
+    alike = sorted(map(repr, rows(read_export(spark, export))))
+    monkeypatch.setattr("footfall.sources.exports.FEW_FILES", 0)
+    assert sorted(map(repr, rows(read_export(spark, str(tmp_path))))) == few and len(few) == 4
+    assert sorted(map(repr, rows(read_export(spark, export)))) == alike
+    with pytest.raises(ExportVersionError):
+        read_export(spark, [export, write("3Path,Session,Date\n", "bad.csv")])
+
+
 def test_flags_and_numbers(spark, write):
     cells = [
         ("1", "0", "1"), ("TRUE", "+5", "true"), ("true", "-1", "0"), ("yes", " 5", ""), ("0", "x", "2"),
