@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The text form of an instant and the cutoff that lets everything through.
-TEXT_FORMAT = "%Y-%m-%dT%H:%M:%SZ"
+# The cutoff that lets everything through, and the ranges of the
+# overview with their days.
 ALL_TIME = "0000-01-01T00:00:00Z"
+RANGES = {"7 days": 7, "28 days": 28, "all time": None}
 
 Instant = str | dt.date | dt.datetime
 
@@ -22,7 +23,6 @@ def instant_text(value: Instant) -> str:
         value = dt.datetime.combine(value, dt.time())
     if value.tzinfo is not None:
         value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
-    # strftime does not pad years below 1000 on every platform; isoformat does.
     return value.replace(microsecond=0).isoformat() + "Z"
 
 
@@ -37,6 +37,12 @@ def days_before(as_of: Instant, days: int) -> str:
     return instant_text(moment - dt.timedelta(days=days))
 
 
+def range_start(name: str, as_of: Instant) -> str | None:
+    """The cutoff of a named range."""
+    days = RANGES[name]
+    return None if days is None else days_before(as_of, days)
+
+
 def day_text(value: Instant) -> str:
     return instant_text(value)[:10]
 

@@ -62,30 +62,35 @@ def _number_in_pieces(steps: DataFrame) -> DataFrame:
     sum spans one level only: days of a session, times of a day, key prefixes of
     a time.
     """
-    steps = steps.withColumn("day", F.substring("created_at", 1, 10)).withColumn(
-        "prefix", F.substring("hit_key", 1, 4)
-    )
-    levels = ["session", "day", "created_at", "prefix"]
-    pieces = steps.groupBy(*levels).agg(F.count("*").alias("n"))
+    # Never NULL, so that no join adds a filter of its own and the counts of the
+    # pieces are shuffled once and reused by all three levels.
+    moment, key = F.coalesce("created_at", F.lit("")), F.coalesce("hit_key", F.lit(""))
+    levels = {
+        "session": F.col("session"),
+        "day": F.substring(moment, 1, 10),
+        "moment": moment,
+        "prefix": F.substring(key, 1, 4),
+    }
+    names = list(levels)
+    steps = steps.withColumns(levels)
+    pieces = steps.groupBy(*names).agg(F.count("*").alias("n"))
 
     def before(depth: int) -> DataFrame:
-        group, step = levels[:depth], levels[depth]
+        group, step = names[:depth], names[depth]
         span = Window.partitionBy(*group).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
         counts = pieces.groupBy(*group, step).agg(F.sum("n").alias("n"))
         earlier = F.coalesce(F.sum("n").over(span), F.lit(0).cast("long"))
         return counts.select(*group, step, earlier.alias(f"before_{step}"))
 
+    offset = F.col("before_day") + F.col("before_moment") + F.col("before_prefix")
     offsets = (
         before(3)
-        .join(before(2), levels[:3])
-        .join(before(1), levels[:2])
-        .select(
-            *levels,
-            (F.col("before_day") + F.col("before_created_at") + F.col("before_prefix")).alias("offset"),
-        )
+        .join(before(2), names[:3])
+        .join(before(1), names[:2])
+        .select(*names, offset.alias("offset"))
     )
-    inside = Window.partitionBy(*levels).orderBy("created_at", "hit_key")
+    inside = Window.partitionBy(*names).orderBy("created_at", "hit_key")
     ranked = steps.withColumn("rank", F.row_number().over(inside))
-    return ranked.join(offsets, levels).select(
+    return ranked.join(offsets, names).select(
         *STEP_COLUMNS, (F.col("offset") + F.col("rank")).alias("position")
     )

@@ -6,7 +6,7 @@ and scalar subqueries, where the library uses single aggregations.
 
 from __future__ import annotations
 
-from footfall.plans.queries import ADHOC, AS_OF, HALF, PAGE, SEARCH, WEEK
+from footfall.plans.queries import ADHOC, AS_OF, HALF, MONTH, PAGE, SEARCH, WEEK
 from footfall.schema import HITS
 
 # The adapter of footfall.sources.events.
@@ -266,6 +266,7 @@ hits AS (SELECT * REPLACE (CASE WHEN bot > 0 THEN '/crawl' || path ELSE path END
     (SELECT count(*) FROM hits WHERE bot = 0) AS human_hits,
     (SELECT count(*) FROM sessions WHERE bot > 0) AS bot_visits""",
     "overview_headline": f"{WITH_VISITS} {_headline(WEEK)}",
+    "overview_headline_28_days": f"{WITH_VISITS} {_headline(MONTH)}",
     "overview_headline_all": f"{WITH_VISITS} {_headline('0000-01-01T00:00:00Z')}",
     "top_pages": f"{WITH_HITS} {PAGES}",
     "top_referrers": f"{WITH_VISITS} {_top_visits(DIRECT, 8)}",

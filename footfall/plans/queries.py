@@ -22,7 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Parameters of the queries; the oracles use the same values.
 AS_OF = "2024-01-31T00:00:00Z"
-WEEK = times.days_before(AS_OF, 7)
+WEEK = times.range_start("7 days", AS_OF)
+MONTH = times.range_start("28 days", AS_OF)
 SEARCH = "p/3"
 PAGE = "/p/3"
 HALF = "2024-01-16T00:00:00Z"
@@ -207,6 +208,7 @@ QUERIES: dict[str, Query] = {
     "journeys_in_pieces": _over_hits(journeys.journeys, heavy_hits=3),
     "totals": _over_hits(overview.totals),
     "overview_headline": _over_hits(overview.headline, WEEK),
+    "overview_headline_28_days": _over_hits(overview.headline, MONTH),
     "overview_headline_all": _over_hits(overview.headline),
     "top_pages": _over_hits(overview.top_pages, WEEK),
     "top_referrers": _over_hits(overview.top_referrers, WEEK),

@@ -126,14 +126,15 @@ class Store:
 
 
 def _write_hits(hits: DataFrame, path: str, mode: str) -> None:
-    """Files of even size by day, sorted by visit inside.
+    """Files of even size by day, sorted by site and visit inside, so that a filter on
+    either skips parts of files.
 
     Rebalancing splits a day that holds much of the data over many tasks and packs
     small days together, which hash partitioning by day would not.
     """
     (
         hits.hint("rebalance", "event_date")
-        .sortWithinPartitions("event_date", "session", "created_at")
+        .sortWithinPartitions("event_date", "site", "session", "created_at")
         .write.mode(mode)
         .partitionBy("event_date")
         .parquet(path)

@@ -96,6 +96,11 @@ def test_labels_do_not_depend_on_the_session_zone(spark, label):
 def test_instants():
     assert times.instant_text("2026-07-25T12:00:00+02:00") == "2026-07-25T10:00:00Z"
     assert times.days_before(NOW, 28) == "2026-06-27T12:00:00Z"
+    assert [times.range_start(name, NOW) for name in times.RANGES] == [
+        "2026-07-18T12:00:00Z",
+        "2026-06-27T12:00:00Z",
+        None,
+    ]
     assert times.cutoff_text(None) == "0000-01-01T00:00:00Z"
 
 

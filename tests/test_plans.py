@@ -116,9 +116,12 @@ def test_journeys_drop_the_piecewise_branch_without_heavy_sessions(hits):
 
 
 def test_heavy_sessions_never_meet_the_window_of_light_ones(hits):
-    frame = journeys.journeys(hits, heavy_hits=1)
-    plan = plan_of(frame)
+    frame = journeys.journeys(hits, heavy_hits=3)
+    frame.collect()
+    plan = plan_of(frame).split("== Initial Plan ==")[0]
     assert "BroadcastHashJoin [session" in plan and "LeftAnti" in plan
+    # Sizes, light steps, heavy steps, and the counts of pieces once for all levels.
+    assert plan.count("FileScan") == 4
 
 
 def test_site_rollup_reads_hits_once(spark):
