@@ -22,7 +22,7 @@ HITS = T.StructType(
         _field("system", T.StringType(), "operating system and version"),
         _field("bot", T.LongType(), "0 is a human, above 0 a class of bot"),
         _field("referrer", T.StringType(), "normalised referrer; '' is a direct visit"),
-        _field("referrer_scheme", T.StringType(), "h link, g generated, c campaign, o other"),
+        _field("referrer_scheme", T.StringType(), "how the referrer was given: h = link, g = generated, c = campaign, o = other"),
         _field("screen_size", T.StringType(), "width,height,scale"),
         _field("country", T.StringType(), "ISO 3166-2 code"),
         _field("first_visit", T.IntegerType(), "1 when the tracker marked a visit's first hit"),

@@ -3,17 +3,46 @@
 from __future__ import annotations
 
 import functools
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def build_session(app_name: str = "footfall", master: str | None = None, **conf: str) -> SparkSession:
+# Sizes a task can take on, and the most partitions a shuffle should be cut into:
+# beyond that its blocks get too small to fetch well, and sorts spill instead.
+SHUFFLE_BYTES = 256 * 2**20
+MIN_SHUFFLE_PARTITIONS = 200
+MAX_SHUFFLE_PARTITIONS = 40_000
+SCAN_BYTES = 128 * 2**20
+MAX_SCAN_TASKS = 200_000
+
+
+def size_settings(input_bytes: int) -> dict[str, str]:
+    """Shuffle and scan sizes for jobs over this much data.
+
+    Adaptive execution only ever merges partitions, so a shuffle has to start with
+    enough of them for the largest job; small ones are folded at run time.
+    """
+    wanted = math.ceil(input_bytes / SHUFFLE_BYTES)
+    partitions = min(max(wanted, MIN_SHUFFLE_PARTITIONS), MAX_SHUFFLE_PARTITIONS)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(max(SCAN_BYTES, math.ceil(input_bytes / MAX_SCAN_TASKS))),
+    }
+
+
+def build_session(
+    app_name: str = "footfall",
+    master: str | None = None,
+    input_bytes: int | None = None,
+    **conf: str,
+) -> SparkSession:
     """A session with the settings the library is tuned for.
 
-    Times are text in UTC, so the session zone is pinned. Shuffles start wide and
-    adaptive execution folds them to the data, so no partition count is baked in.
+    Times are text in UTC, so the session zone is pinned. ``input_bytes`` sizes scans
+    and shuffles for the data at hand; settings given by name win.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -23,6 +52,7 @@ def build_session(app_name: str = "footfall", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        **(size_settings(input_bytes) if input_bytes else {}),
         **conf,
     }
     for key, value in settings.items():

@@ -56,15 +56,20 @@ class Store:
 
         The key covers the date, so a stored copy of a hit lies on the same day:
         only the batch's days are compared, and stored keys are first narrowed to
-        those of the batch, which Spark broadcasts when its size allows and shuffles
-        when not. The batch is kept for the passes over it and is recomputed from its
-        source where an executor is lost. A repeated call after a failure finds what
-        was written and adds the rest.
+        those of the batch, which Spark broadcasts when their size allows and shuffles
+        when not. The keys are kept for that and recomputed where an executor is
+        lost; the rows are read again when they are written. A repeated call after a
+        failure finds what was written and adds the rest.
         """
         spark = batch.sparkSession
-        batch = batch.select(*HITS.fieldNames()).persist()
+        batch = batch.select(*HITS.fieldNames())
+        keys = batch.select(*HIT_ID, "event_date")
+        stored = self.hits(spark)
+        first_load = stored.isEmpty()
+        if not first_load:
+            keys.persist()
         try:
-            shape = batch.agg(
+            shape = keys.agg(
                 F.count("*").alias("rows"),
                 F.min("event_date").alias("first"),
                 F.max("event_date").alias("last"),
@@ -72,17 +77,17 @@ class Store:
             ).first()
             if shape.rows == 0:
                 return Inserted(0, 0)
-            before = _on_days(self.hits(spark), shape)
-            known = before.count()
+            same_days = _on_days(stored, shape)
+            known = 0 if first_load else same_days.count()
             fresh = batch.dropDuplicates(HIT_ID)
             if known:
-                offered = batch.select(*HIT_ID).distinct()
-                stored = before.select(*HIT_ID).join(offered, HIT_ID, "left_semi")
-                fresh = fresh.join(stored, HIT_ID, "left_anti")
+                offered = keys.select(*HIT_ID).distinct()
+                copies = same_days.select(*HIT_ID).join(offered, HIT_ID, "left_semi")
+                fresh = fresh.join(copies, HIT_ID, "left_anti")
             _write_hits(fresh, self.hits_path, "append")
             return Inserted(shape.rows, _on_days(self.hits(spark), shape).count() - known)
         finally:
-            batch.unpersist()
+            keys.unpersist()
 
     def record(
         self,
