@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, exact_dedup, url_filter
+from footfall.llm import bpe, exact_dedup, html_extract, packing, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +84,35 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """The third of the ids whose labels are never learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
+
+
+def toxic_lexicon(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.Lexicon:
+    """Learned from the labels that are not held out."""
+    return toxicity.learn(docs, _table(spark, folder, "labels").where(~held_out()))
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document scored."""
+    docs = _table(spark, folder, "documents")
+    scores = toxicity.score(docs, toxic_lexicon(spark, folder, docs), threshold=0.7)
+    return scores.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents cut into sequences of 4096 tokens, id 2 after each."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(_table(spark, folder, "documents"), path, size=4096, end_id=2)
+
+
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The article of every page, by a model fitted on pages of the same table."""
+    pages = _table(spark, folder, "pages")
+    return html_extract.extract(pages, html_extract.learn(pages))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts; the largest id stays."""
     return exact_dedup.exact_groups(_table(spark, folder, "documents"), keep="largest")
@@ -101,6 +130,9 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 QUERIES: dict[str, Query] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_packing": op4_packing,
+    "op7_main_text": op7_main_text,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
