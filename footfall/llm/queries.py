@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, exact_dedup, html_extract, packing, toxicity, url_filter
+from footfall.llm import bpe, exact_dedup, html_extract, packing, quality, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +107,13 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), path, size=4096, end_id=2)
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document judged; trusted documents are those labelled with quality 1."""
+    docs = _table(spark, folder, "documents")
+    ratio = quality.fit(docs, _table(spark, folder, "labels"))
+    return quality.judge(docs, ratio).drop("mean_ratio")
+
+
 def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """The article of every page, by a model fitted on pages of the same table."""
     pages = _table(spark, folder, "pages")
@@ -132,6 +139,7 @@ QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op6_quality": op6_quality,
     "op7_main_text": op7_main_text,
     "op10_exact_dedup": op10_exact_dedup,
 }
