@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, exact_dedup, html_extract, packing, quality, toxicity, url_filter
+from footfall.llm import bpe, exact_dedup, html_extract, near_dup, packing, quality, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,6 +120,11 @@ def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extract(pages, html_extract.learn(pages))
 
 
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents linked at a similarity of 0.85 of three-word shingles."""
+    return near_dup.near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85)
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts; the largest id stays."""
     return exact_dedup.exact_groups(_table(spark, folder, "documents"), keep="largest")
@@ -141,6 +146,7 @@ QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
     "op6_quality": op6_quality,
     "op7_main_text": op7_main_text,
+    "op8_near_dedup": op8_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
