@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, exact_dedup, html_extract, near_dup, packing, quality, toxicity, url_filter
+from footfall.llm import bpe, exact_dedup, html_extract, near_dup, packing, quality, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,6 +125,14 @@ def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85)
 
 
+def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without passages of 50 bytes that an earlier one has."""
+    rows = suffix_dedup.remove_repeats(_table(spark, folder, "documents"), match=50)
+    return rows.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts; the largest id stays."""
     return exact_dedup.exact_groups(_table(spark, folder, "documents"), keep="largest")
@@ -147,6 +155,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality": op6_quality,
     "op7_main_text": op7_main_text,
     "op8_near_dedup": op8_near_dedup,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
