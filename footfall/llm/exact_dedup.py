@@ -82,3 +82,17 @@ def exact_groups(
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
         "text_sha256",
     )
+
+
+def without_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest"
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows that repeat an id with an equal text stay or go together.
+    """
+    groups = exact_groups(docs, id_col, text_col, keep)
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+    text = ascii_lower(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    same = docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (F.sha2(text, 256) == gone["_digest"])
+    return docs.join(gone, same, "left_anti")

@@ -5,7 +5,8 @@ every table, two collections of ``groups`` groups are computed, and table (i, j)
 by group i of the first with group j of the second: groups x groups tables from
 2 x groups x ``width`` minhashes. Two sets of similarity s share a table unless one
 collection has no equal group, which happens with a probability below
-2 (1 - s^width)^groups; 12 groups of 3 miss a pair at 0.85 once in 45,000.
+2 (1 - s^width)^groups: 12 groups of 2 miss a pair at 0.8 once in 100,000, 12 groups of 3
+one at 0.85 once in 45,000, and more similar ones far more rarely.
 
 Equal sets are one class and only its first document is compared. Documents that share a
 table are gathered around the smallest id among them, and within these neighbourhoods all
@@ -29,7 +30,7 @@ from footfall.llm.common import prepare, texts_of, written
 from footfall.llm.components import components
 from footfall.llm.shingles import mixed, shingle_sets
 
-GROUPS, WIDTH = 12, 3
+GROUPS, WIDTH = 12, 2
 # Documents of a block; a unit holds the sets of two.
 BLOCK = 2048
 # Set members that are compared at a time, and pairs.
@@ -314,3 +315,13 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def without_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters
+) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns: one document of each
+    group. Rows without an id stay. ``parameters`` are those of ``near_duplicates``."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["_id"], "left_anti")

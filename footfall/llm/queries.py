@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from footfall.llm import bpe, exact_dedup, html_extract, near_dup, packing, quality, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,15 +90,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def toxic_lexicon(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.Lexicon:
-    """Learned from the labels that are not held out."""
-    return toxicity.learn(docs, _table(spark, folder, "labels").where(~held_out()))
-
-
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document scored."""
-    docs = _table(spark, folder, "documents")
-    scores = toxicity.score(docs, toxic_lexicon(spark, folder, docs), threshold=0.7)
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    lexicon = toxicity.learn(docs, labels.where(~held_out()))
+    scores = toxicity.score(docs, lexicon, threshold=0.7)
     return scores.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
@@ -122,7 +119,7 @@ def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents linked at a similarity of 0.85 of three-word shingles."""
-    return near_dup.near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85)
+    return near_dup.near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85, width=3)
 
 
 def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,6 +145,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 QUERIES: dict[str, Query] = {
+    "pipeline": corpus_pipeline.run,
     "op1_url_reputation": op1_url_reputation,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,

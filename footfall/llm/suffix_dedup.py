@@ -21,14 +21,17 @@ one entry, so a passage in a third of all documents is one entry per batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.llm.common import prepare, texts_of, written
 from footfall.llm.shingles import _BASE, _BYTE, _INVERSE, _powers, mixed
@@ -370,6 +373,8 @@ def _bytes_of(blobs: list[bytes] | None) -> np.ndarray:
     return np.frombuffer(b"".join(zstandard.decompress(blob) for blob in blobs or []), dtype=np.uint8)
 
 
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text_sha256 string"
+
 # The operator ---------------------------------------------------------------------------
 
 
@@ -404,7 +409,7 @@ def remove_repeats(
     text_col: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (the bytes
-    that are left).
+    that are left), text_sha256 (of the input).
 
     Texts are UTF-8 bytes, a null one is empty; matches never cross documents. A byte goes
     when it lies in a string of ``match`` bytes (32 to 87) of the input that starts in a
@@ -446,7 +451,7 @@ def remove_repeats(
                 suffixes = Suffixes(batch, anchors, says, match, cells)
                 yield from _results(batch, _removed(batch, anchors, says, suffixes, _bytes_of(two), match))
 
-    return judged.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return judged.mapInArrow(apply, RESULT)
 
 
 def _results(batch: Batch, gone: np.ndarray, rows: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -459,8 +464,9 @@ def _results(batch: Batch, gone: np.ndarray, rows: int = 2000) -> Iterator[pa.Re
     spans = np.concatenate(([0], np.cumsum(starts)))
     raw = batch.data.tobytes()
     for k in range(0, len(batch.ids), rows):
-        kept = []
+        kept, digests = [], []
         for a, b in zip(begins[k : k + rows].tolist(), batch.stops[k : k + rows].tolist()):
+            digests.append(hashlib.sha256(raw[a:b]).hexdigest())
             kept.append(raw[a:b] if removed[a] == removed[b] else batch.data[a:b][~gone[a:b]].tobytes())
         part = slice(k, k + rows)
         of = lambda sums: sums[batch.stops[part]] - sums[begins[part]]
@@ -470,5 +476,43 @@ def _results(batch: Batch, gone: np.ndarray, rows: int = 2000) -> Iterator[pa.Re
             pa.array(of(removed)),
             pa.array(of(spans)),
             pa.array(kept, pa.binary()),
+            pa.array(digests),
         ]
-        yield pa.record_batch(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.record_batch(columns, [part.split()[0] for part in RESULT.split(", ")])
+
+
+@F.pandas_udf(T.StringType())
+def _as_text(left: pd.Series) -> pd.Series:
+    """UTF-8 text; a character that a removed passage cut in two goes with it."""
+    return left.map(lambda data: data.decode("utf-8", "ignore"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of ``docs`` with all their columns, their text without repeated passages.
+
+    A column n_chars, where there is one, follows the text. Texts from which nothing goes
+    stay as they are; a text that goes entirely is left empty. ``parameters`` are those of
+    ``remove_repeats``.
+    """
+    found = remove_repeats(docs, id_col=id_col, text_col=text_col, **parameters)
+    # Equal rows have equal results, and one of them is enough for all.
+    changed = written(
+        found.where("n_removed > 0")
+        .dropDuplicates(["doc_id", "text_sha256"])
+        .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), _as_text("kept").alias("_left")),
+        "suffix-changed",
+    )
+    same = docs[id_col].cast("long").eqNullSafe(changed["_id"]) & (
+        F.sha2(docs[text_col].cast("string"), 256) == changed["_digest"]
+    )
+    joined = docs.join(changed, same, "left")
+    columns = []
+    for name in docs.columns:
+        if name == text_col:
+            columns.append(F.coalesce(changed["_left"], docs[name]).alias(name))
+        elif name == "n_chars":
+            size = F.length(changed["_left"]).cast(docs.schema[name].dataType)
+            columns.append(F.coalesce(size, docs[name]).alias(name))
+        else:
+            columns.append(docs[name])
+    return joined.select(*columns)

@@ -17,9 +17,11 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.llm.common import prepare, texts_of, written
 
@@ -273,6 +275,24 @@ def _found(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, toxic int, total double, words long")
 
 
+def scorer(lexicon: Lexicon):
+    """A column function from text to score (0 to 1); a null text is scored as empty."""
+    base, slope, dense = lexicon.curve
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = lexicon.automaton()
+        for texts in batches:
+            scores = []
+            for text in texts:
+                folded = fold(text or "")
+                total = collected(machine, folded)
+                one, two = features(total, len(folded.split()) if total else 1)
+                scores.append(float(_sigmoid(base + slope * one + dense * two)))
+            yield pd.Series(scores, dtype="float64")
+
+    return F.pandas_udf(run, T.DoubleType())
+
+
 def score(
     docs: DataFrame,
     lexicon: Lexicon,
@@ -280,26 +300,18 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, score (0 to 1), predicted (1 from ``threshold``).
+    """One row per row of ``docs``: doc_id, score, predicted (1 from ``threshold``).
 
     Only the text is looked at. Null and empty texts get the score of a text in which
     nothing is found. Rows that repeat an id, or have none, are scored each; other columns
     are ignored.
     """
     prepare(docs.sparkSession)
-    base, slope, dense = lexicon.curve
+    rows = texts_of(docs, id_col, text_col).select("doc_id", scorer(lexicon)("text").alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = lexicon.automaton()
-        for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                folded = fold(text)
-                total = collected(machine, folded)
-                one, two = features(total, len(folded.split()) if total else 1)
-                scores.append(float(_sigmoid(base + slope * one + dense * two)))
-            predicted = [int(s >= threshold) for s in scores]
-            columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32())]
-            yield pa.record_batch(columns, ["doc_id", "score", "predicted"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    prepare(docs.sparkSession)
+    return docs.where(scorer(lexicon)(docs[text_col].cast("string")) < threshold)
