@@ -1,0 +1,116 @@
+from __future__ import annotations
+
+import random
+from itertools import product
+
+import numpy as np
+import pytest
+
+from footfall.llm import html_extract as h
+
+WORDS = "some words of a text that goes on, and on. It ends here".split()
+
+
+def page(draw, article="article", extra=""):
+    say = lambda n: " ".join(draw.choice(WORDS) for _ in range(n))
+    title, paragraphs = say(6), [say(draw.randint(1, 60)) for _ in range(draw.randint(1, 6))]
+    html = (
+        f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var a='</p><p>no';</script></head>"
+        f"<body><nav><ul>" + "".join(f"<li><a href='/x'>{say(1)}</a></li>" for _ in range(5)) + "</ul></nav><!-- <p>no</p> -->"
+        f'<div class="ad">{say(9)}</div><{article}><h1>{title}</h1>' + "".join(f"<p>{p}</p>" for p in paragraphs)
+        + f"{extra}</{article.split()[0]}><footer>&copy; {say(8)}</footer></body></html>"
+    )
+    return html, " ".join([title, *paragraphs])
+
+
+@pytest.fixture(scope="module")
+def model():
+    draw = random.Random(1)
+    parsed = [h.parse(page(draw)[0]) for _ in range(120)]
+    return h.fit(parsed, [h.labels_of(p) for p in parsed])
+
+
+def test_held_out_pages(model):
+    draw = random.Random(2)
+    pages = [page(draw) for _ in range(100)]
+    found = h.main_text([html for html, _ in pages], model)
+    assert sum(a == b for a, (_, b) in zip(found, pages)) >= 99
+
+
+def test_pages_without_an_article_element(model):
+    draw = random.Random(3)
+    pages = [page(draw, 'div id="content"') for _ in range(50)]
+    found = h.main_text([html for html, _ in pages], model)
+    assert sum(a == b for a, (_, b) in zip(found, pages)) >= 48
+
+
+def test_what_never_is_content(model):
+    draw = random.Random(4)
+    extra = (
+        "<aside><p>Other stories, which are long enough to be read, too.</p></aside>"
+        "<section class='comments'><h2>Comments</h2><p>I liked it, and so did all of us here.</p></section>"
+        "<form><p>Write to us, we would like to hear from you.</p><select><option>a</option></select></form>"
+        "<div class='cookie notice'><p>We use cookies, as all of them do.</p></div>"
+    )
+    html, text = page(draw, extra=extra)
+    assert h.main_text([html], model) == [text]
+
+
+def test_blocks_blanks_and_references(model):
+    html = (
+        "<article><h1>Fish &amp; chips,&nbsp;long\n\t title of it</h1><p>One <b>bo</b>ld <i>word</i>, &#233;&#x41; and a "
+        "&lt;tag&gt; that is text.<p>Open paragraph<br>with a break in it, and more of it."
+    )
+    assert h.main_text([html], model) == [
+        "Fish & chips, long title of it One bold word, éA and a <tag> that is text. "
+        "Open paragraph with a break in it, and more of it."
+    ]
+
+
+def test_marginals_are_exact():
+    draw = np.random.default_rng(5)
+    tree = h.Page(parent=[-1, 0, 0, 1, 1, 2], tags=["div"] * 6, names=[frozenset()] * 6, children=[2, 2, 1, 0, 0, 0])
+    forest = h.Forest([tree, tree])
+    node, edge = draw.normal(size=(12, 2)), draw.normal(size=(4, 2, 2))
+    got = forest.marginals(node, edge)
+    for base in (0, 6):
+        weight, content = 0.0, np.zeros(6)
+        for labels in product((0, 1), repeat=6):
+            score = sum(node[base + k, y] for k, y in enumerate(labels))
+            for k, up in enumerate(tree.parent):
+                if up >= 0:
+                    score += edge[forest.kind[base + k], labels[up], labels[k]]
+            weight += np.exp(score)
+            content += np.exp(score) * np.array(labels)
+        assert np.allclose(got[base : base + 6], content / weight)
+
+
+def test_odd_pages(model):
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    odd = ["", "<", "<p", "</p></div>", "<a><b>", deep, "<script>never closed <p>x", "<p>" * 2000, "a\x00b <![CDATA[x]]>"]
+    assert len(h.main_text(odd, model)) == len(odd)
+    assert h.main_text([], model) == []
+    assert h.main_text([""], model) == [""]
+
+
+def test_table(spark, model):
+    draw = random.Random(6)
+    html, text = page(draw)
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    rows = [(1, "u", html, "noise", "x"), (2, None, None, None, None), (None, "v", "", None, None), (1, "u", html, "", "")]
+    got = h.extract(spark.createDataFrame(rows, schema), model).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(
+        [(1, "u", text, len(text)), (2, None, "", 0), (None, "v", "", 0), (1, "u", text, len(text))], key=repr
+    )
+    assert h.extract(spark.createDataFrame([], schema), model).count() == 0
+
+
+def test_learning_from_a_table(spark):
+    draw = random.Random(7)
+    rows = [(k, page(draw)[0]) for k in range(60)] + [(100, None), (101, "<p>no article</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    learned = h.learn(pages, rows=40)
+    html, text = page(draw)
+    assert h.main_text([html], learned) == [text]
+    assert h.learn(pages.where("page_id > 99")) == h.Model(h.prior_weights())
+    assert h.learn(pages.where("page_id > 999")) == h.Model(h.prior_weights())

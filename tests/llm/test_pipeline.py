@@ -1,0 +1,79 @@
+from __future__ import annotations
+
+import random
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+
+SMALL = "/root/testdata/sf0.001"
+NAMES = [name for name in entry.queries() if name == "pipeline" or name.startswith("op")]
+
+
+def values(rows):
+    return sorted((tuple(row) for row in rows), key=repr)
+
+
+def test_all_are_registered():
+    numbers = sorted(int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline")
+    assert numbers == [1, 2, 3, 4, 6, 7, 8, 9, 10] and "pipeline" in NAMES
+
+
+@pytest.mark.parametrize("name", [n for n in NAMES if n in entry.oracle_sql()])
+def test_against_sql(spark, name):
+    base = duckdb.connect()
+    for table in ("documents", "pages", "labels"):
+        base.execute(f"CREATE VIEW {table} AS FROM '{SMALL}/{table}.parquet'")
+    ours = entry.queries()[name](spark, SMALL)
+    theirs = base.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in theirs.description]
+    assert sorted(names) == sorted(ours.columns)
+    assert values(ours.select(*names).collect()) == values(theirs.fetchall())
+
+
+def test_stages_on_planted_rows(spark, tmp_path):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
+    text = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    passage = text(20)
+    toxic = [(k, text(20) + " slimeball wretch") for k in range(1000, 1080)]
+    clean = [(k, text(40)) for k in range(2000, 2150)]
+    near = text(100).split()
+    rows = toxic + clean + [(1, "Copy of a text"), (2, "copy of A text"), (3, " ".join(near)), (4, " ".join(near[:-1] + ["other"]))]
+    rows += [(5, f"{text(30)} {passage} {text(30)}"), (6, f"{text(30)} {passage} {text(30)}"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, 1) for i, _ in toxic] + [(i, 1, 0) for i, _ in clean], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    held = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns
+        after.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        held[name] = {r.doc_id: r.text for r in docs.collect()}
+    everything = dict(rows)
+    all_clean = {i for i, _ in clean}
+    assert set(held["toxicity"]) == set(everything) - {i for i, _ in toxic}
+    assert set(held["exact dedup"]) == set(held["toxicity"]) - {2, 8}
+    assert set(held["near dedup"]) == set(held["exact dedup"]) - {4}
+    last = held["suffix dedup"]
+    assert set(last) == set(held["near dedup"]) and all_clean <= set(last)
+    assert last[5] == everything[5] and passage not in last[6] and len(last[6]) < len(everything[6]) - 100
+    assert all(last[i] == everything[i] for i in all_clean)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == set(last)
+    assert values(pieces) == values(corpus_pipeline.run(spark, str(tmp_path)).collect()) or {
+        (p.doc_id, p.doc_tokens) for p in pieces
+    } == {(p.doc_id, p.doc_tokens) for p in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+
+@pytest.mark.parametrize("name", ["op2_byte_bpe", "op3_toxicity", "op4_packing", "op6_quality", "op7_main_text"])
+def test_whole_tables(spark, name):
+    table = "pages" if name == "op7_main_text" else "documents"
+    key = "page_id" if table == "pages" else "doc_id"
+    got = entry.queries()[name](spark, SMALL)
+    assert got.select(key).distinct().count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
