@@ -22,12 +22,18 @@ from pyspark.sql import functions as F
 from footfall.llm.common import prepare, texts_of, written
 
 # Words, and stems, whose ids a worker remembers; when full, it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+REMEMBERED_STEMS = 500_000
 # Characters besides the blank that end a word for every step of the tokenizer, and that no
 # step joins to what stands beside them: what lies between two of them is encoded by itself.
 BLANKS = "\t\n\r\x0b\x0c"
 # Marks that the tokenizer keeps apart from a letter before them.
 CLOSING = ".,!"
+# How the vocabulary marks a token that ends a word.
+WORD_END = "</w>"
+# Words that are encoded together, and texts.
+TOGETHER = 1000
+TEXTS = 100
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -35,6 +41,13 @@ PIECES = (
 )
 
 
+def _letters_only(part: str) -> bool:
+    """Whether it is so for the tokenizer, after its normalizing and lower-casing."""
+    if part.isascii():
+        return part.isalpha()
+    return part.isalpha() and unicodedata.is_normalized("NFC", part) and part.lower().isalpha()
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
@@ -48,38 +61,67 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
-        if part.isascii():
-            part = part.lower()
-        found = self.stems.get(part)
-        if found is None:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-            found = self.stems[part] = np.array(ids, dtype="<u4").tobytes()
-        return found
-
-    def _learn(self, word: str) -> bytes:
-        stem = word.rstrip(CLOSING)
-        # A letter for the tokenizer: some decompose into a letter and a mark.
-        last = unicodedata.normalize("NFC", stem[-1:]).lower()[-1:]
-        if last.isalpha():
-            ids = self._part(stem) + (self._part(word[len(stem) :]) if len(stem) < len(word) else b"")
-        else:
-            ids = self._part(word)
-        self.known[word] = ids
-        return ids
-
-    def encode_packed(self, text: str) -> bytes:
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn_stems(self, parts: set[str]) -> None:
+        """Words of letters only are single words for the tokenizer, too, and each ends with
+        the one token that is marked so: many are encoded together. Others go one by one."""
+        stems = self.stems
+        plain = [part for part in parts if _letters_only(part)]
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k : k + TOGETHER]
+            ids = self._encode(" ".join(some))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            packed, start = ids.tobytes(), 0
+            for part, stop in zip(some, (4 * stops).tolist()):
+                stems[part] = packed[start:stop]
+                start = stop
+        for part in parts.difference(plain):
+            stems[part] = self._encode(part).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        parts: dict[str, tuple[str, str]] = {}
+        for word in words:
+            stem = word.rstrip(CLOSING)
+            last = stem[-1:]
+            if not last.isascii():
+                # A letter for the tokenizer: some decompose into a letter and a mark.
+                last = unicodedata.normalize("NFC", last).lower()[-1:]
+            tail = word[len(stem) :] if last.isalpha() else ""
+            stem = stem if last.isalpha() else word
+            parts[word] = (stem.lower() if stem.isascii() else stem), tail
+        stems = self.stems
+        self._learn_stems({part for pair in parts.values() for part in pair if part and part not in stems})
+        stems[""] = b""
+        for word, (stem, tail) in parts.items():
+            self.known[word] = stems[stem] + stems[tail]
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        if len(self.stems) > REMEMBERED:
+        if len(self.stems) > REMEMBERED_STEMS:
             self.stems = {}
-        for blank in BLANKS:
-            text = text.replace(blank, " ")
-        known, learn = self.known, self._learn
-        return b"".join([known[word] if word in known else learn(word) for word in text.split(" ")])
+        rows = []
+        for text in texts:
+            for blank in BLANKS:
+                text = text.replace(blank, " ")
+            rows.append(text.split(" "))
+        known = self.known
+        missing: set[str] = set()
+        for row in rows:
+            missing.update(set(row).difference(known))
+        if missing:
+            self._learn(missing)
+        return [b"".join(map(known.__getitem__, row)) for row in rows]
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -103,7 +145,12 @@ def token_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, total = loaded(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows = [encoder.encode_packed(text) + end for text in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            rows = [
+                ids + end
+                for k in range(0, len(texts), TEXTS)
+                for ids in encoder.encode_packed(texts[k : k + TEXTS])
+            ]
             sizes = np.array([len(ids) // 4 for ids in rows], dtype=np.int64)
             before = total + np.cumsum(sizes) - sizes
             total += int(sizes.sum())
