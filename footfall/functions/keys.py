@@ -13,14 +13,21 @@ CELL_END = "\0"
 KEY_DIGITS = 16
 
 
-def row_key(cells: Sequence[Column], key_bits: int = 4 * KEY_DIGITS) -> Column:
-    """Key of a row given all its cells in file order."""
-    parts = [F.concat(F.coalesce(cell, F.lit("")), F.lit(CELL_END)) for cell in cells]
-    return digest(F.concat(*parts), key_bits)
+def cells_content(cells: Sequence[Column]) -> Column:
+    """What is hashed of a row given all its cells in order."""
+    return F.concat(*[F.concat(F.coalesce(cell, F.lit("")), F.lit(CELL_END)) for cell in cells])
+
+
+def digest(content: Column) -> Column:
+    """The whole digest; rows are told apart by it."""
+    return F.sha2(content, 256)
 
 
-def digest(content: Column, key_bits: int) -> Column:
-    if key_bits % 4 or not 0 < key_bits <= 256:
-        raise ValueError("key_bits must be a multiple of 4, at most 256")
-    digest = F.sha2(content, 256)
-    return digest if key_bits == 256 else F.substring(digest, 1, key_bits // 4)
+def short(row_digest: Column) -> Column:
+    """The key a report shows, the beginning of the digest."""
+    return F.substring(row_digest, 1, KEY_DIGITS)
+
+
+def row_key(cells: Sequence[Column]) -> Column:
+    """Key of a row given all its cells in file order."""
+    return short(digest(cells_content(cells)))

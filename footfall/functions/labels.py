@@ -20,7 +20,7 @@ def source_label(referrer: Column) -> Column:
     """Three-way: unknown (NULL), direct (blank) or the referrer itself."""
     return (
         F.when(referrer.isNull(), F.lit(UNKNOWN))
-        .when(referrer.rlike(r"^\s*$"), F.lit(DIRECT))
+        .when(referrer.rlike(r"\A\p{IsWhite_Space}*\z"), F.lit(DIRECT))
         .otherwise(referrer)
     )
 

@@ -84,17 +84,20 @@ def since_filter(hits: DataFrame, since: Instant | None) -> DataFrame:
     return _from_day(kept, cutoff[:10])
 
 
-def drop_settled_days(
-    hits: DataFrame, since: Instant | None, max_visit_days: int | None
-) -> DataFrame:
-    """Skip days that cannot hold a hit of a visit seen since the cutoff.
+def split_at(hits: DataFrame, since: Instant) -> tuple[DataFrame, DataFrame]:
+    """Hits that can belong to a visit begun at or after a cutoff, and those before it.
 
-    Only valid where the tracker guarantees that no session id lives longer than
-    ``max_visit_days``; without that guarantee (``None``) nothing is skipped.
+    A hit without a time rules nothing out and is on the first side. Both sides skip the
+    days that the cutoff implies.
     """
-    if since is None or max_visit_days is None:
-        return hits
-    return _from_day(hits, days_before(since, max_visit_days)[:10])
+    cutoff = cutoff_text(since)
+    at = F.col("created_at")
+    near = hits.where((at >= cutoff) | at.isNull())
+    far = hits.where(at < cutoff)
+    if "event_date" in hits.columns:
+        bound = F.lit(dt.date.fromisoformat(cutoff[:10]))
+        far = far.where((F.col("event_date") <= bound) | F.col("event_date").isNull())
+    return _from_day(near, cutoff[:10]), far
 
 
 def _from_day(hits: DataFrame, day: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from footfall.functions import labels
 from footfall.operators.overview import count_by, top
 from footfall.operators.visits import human, visits
+from footfall.schema import VISIT_ID
 
 # Sizes and thresholds of the reports.
 TOP_PATHS = 10
@@ -38,7 +39,7 @@ def reached_from(hits: DataFrame, path: str) -> DataFrame:
 def traffic_shares(hits: DataFrame) -> DataFrame:
     """Counts with their denominators, never ratios. Visits whose class is negative
     are neither human nor bot and are shown on their own."""
-    per_visit = hits.groupBy("session").agg(
+    per_visit = hits.groupBy(*VISIT_ID).agg(
         F.max("bot").alias("bot"),
         F.count_if(F.col("is_event") == 0).alias("page_count"),
         F.count_if(F.col("is_event") == 1).alias("event_count"),
@@ -91,13 +92,13 @@ def overlong_visits(
 ) -> DataFrame:
     """The longest visits above a bound, a sign that two loads were merged."""
     rows = visits(hits, entry=()).where(F.col("duration_seconds") > seconds)
-    ordered = rows.select("session", "duration_seconds").orderBy(F.desc("duration_seconds"), "session")
+    ordered = rows.select(*VISIT_ID, "duration_seconds").orderBy(F.desc("duration_seconds"), "session", "site")
     return ordered if limit is None else ordered.limit(limit)
 
 
 def key_audit(hits: DataFrame) -> DataFrame:
-    """Rows, distinct keys, empty keys and keys held by more than one row."""
-    per_key = hits.groupBy("hit_key").agg(F.count("*").alias("n"))
+    """Rows, distinct keys, empty keys and keys held by more than one row of a site."""
+    per_key = hits.groupBy("site", "hit_key").agg(F.count("*").alias("n"))
     empty = F.coalesce(F.col("hit_key"), F.lit("")) == ""
     return per_key.agg(
         F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("hits"),
@@ -109,8 +110,13 @@ def key_audit(hits: DataFrame) -> DataFrame:
 
 def key_drift(first: DataFrame, second: DataFrame) -> DataFrame:
     """Keys whose number of rows differs between two reads; none when keys are stable."""
+    counts = key_counts(first, second)
+    return counts.where(F.col("first_rows") != F.col("second_rows"))
+
+
+def key_counts(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Every key of two reads with its number of rows in each."""
     sides = first.select("hit_key", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
         second.select("hit_key", F.lit(0).alias("a"), F.lit(1).alias("b"))
     )
-    counts = sides.groupBy("hit_key").agg(F.sum("a").alias("first_rows"), F.sum("b").alias("second_rows"))
-    return counts.where(F.col("first_rows") != F.col("second_rows"))
+    return sides.groupBy("hit_key").agg(F.sum("a").alias("first_rows"), F.sum("b").alias("second_rows"))

@@ -5,92 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STEP_COLUMNS = ("session", "created_at", "hit_key", "path", "title", "is_event")
+from footfall.schema import VISIT_ID
+from footfall.session import written
 
-# A session above HEAVY_HITS is ranked piecewise. At most HEAVY_SESSIONS of the
-# largest are, which bounds the broadcast; any other session is then smaller than
-# the table divided by HEAVY_SESSIONS.
-HEAVY_HITS = 1_000_000
-HEAVY_SESSIONS = 10_000
+STEP_COLUMNS = ("site", "session", "created_at", "hit_key", "path", "title", "is_event")
+ORDER = ("site", "session", "created_at", "hit_key")
+
+# A row's number as Spark generates it: the partition above, the place in it below.
+PLACE_BITS = 33
 
 
 def _steps(hits: DataFrame) -> DataFrame:
     return hits.withColumn("title", F.coalesce("title", F.lit(""))).select(*STEP_COLUMNS)
 
 
-def journey(hits: DataFrame, session: str) -> DataFrame:
-    """One visit's steps by time, ties by key.
+def journey(hits: DataFrame, session: str, site: str | None = None) -> DataFrame:
+    """One visit's steps by time, ties by key; ``site`` may be left out where the table
+    holds one site.
 
     Sorted by range, so a visit of any length spreads over tasks.
     """
-    steps = _steps(hits.where(F.col("session") == session))
-    return steps.orderBy("created_at", "hit_key").select("path", "title", "is_event", "created_at")
+    chosen = hits.where(F.col("session") == session)
+    chosen = chosen if site is None else chosen.where(F.col("site") == site)
+    steps = _steps(chosen).orderBy("created_at", "hit_key")
+    return steps.select("path", "title", "is_event", "created_at")
 
 
-def journeys(
-    hits: DataFrame, heavy_hits: int = HEAVY_HITS, heavy_sessions: int = HEAVY_SESSIONS
-) -> DataFrame:
+def journeys(hits: DataFrame) -> DataFrame:
     """Every step of every visit with its position (from 1) in the visit.
 
-    Ordinary visits are numbered by a window per session. The few sessions large
-    enough to overload one task are numbered in pieces instead; with none of them
-    that branch is empty and adaptive execution drops it.
+    All steps are sorted over the whole cluster, which cuts even a visit with a third of
+    all steps into pieces of a task's size. A step's place in its partition, less that of
+    the piece's first step, plus the steps of the visit in earlier partitions, is its
+    position. The sorted steps are written once, so that places and pieces agree. The
+    window runs over pieces: a visit has one per partition that it reaches into.
     """
-    steps = _steps(hits)
-    heavy = (
-        steps.groupBy("session")
-        .agg(F.count("*").alias("hits"))
-        .where(F.col("hits") > heavy_hits)
-        .orderBy(F.desc("hits"), "session")
-        .limit(heavy_sessions)
-        .select("session")
+    ordered = _steps(hits).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    numbered = ordered.withColumn("number", F.monotonically_increasing_id()).select(
+        *STEP_COLUMNS,
+        F.shiftright("number", PLACE_BITS).alias("part"),
+        F.col("number").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"),
     )
-    ordered = Window.partitionBy("session").orderBy("created_at", "hit_key")
-    light_steps = steps.join(F.broadcast(heavy), "session", "left_anti").withColumn(
-        "position", F.row_number().over(ordered).cast("long")
+    numbered = written(numbered, "journeys")
+    pieces = numbered.groupBy(*VISIT_ID, "part").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy(*VISIT_ID).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")) - F.col("first") + 1
+    offsets = pieces.select(
+        F.col("site").alias("of_site"),
+        F.col("session").alias("of_session"),
+        F.col("part").alias("of_part"),
+        offset.alias("offset"),
     )
-    heavy_steps = steps.join(F.broadcast(heavy), "session", "left_semi")
-    return light_steps.unionByName(_number_in_pieces(heavy_steps))
-
-
-def _number_in_pieces(steps: DataFrame) -> DataFrame:
-    """Positions from counts of ever finer pieces that keep the order.
-
-    Day text, time text and the first four digits of the key (a hash, so even)
-    split a session into pieces that are contiguous in (time, key) order. A
-    position is what lies before the piece plus the rank inside it. Each running
-    sum spans one level only: days of a session, times of a day, key prefixes of
-    a time.
-    """
-    # Never NULL, so that no join adds a filter of its own and the counts of the
-    # pieces are shuffled once and reused by all three levels.
-    moment, key = F.coalesce("created_at", F.lit("")), F.coalesce("hit_key", F.lit(""))
-    levels = {
-        "session": F.col("session"),
-        "day": F.substring(moment, 1, 10),
-        "moment": moment,
-        "prefix": F.substring(key, 1, 4),
-    }
-    names = list(levels)
-    steps = steps.withColumns(levels)
-    pieces = steps.groupBy(*names).agg(F.count("*").alias("n"))
-
-    def before(depth: int) -> DataFrame:
-        group, step = names[:depth], names[depth]
-        span = Window.partitionBy(*group).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-        counts = pieces.groupBy(*group, step).agg(F.sum("n").alias("n"))
-        earlier = F.coalesce(F.sum("n").over(span), F.lit(0).cast("long"))
-        return counts.select(*group, step, earlier.alias(f"before_{step}"))
-
-    offset = F.col("before_day") + F.col("before_moment") + F.col("before_prefix")
-    offsets = (
-        before(3)
-        .join(before(2), names[:3])
-        .join(before(1), names[:2])
-        .select(*names, offset.alias("offset"))
+    same = (
+        numbered["site"].eqNullSafe(offsets["of_site"])
+        & numbered["session"].eqNullSafe(offsets["of_session"])
+        & (numbered["part"] == offsets["of_part"])
     )
-    inside = Window.partitionBy(*names).orderBy("created_at", "hit_key")
-    ranked = steps.withColumn("rank", F.row_number().over(inside))
-    return ranked.join(offsets, names).select(
-        *STEP_COLUMNS, (F.col("offset") + F.col("rank")).alias("position")
+    return numbered.join(offsets, same).select(
+        *STEP_COLUMNS, (F.col("place") + F.col("offset")).alias("position")
     )

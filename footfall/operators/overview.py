@@ -13,11 +13,11 @@ from footfall.functions.times import (
     cutoff_text,
     day_of,
     day_text,
-    drop_settled_days,
     since_filter,
+    split_at,
 )
 from footfall.operators.visits import human, visits
-from footfall.schema import single_row
+from footfall.schema import VISIT_ID, single_row
 
 # List sizes, the levels of the daily chart, the days a trend needs.
 TOP_PAGES = TOP_REFERRERS = 8
@@ -33,10 +33,10 @@ def _total(column: Column) -> Column:
 def totals(hits: DataFrame) -> DataFrame:
     """Human visits, human hits (events included) and bot visits, in one pass.
 
-    Hits fold to one row per session first; all buffers are fixed-width, so both
+    Hits fold to one row per visit first; all buffers are fixed-width, so both
     steps are hash aggregations.
     """
-    per_visit = hits.groupBy("session").agg(
+    per_visit = hits.groupBy(*VISIT_ID).agg(
         F.max("bot").alias("bot"), F.count_if(F.col("bot") == 0).alias("human_hits")
     )
     return per_visit.agg(
@@ -46,12 +46,43 @@ def totals(hits: DataFrame) -> DataFrame:
     )
 
 
+def begun_before(rows: DataFrame, earlier_hits: DataFrame) -> DataFrame:
+    """Which of some visits have an earlier hit, too.
+
+    Only visits that ``rows`` has can matter, so the earlier hits give their ids alone and
+    are narrowed to them: Spark filters the scan by a bloom filter, or by the ids
+    themselves, before anything of the archive is shuffled.
+    """
+    wanted = rows.select(*[F.col(name).alias(f"of_{name}") for name in VISIT_ID])
+    same = [earlier_hits[name].eqNullSafe(wanted[f"of_{name}"]) for name in VISIT_ID]
+    return earlier_hits.select(*VISIT_ID).join(wanted, same[0] & same[1], "left_semi").distinct()
+
+
+def with_began(rows: DataFrame, candidates: DataFrame, earlier_hits: DataFrame | None) -> DataFrame:
+    """Adds ``began``: whether a visit has no hit before the cutoff. Right for
+    ``candidates``, the visits for which it is asked."""
+    if earlier_hits is None:
+        return rows.withColumn("began", F.lit(True))
+    older = begun_before(candidates, earlier_hits).select(
+        *[F.col(name).alias(f"of_{name}") for name in VISIT_ID], F.lit(False).alias("found")
+    )
+    same = [rows[name].eqNullSafe(older[f"of_{name}"]) for name in VISIT_ID]
+    joined = rows.join(older, same[0] & same[1], "left")
+    return joined.withColumn("began", F.coalesce("found", F.lit(True))).drop(
+        "found", *[f"of_{name}" for name in VISIT_ID]
+    )
+
+
+def near_and_far(hits: DataFrame, since: Instant | None) -> tuple[DataFrame, DataFrame | None]:
+    return (hits, None) if since is None else split_at(hits, since)
+
+
 def headline_facts(since: Instant | None) -> dict[str, Column]:
     """What the headline needs of each visit, as aggregates over its hits."""
     recent = F.col("created_at") >= cutoff_text(since)
     person = recent & (F.col("bot") == 0)
     return {
-        "earlier": F.count_if(~recent),
+        "recent_hits": F.count_if(recent),
         "human_hits": F.count_if(person),
         "human_pages": F.count_if(person & (F.col("is_event") == 0)),
         "human_events": F.count_if(person & (F.col("is_event") == 1)),
@@ -59,38 +90,37 @@ def headline_facts(since: Instant | None) -> dict[str, Column]:
     }
 
 
+def single_page() -> Column:
+    """Visits of people with one page, as far as the hits since the cutoff show."""
+    return (F.col("bot") == 0) & (F.col("page_count") == 1) & (F.col("recent_hits") > 0)
+
+
 def headline_counts() -> list[Column]:
-    """The headline as aggregates over visits that carry the facts."""
-    single_page = (F.col("bot") == 0) & (F.col("page_count") == 1) & (F.col("earlier") == 0)
+    """The headline as aggregates over visits that carry the facts and ``began``."""
     return [
         F.count_if(F.col("human_hits") > 0).alias("visitors"),
         _total(F.col("human_pages")).alias("pageviews"),
         _total(F.col("human_events")).alias("events"),
         F.count_if(F.col("bot_hits") > 0).alias("bots"),
-        F.count_if(single_page).alias("single_page"),
+        F.count_if(single_page() & F.col("began")).alias("single_page"),
     ]
 
 
-def headline(
-    hits: DataFrame, since: Instant | None = None, max_visit_days: int | None = None
-) -> DataFrame:
+def headline(hits: DataFrame, since: Instant | None = None) -> DataFrame:
     """Visitors, pageviews, events and bots since a cutoff, and single-page visits
     that began since then.
 
     The first four look at hits, the last at whole visits: a session mixing human
-    and bot hits is a visitor but not a human visit. "Began since" means that no
-    earlier hit exists, which is a count and keeps text out of the buffers.
+    and bot hits is a visitor but not a human visit. Days before the cutoff only tell
+    which single-page visits began earlier; see ``begun_before``.
     """
-    per_visit = (
-        drop_settled_days(hits, since, max_visit_days)
-        .groupBy("session")
-        .agg(
-            F.max("bot").alias("bot"),
-            F.count_if(F.col("is_event") == 0).alias("page_count"),
-            *[fact.alias(name) for name, fact in headline_facts(since).items()],
-        )
+    near, far = near_and_far(hits, since)
+    per_visit = near.groupBy(*VISIT_ID).agg(
+        F.max("bot").alias("bot"),
+        F.count_if(F.col("is_event") == 0).alias("page_count"),
+        *[fact.alias(name) for name, fact in headline_facts(since).items()],
     )
-    return per_visit.agg(*headline_counts())
+    return with_began(per_visit, per_visit.where(single_page()), far).agg(*headline_counts())
 
 
 def count_by(frame: DataFrame, label: Column) -> DataFrame:
@@ -107,30 +137,19 @@ def top_pages(hits: DataFrame, since: Instant | None = None, limit: int = TOP_PA
     return top(count_by(views, F.col("path")), limit)
 
 
-def _visits_since(
-    hits: DataFrame, field: str, since: Instant | None, max_visit_days: int | None
-) -> DataFrame:
-    rows = human(visits(drop_settled_days(hits, since, max_visit_days), entry=(field,)))
-    return rows.where(F.col("first_seen") >= cutoff_text(since))
+def _visits_since(hits: DataFrame, field: str, since: Instant | None) -> DataFrame:
+    near, far = near_and_far(hits, since)
+    rows = human(visits(near, entry=(field,))).where(F.col("first_seen") >= cutoff_text(since))
+    return with_began(rows, rows, far).where("began")
 
 
-def top_referrers(
-    hits: DataFrame,
-    since: Instant | None = None,
-    limit: int = TOP_REFERRERS,
-    max_visit_days: int | None = None,
-) -> DataFrame:
-    rows = _visits_since(hits, "referrer", since, max_visit_days)
+def top_referrers(hits: DataFrame, since: Instant | None = None, limit: int = TOP_REFERRERS) -> DataFrame:
+    rows = _visits_since(hits, "referrer", since)
     return top(count_by(rows, labels.referrer_or_direct(F.col("referrer"))), limit)
 
 
-def top_countries(
-    hits: DataFrame,
-    since: Instant | None = None,
-    limit: int = TOP_COUNTRIES,
-    max_visit_days: int | None = None,
-) -> DataFrame:
-    rows = _visits_since(hits, "country", since, max_visit_days)
+def top_countries(hits: DataFrame, since: Instant | None = None, limit: int = TOP_COUNTRIES) -> DataFrame:
+    rows = _visits_since(hits, "country", since)
     return top(count_by(rows, labels.country_or_unknown(F.col("country"))), limit)
 
 

@@ -7,8 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.times import Instant, cutoff_text, drop_settled_days
-from footfall.operators.visits import RECENT_COLUMNS, RECENT_LIMIT, human, newest, visits
+from footfall.operators.visits import (
+    RECENT_COLUMNS,
+    RECENT_LIMIT,
+    human,
+    newest,
+    newest_visits,
+    visits,
+)
 
 # Visit fields a reader sees on the row.
 ROW_FIELDS = ("entry_path", "referrer", "country", "browser")
@@ -45,16 +51,17 @@ def search_visits(
     query: str = "",
     include_bots: bool = False,
     limit: int | None = RECENT_LIMIT,
-    since: Instant | None = None,
-    max_visit_days: int | None = None,
 ) -> DataFrame:
     """Visits matching ``query``, newest first, people only unless bots are asked for.
 
-    The list takes all of history. ``since`` asks only for visits that began after it;
-    where session ids are known to live ``max_visit_days``, older days are not read.
+    The search takes all of history; with nothing to search for, only the newest visits
+    are looked at closely.
     """
-    found = _matches(drop_settled_days(hits, since, max_visit_days), query, (*ROW_FIELDS, "system"))
-    found = found.where(F.col("first_seen") >= cutoff_text(since))
+    entry = (*ROW_FIELDS, "system")
+    if not query:
+        rows = newest_visits(hits, limit, entry, include_bots)
+        return rows.withColumn("match_reason", F.lit("")).select(*RECENT_COLUMNS, "match_reason")
+    found = _matches(hits, query, entry)
     found = found if include_bots else human(found)
     return newest(found, limit).select(*RECENT_COLUMNS, "match_reason")
 
@@ -63,11 +70,9 @@ def recent_visits(
     hits: DataFrame,
     include_bots: bool = False,
     limit: int | None = RECENT_LIMIT,
-    since: Instant | None = None,
-    max_visit_days: int | None = None,
 ) -> DataFrame:
     """The newest visits: a search for nothing in particular."""
-    return search_visits(hits, "", include_bots, limit, since, max_visit_days)
+    return search_visits(hits, "", include_bots, limit)
 
 
 def match_reasons(hits: DataFrame, query: str, include_bots: bool = False) -> DataFrame:

@@ -17,9 +17,10 @@ SAMPLE_DATA = "demo data"
 def sync_state(sync_log: DataFrame) -> DataFrame:
     """Current state per site: the cursor never goes back, the time is the latest
     call's, rows add up. A site without calls has no row: it was never synced."""
+    latest = F.max(F.struct("seq", "synced_at"))  # calls of one number: the later time
     folded = sync_log.groupBy("site").agg(
         F.max(F.coalesce("last_hit_id", F.lit(0).cast("long"))).alias("last_hit_id"),
-        F.max_by("synced_at", "seq").alias("last_synced_at"),
+        latest.getField("synced_at").alias("last_synced_at"),
         F.sum("rows").alias("synced_rows"),
     )
     cursor = F.when(F.col("last_hit_id") > 0, F.col("last_hit_id")).alias("cursor")

@@ -1,4 +1,4 @@
-"""Visits (one row per session) and the lists made of them."""
+"""Visits (one row per session of a site) and the lists made of them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions import labels, times
-from footfall.schema import ENTRY_FIELDS, VISITS
+from footfall.schema import ENTRY_FIELDS, VISIT_ID, VISITS
 
 # How many rows the two lists show.
 RECENT_LIMIT = 500
@@ -20,7 +20,7 @@ RECENT_COLUMNS = [name for name in VISITS.fieldNames() if name != "referrer_sche
 
 def visits(
     hits: DataFrame,
-    keys: Sequence[str] = ("session",),
+    keys: Sequence[str] = tuple(VISIT_ID),
     entry: Sequence[str] = tuple(ENTRY_FIELDS),
     extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
@@ -68,21 +68,34 @@ def human(frame: DataFrame) -> DataFrame:
 
 
 def newest(visit_rows: DataFrame, limit: int | None) -> DataFrame:
-    ordered = visit_rows.orderBy(F.desc("first_seen"), F.asc("session"))
+    ordered = visit_rows.orderBy(F.desc("first_seen"), F.asc("session"), F.asc("site"))
     return ordered if limit is None else ordered.limit(limit)
 
 
-def visit_list(
-    hits: DataFrame,
-    limit: int = LIST_LIMIT,
-    since: times.Instant | None = None,
-    max_visit_days: int | None = None,
+def newest_visits(
+    hits: DataFrame, limit: int | None, entry: Sequence[str], include_bots: bool = False
 ) -> DataFrame:
-    """The printed list of the newest human visits, optionally of those begun since."""
-    recent = times.drop_settled_days(hits, since, max_visit_days)
-    rows = human(visits(recent, entry=("entry_path", "referrer", "country", "browser")))
-    rows = rows.where(F.col("first_seen") >= times.cutoff_text(since))
-    return newest(rows, limit).select(
+    """The newest visits with their entry fields, in two steps.
+
+    First every visit is reduced to when it began and its class, and the newest ``limit``
+    are taken; then only the hits of these are read with all they hold. Their ids are at
+    most ``limit`` rows, so they may be broadcast.
+    """
+    began = hits.groupBy(*VISIT_ID).agg(F.min("created_at").alias("first_seen"), F.max("bot").alias("bot"))
+    began = began if include_bots else human(began)
+    if limit is None:
+        rows = visits(hits, entry=entry)
+        return newest(rows if include_bots else human(rows), None)
+    wanted = newest(began, limit).select(*[F.col(name).alias(f"of_{name}") for name in VISIT_ID])
+    same = [hits[name].eqNullSafe(wanted[f"of_{name}"]) for name in VISIT_ID]
+    chosen = hits.join(F.broadcast(wanted), same[0] & same[1], "left_semi")
+    return newest(visits(chosen, entry=entry), limit)
+
+
+def visit_list(hits: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """The printed list of the newest human visits."""
+    rows = newest_visits(hits, limit, ("entry_path", "referrer", "country", "browser"))
+    return rows.select(
         labels.list_when(F.col("first_seen")).alias("when"),
         "country",
         "browser",
@@ -97,7 +110,7 @@ def visit_labels(hits: DataFrame, as_of: times.Instant) -> DataFrame:
     """Every human visit with the labels the stream shows."""
     rows = human(visits(hits, entry=("referrer", "browser", "country")))
     return rows.select(
-        "session",
+        *VISIT_ID,
         labels.list_when(F.col("first_seen")).alias("list_when"),
         labels.stream_when(F.col("first_seen"), as_of).alias("stream_when"),
         labels.age_label(F.col("last_seen"), as_of).alias("age"),

@@ -27,10 +27,15 @@ MONTH = times.range_start("28 days", AS_OF)
 SEARCH = "p/3"
 PAGE = "/p/3"
 HALF = "2024-01-16T00:00:00Z"
+AFTER = "2024-02-01T00:00:00Z"
+# Few and therefore long visits, one of them without an id; steps without a time.
+LONG_SESSION = "CASE WHEN bot > 0 THEN NULL ELSE substring(session, 1, 1) END"
+NO_TIME = "CASE WHEN hit_key < '2' THEN NULL WHEN hit_key < '3' THEN '' ELSE created_at END"
 
 ADHOC = """
 SELECT s.country, count(*) AS visits, sum(s.page_count) AS pages, max(s.duration_seconds) AS longest
-FROM sessions s JOIN (SELECT DISTINCT session FROM hits WHERE path = '/') h ON h.session = s.session
+FROM sessions s JOIN (SELECT DISTINCT site, session FROM hits WHERE path = '/') h
+  ON h.site = s.site AND h.session = s.session
 WHERE s.bot = 0
 GROUP BY s.country
 """
@@ -134,14 +139,52 @@ def _hit_keys(spark: SparkSession, folder: str) -> DataFrame:
     return _export(spark, folder).groupBy("hit_key").agg(F.count("*").alias("n"))
 
 
+def _journeys_in_pieces(hits: DataFrame) -> DataFrame:
+    return journeys.journeys(hits.withColumns({"created_at": F.expr(NO_TIME), "session": F.expr(LONG_SESSION)}))
+
+
+def _two_sites(hits: DataFrame) -> DataFrame:
+    """The same sessions on two sites stay apart, and so do their keys."""
+    both = hits.withColumn("site", F.explode(F.array(F.lit("one"), F.lit("two"))))
+    audit = insights.key_audit(both).select("repeated_keys")
+    rows = visits.visits(both, entry=()).select("site", "session", "page_count", "event_count")
+    return rows.withColumn("repeated_keys", F.lit(audit.first().repeated_keys).cast("long"))
+
+
+def _read_odd_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Short and long records, quotes, commas and line breaks in cells."""
+    cells = [F.expr(events.COLUMNS[name]).alias(name) for name in ("path", "session", "created_at", "bot")]
+    rows = events.load_events(spark, folder).select("event_id", *cells)
+    kind = F.col("event_id") % 4
+    title = F.concat(F.lit('"say ""'), "event_id", F.lit('""\ntwice, or more"'))
+    tail = (
+        F.when(kind == 1, "")
+        .when(kind == 0, F.concat(F.lit(","), title, F.lit(","), "bot"))
+        .when(kind == 2, F.concat(F.lit(",plain,"), "bot", F.lit(',"x,y",')))
+        .otherwise(F.concat(F.lit(",plain,"), "bot"))
+    )
+    line = F.concat(F.concat_ws(",", "path", "session", "created_at"), tail)
+    # The first record of each file is the header.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    path = shared_folder(spark, "export")
+    header = F.lit("2Path,Session,Date,Title,Bot\n")
+    rows.select(F.when(first, F.concat(header, line)).otherwise(line).alias("value")).write.text(path)
+    return read_export(spark, path).select("hit_key", "path", "session", "created_at", "title", "bot")
+
+
 def _key_drift(spark: SparkSession, folder: str) -> DataFrame:
     """Two reads of one export, once with the header searched and once with it given."""
     cells = events.load_export_cells(spark, folder)
     path = _write_export(cells)
-    drift = insights.key_drift(
+    counts = insights.key_counts(
         read_export(spark, path), read_export(spark, path, header=",".join(cells.columns))
     )
-    return drift.agg(F.count("*").alias("drifted_keys"))
+    return counts.agg(
+        F.count("*").alias("keys"),
+        F.sum("first_rows").alias("first_rows"),
+        F.sum("second_rows").alias("second_rows"),
+        F.count_if(F.col("first_rows") != F.col("second_rows")).alias("drifted_keys"),
+    )
 
 
 def _insert_new_hits(spark: SparkSession, folder: str) -> DataFrame:
@@ -194,6 +237,22 @@ def _stream_state(spark: SparkSession, folder: str) -> DataFrame:
     return sites.sync_state(_stream(spark, folder).sync_log(spark))
 
 
+def _state_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """A call, a stream, the same stream again, and a call: numbered in this order."""
+    landing = _write_export(events.load_export_cells(spark, folder))
+    store = Store(shared_folder(spark, "store"))
+    store.sync(spark, landing, "site-0", AS_OF, 7)
+    for _ in range(2):
+        ingest_landing(
+            spark, landing, store, "site-0", f"{store.folder}/checkpoint", clock=lambda: HALF,
+            last_hit_id=lambda names: 9,
+        ).awaitTermination()
+    store.sync(spark, landing, "site-0", AFTER, store.next_cursor(spark, "site-0") - 5)
+    log = store.sync_log(spark)
+    calls = log.agg(F.max("seq").alias("seq")).first().seq
+    return sites.sync_state(log).withColumn("calls", F.lit(calls).cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     "visits": _over_hits(visits.visits),
     "visit_list": _over_hits(visits.visit_list),
@@ -201,11 +260,11 @@ QUERIES: dict[str, Query] = {
     "recent_visits_with_bots": _over_hits(search.recent_visits, include_bots=True),
     "visit_search": _over_hits(search.search_visits, SEARCH, limit=None),
     "visit_search_with_bots": _over_hits(search.search_visits, SEARCH, include_bots=True, limit=None),
-    "visit_search_newest": _over_hits(search.search_visits, "HACKER"),
-    "visit_search_reasons": _over_hits(search.match_reasons, "cta", include_bots=True),
+    "visit_search_newest": _over_hits(search.search_visits, "FORUM"),
+    "visit_search_reasons": _over_hits(search.match_reasons, "tap", include_bots=True),
     "hidden_bot_matches": _over_hits(_hidden_bots),
     "journeys": _over_hits(journeys.journeys),
-    "journeys_in_pieces": _over_hits(journeys.journeys, heavy_hits=3),
+    "journeys_in_pieces": _over_hits(_journeys_in_pieces),
     "totals": _over_hits(overview.totals),
     "overview_headline": _over_hits(overview.headline, WEEK),
     "overview_headline_28_days": _over_hits(overview.headline, MONTH),
@@ -242,4 +301,7 @@ QUERIES: dict[str, Query] = {
     "replaced_hits": _replaced_hits,
     "stream_ingest": _stream_ingest,
     "stream_sync_state": _stream_state,
+    "sync_state_mixed": _state_mixed,
+    "read_odd_export": _read_odd_export,
+    "two_sites": _over_hits(_two_sites),
 }

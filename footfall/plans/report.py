@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions import labels
-from footfall.functions.times import Instant, cutoff_text, drop_settled_days
+from footfall.functions.times import Instant, cutoff_text
 from footfall.operators.overview import (
     TOP_COUNTRIES,
     TOP_REFERRERS,
     daily_series,
     headline_counts,
     headline_facts,
+    near_and_far,
     top_pages,
+    with_began,
 )
 from footfall.operators.visits import visits
 from footfall.schema import single_row
@@ -25,7 +27,6 @@ def overview_report(
     hits: DataFrame,
     as_of: Instant,
     since: Instant | None = None,
-    max_visit_days: int | None = None,
 ) -> DataFrame:
     """Rows of (section, position, label, n): headline, referrers, countries, pages, daily.
 
@@ -38,23 +39,23 @@ def overview_report(
     )
     ranked = Window.orderBy(F.desc("n"), "label")
     return (
-        _visit_sections(hits, since, max_visit_days)
+        _visit_sections(hits, since)
         .unionByName(pages.withColumn("position", F.row_number().over(ranked)))
         .unionByName(days.withColumn("position", F.row_number().over(Window.orderBy("label"))))
     )
 
 
-def _visit_sections(hits: DataFrame, since: Instant | None, max_visit_days: int | None) -> DataFrame:
+def _visit_sections(hits: DataFrame, since: Instant | None) -> DataFrame:
     facts = headline_facts(since)
-    rows = visits(
-        drop_settled_days(hits, since, max_visit_days),
-        entry=("referrer", "country"),
-        extra=facts,
-    )
+    near, far = near_and_far(hits, since)
+    rows = visits(near, entry=("referrer", "country"), extra=facts)
     listed = (F.col("bot") == 0) & (F.col("first_seen") >= cutoff_text(since))
+    rows = with_began(rows, rows.where(listed), far)
+    listed = listed & F.col("began")
     rows = rows.select(
         "bot",
         "page_count",
+        "began",
         *facts,
         labels.referrer_or_direct(F.col("referrer")).alias("referrers"),
         labels.country_or_unknown(F.col("country")).alias("countries"),
@@ -63,6 +64,7 @@ def _visit_sections(hits: DataFrame, since: Instant | None, max_visit_days: int
     # Grouping sets over no rows lack the grand total; a visit of nothing provides it.
     nothing = single_row(rows.sparkSession).select(
         *[F.lit(0).cast("long").alias(name) for name in ("bot", "page_count", *facts)],
+        F.lit(True).alias("began"),
         F.lit(None).cast("string").alias("referrers"),
         F.lit(None).cast("string").alias("countries"),
         F.lit(False).alias("listed"),

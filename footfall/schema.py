@@ -14,6 +14,7 @@ def _field(name: str, data_type: T.DataType, comment: str, nullable: bool = True
 HITS = T.StructType(
     [
         _field("hit_key", T.StringType(), "content hash of the export row"),
+        _field("row_digest", T.StringType(), "whole content hash; tells hits of a site apart"),
         _field("session", T.StringType(), "salted visitor hash, changes every day"),
         _field("path", T.StringType(), "page path; the event name when is_event = 1"),
         _field("title", T.StringType(), "page title"),
@@ -33,8 +34,12 @@ HITS = T.StructType(
     ]
 )
 
+#: A visit is a session of one site.
+VISIT_ID = ["site", "session"]
+
 VISITS = T.StructType(
     [
+        _field("site", T.StringType(), "site that was visited"),
         _field("session", T.StringType(), "the visit"),
         _field("first_seen", T.StringType(), "created_at of its first hit"),
         _field("last_seen", T.StringType(), "created_at of its last hit"),
@@ -54,10 +59,11 @@ VISITS = T.StructType(
 SYNC_LOG = T.StructType(
     [
         _field("site", T.StringType(), "site that was synced"),
-        _field("seq", T.LongType(), "call number, growing"),
+        _field("seq", T.LongType(), "call number of the site, growing"),
         _field("last_hit_id", T.LongType(), "cursor reported by the export"),
         _field("synced_at", T.StringType(), "RFC 3339 time of the call"),
         _field("rows", T.LongType(), "hits that were new"),
+        _field("origin", T.StringType(), "what repeats the call after a failure; NULL for single calls"),
     ]
 )
 

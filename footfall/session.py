@@ -4,33 +4,26 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-# Sizes a task can take on, and the most partitions a shuffle should be cut into:
-# beyond that its blocks get too small to fetch well, and sorts spill instead.
+# Sizes a task can take on.
 SHUFFLE_BYTES = 256 * 2**20
 MIN_SHUFFLE_PARTITIONS = 200
-MAX_SHUFFLE_PARTITIONS = 40_000
-SCAN_BYTES = 128 * 2**20
-MAX_SCAN_TASKS = 200_000
 
 
 def size_settings(input_bytes: int) -> dict[str, str]:
-    """Shuffle and scan sizes for jobs over this much data.
+    """Shuffle size for jobs over this much data; tasks stay as large as they are.
 
     Adaptive execution only ever merges partitions, so a shuffle has to start with
     enough of them for the largest job; small ones are folded at run time.
     """
     wanted = math.ceil(input_bytes / SHUFFLE_BYTES)
-    partitions = min(max(wanted, MIN_SHUFFLE_PARTITIONS), MAX_SHUFFLE_PARTITIONS)
-    return {
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.files.maxPartitionBytes": str(max(SCAN_BYTES, math.ceil(input_bytes / MAX_SCAN_TASKS))),
-    }
+    return {"spark.sql.shuffle.partitions": str(max(wanted, MIN_SHUFFLE_PARTITIONS))}
 
 
 def build_session(
@@ -63,11 +56,12 @@ def build_session(
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the one the cluster shares (spark.checkpoint.dir).
 
-    Only a local session without that setting, as in a test, gets a temporary one.
+    Only a session whose executors are threads of the driver, as in a test, may be
+    without that setting; it gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -76,3 +70,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 @functools.cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="footfall-")
+
+
+def written(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in the shared folder, read again: lineage ends here, and a
+    lost executor costs no more than the tasks it ran."""
+    folder = shared_folder(frame.sparkSession, purpose)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from footfall.functions import times
 from footfall.schema import HITS, SYNC_LOG
 
-# What the remainders of the adapter's ids stand for.
-REFERRERS = "array('', 'Google', 'Hacker News', 'LinkedIn', 'GitHub', '', 'newsletter')"
-SCHEMES = "array('o', 'h', 'g', 'h', 'h', 'o', 'c')"
-COUNTRIES = "array('', 'DE', 'US', 'GB', 'NL', 'AT')"
-BROWSERS = "array('Chrome 126', 'Safari 17.5', 'Firefox 127', '')"
-SYSTEMS = "array('macOS 14.5', 'Windows 11', 'Linux')"
+# What the remainders of the adapter's ids stand for.
+REFERRERS = "array('', 'search.example', 'forum.example', 'mail.example', '', 'wiki.example', 'spring flyer')"
+SCHEMES = "array('o', 'h', 'g', 'h', 'o', 'h', 'c')"
+COUNTRIES = "array('', 'PT', 'JP', 'BR', 'KE', 'CA')"
+BROWSERS = "array('Otter 9', 'Heron 3.1', 'Lynx 2.9', '')"
+SYSTEMS = "array('Pine 4', 'Cedar 12', 'Maple')"
 
 # Naming the schema saves the job that reads it from a file.
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -30,11 +30,13 @@ IS_PAGE = "event_type IN ('view', 'error')"
 IS_HOME = "(event_type = 'click' AND event_id % 4 = 0)"
 PAGE = f"CASE WHEN {IS_PAGE} THEN concat('/p/', event_id % 12) WHEN {IS_HOME} THEN '/'"
 SITE = "concat('site-', user_id % 3)"
+DIGEST = "sha2(concat_ws('|', event_id, user_id, event_type, props), 256)"
 
 COLUMNS = {
-    "hit_key": "substring(sha2(concat_ws('|', event_id, user_id, event_type, props), 256), 1, 16)",
+    "hit_key": f"substring({DIGEST}, 1, 16)",
+    "row_digest": DIGEST,
     "session": f"concat(user_id, '-', replace({DAY}, '-', ''))",
-    "path": f"{PAGE} ELSE concat('CTA · ', event_type) END",
+    "path": f"{PAGE} ELSE concat('tap: ', event_type) END",
     "title": f"{PAGE} ELSE '' END",
     "is_event": f"CASE WHEN {IS_PAGE} OR {IS_HOME} THEN 0 ELSE 1 END",
     "browser": f"{BROWSERS}[user_id % 4]",
@@ -42,7 +44,7 @@ COLUMNS = {
     "bot": "CASE WHEN user_id % 5 = 0 THEN 1 + user_id % 3 WHEN event_id % 97 = 0 THEN 2L ELSE 0L END",
     "referrer": f"{REFERRERS}[(event_id + user_id) % 7]",
     "referrer_scheme": f"{SCHEMES}[(event_id + user_id) % 7]",
-    "screen_size": "'1920,1080,1'",
+    "screen_size": "'2400,1350,2'",
     "country": f"{COUNTRIES}[user_id % 6]",
     "first_visit": "CASE WHEN (event_id * 7 + user_id) % 5 < 3 THEN 1 ELSE 0 END",
     "created_at": CREATED_AT,
@@ -113,5 +115,6 @@ def load_sync_log(spark: SparkSession, folder: str) -> DataFrame:
             F.count("*").alias("rows"),
         )
         .withColumn("seq", F.col("day").cast("long"))
+        .withColumn("origin", F.lit(None).cast("string"))
         .select(*SYNC_LOG.fieldNames())
     )

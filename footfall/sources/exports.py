@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import csv
 import functools
+import io
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from footfall.functions import keys, times
 from footfall.schema import HITS, empty
+from footfall.session import written
 
 # The format version, the digits that spell it, the columns a file
 # must have, and the header name of each text column of a hit.
@@ -36,11 +37,20 @@ TEXT_COLUMNS = {
 FLAG_COLUMNS = {"is_event": "Event", "bot": "Bot", "first_visit": "FirstVisit"}
 LONG_MAX = 9223372036854775807
 
-# Up to this many files are asked for their first line one by one.
-FEW_FILES = 32
+# A cell: quoted, with quotes inside doubled, or free of quotes up to the next comma.
+QUOTED, PLAIN = r'"([^"]*+(?:""[^"]*+)*+)"', r'([^",]*+)'
+CELL_PATTERN = rf",(?:{QUOTED}|{PLAIN})"
+# A whole record made of such cells.
+RECORD_PATTERN = rf"\A(?:{QUOTED}|{PLAIN})(?:{CELL_PATTERN})*+\z".replace("([^", "(?:[^")
 
-# A cell after its comma: quoted, with quotes inside doubled, or up to the next comma.
-CELL_PATTERN = r',(?:"([^"]*+(?:""[^"]*+)*+)"|([^,]*))'
+# More kinds of headers than this in one load are not an export any more.
+MOST_HEADERS = 100
+
+# No cell of an export reads like this. Columns of dates in that format, asked for beyond
+# the header's, make the source keep the text of every record: no record has them, or none
+# that parses. (One with exactly that many empty cells too many is refused.)
+NO_CELL = "\ue000"
+BEYOND = [f"beyond{position}" for position in range(8)]
 
 
 class ExportError(ValueError):
@@ -49,7 +59,7 @@ class ExportError(ValueError):
 
 class ExportVersionError(ExportError):
     def __init__(self, got: int, want: int = VERSION):
-        super().__init__(f"export format version {got} is not supported, expected {want}")
+        super().__init__(f"cannot read exports of version {got}; version {want} is the one known here")
         self.got, self.want = got, want
 
 
@@ -61,23 +71,19 @@ class Header:
 
     @classmethod
     def parse(cls, line: str) -> Header:
-        cells = next(csv.reader([line]))
+        cells = next(csv.reader(io.StringIO(line, newline="")))
         first = cells[0].lstrip(DIGITS)
         version = cells[0][: len(cells[0]) - len(first)]
         if not version:
-            raise ExportError(f"header {cells[0]!r} carries no format version")
+            raise ExportError(f"no version number leads the header cell {cells[0]!r}")
         if int(version) != VERSION:
             raise ExportVersionError(int(version))
         header = cls((first, *cells[1:]))
         missing = [name for name in REQUIRED if name not in header.names]
         if missing:
-            raise ExportError(f"export is missing the columns {missing}")
+            raise ExportError(f"these required columns are not in the header: {missing}")
         return header
 
-    @property
-    def cells(self) -> list[Column]:
-        return [F.col(f"c{position}") for position in range(len(self.names))]
-
     def text(self, name: str) -> Column:
         """A named cell, '' when the file or the row does not have it."""
         if name not in self.names:
@@ -93,25 +99,40 @@ def read_export(
     header: str | None = None,
     multi_line: bool = True,
     key_mode: str = "cells",
-    key_bits: int = 64,
 ) -> DataFrame:
     """Hits of all files. Every header is checked before a single row is parsed.
 
-    For a few files that reads their first lines; among many, finding the headers
-    scans the raw text once. Pass the expected ``header`` line to skip that: each file
-    is then held to it while it is read. ``multi_line=False`` lets Spark split huge
-    plain files, for exports without line breaks in cells.
-    ``key_mode="canonical"`` keys a hit by its mapped columns in name order, so the
-    key survives reordered or widened exports.
+    Headers are found by opening each file for its first record. If ``header`` is given,
+    all files must have it. A record whose quotes do not pair up, or stand inside an
+    unquoted cell, refuses the load whatever columns are asked for.
+    ``multi_line=False`` lets Spark split huge plain files, for exports without line
+    breaks in cells. ``key_mode="canonical"`` keys a hit by its mapped columns in name
+    order, so the key survives reordered or widened exports.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if key_mode not in ("cells", "canonical"):
         raise ValueError(f"unknown key_mode {key_mode!r}")
-    hits = [
-        _to_hits(_read_cells(spark, files, parsed, header, multi_line), parsed, site, key_mode, key_bits)
-        for parsed, files in _files_by_header(spark, paths, header)
-    ]
-    return functools.reduce(DataFrame.unionByName, hits) if hits else empty(spark, HITS)
+    if header is not None:
+        Header.parse(header)
+    firsts = _first_records(spark, paths)
+    lines = sorted(row.line for row in firsts.select("line").distinct().limit(MOST_HEADERS + 1).collect())
+    if len(lines) > MOST_HEADERS:
+        raise ExportError(f"the files have more than {MOST_HEADERS} different headers")
+    headers = [Header.parse(line) for line in lines]
+    if header is not None and any(line != header for line in lines):
+        raise ExportError("a file does not have the header it was said to have")
+    if not headers:
+        return empty(spark, HITS)
+    width = max(len(parsed.names) for parsed in headers)
+    records = _checked(_read_records(spark, paths, width, True, multi_line))
+    if len(headers) == 1:
+        return _to_hits(records, headers[0], site, key_mode)
+    # Files differ: each record learns which header its file has.
+    number = F.array_position(F.array(*[F.lit(line) for line in lines]), F.col("line")) - 1
+    known = firsts.select(F.col("file").alias("of_file"), number.cast("int").alias("kind"))
+    records = records.join(known, records["file"] == known["of_file"])
+    parts = [_to_hits(records.where(F.col("kind") == k), parsed, site, key_mode) for k, parsed in enumerate(headers)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def literal_path(path: str) -> str:
@@ -119,70 +140,68 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
-def _files_by_header(
-    spark: SparkSession, paths: list[str], header: str | None
-) -> list[tuple[Header, list[str]]]:
-    if header is not None:
-        return [(Header.parse(header), paths)]
-    text = spark.read.text(paths)
-    files = [literal_path(unquote(file)) for file in text.inputFiles()]
-    if len(files) <= FEW_FILES:
-        first_rows = [(file, _lines(spark.read.text(file)).head()) for file in files]
-        found = [(file, row.line) for file, row in first_rows if row]
-        headers = {line: Header.parse(line) for _, line in found}
-    else:
-        by_file = (
-            _lines(text)
-            .withColumn("row", F.monotonically_increasing_id())
-            .groupBy("file")
-            .agg(F.min_by("line", "row").alias("line"))
-        )
-        headers = {row.line: Header.parse(row.line) for row in by_file.select("line").distinct().collect()}
-        # One header is the rule; else the reader needs the files of each, as listed.
-        found = [] if len(headers) == 1 else [(literal_path(unquote(r.file)), r.line) for r in by_file.collect()]
-    if len(headers) == 1:
-        return [(next(iter(headers.values())), paths)]
-    return [(parsed, [file for file, first in found if first == line]) for line, parsed in headers.items()]
-
-
-def _lines(text: DataFrame) -> DataFrame:
-    """Lines that may be a header: of the start of a file and not blank."""
-    return (
-        text.select(
-            F.rtrim("value", F.lit("\r")).alias("line"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-        )
-        .where((F.col("start") == 0) & (F.col("line") != ""))
-        .select("file", "line")
-    )
-
-
-def _read_cells(
-    spark: SparkSession, files: list[str], parsed: Header, header: str | None, multi_line: bool
+def _read_records(
+    spark: SparkSession, paths: list[str], width: int, header: bool, multi_line: bool
 ) -> DataFrame:
-    names = [f"c{position}" for position in range(len(parsed.names))]
-    if header is not None:
-        names = next(csv.reader([header]))
-    fields = [T.StructField(name, T.StringType()) for name in (*names, "ragged")]
+    """c0 .. c<width - 1>, record (its text) and file of every record."""
+    cells = ", ".join([f"c{position} string" for position in range(width)] + [f"{name} date" for name in BEYOND])
     raw = (
-        spark.read.schema(T.StructType(fields))
-        .option("header", True)
-        .option("enforceSchema", header is None)
+        spark.read.schema(f"{cells}, record string")
+        .option("header", header)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "ragged")
-        .csv(files)
+        .option("columnNameOfCorruptRecord", "record")
+        .option("nullValue", NO_CELL)
+        .option("dateFormat", f"'{NO_CELL}'")
+        .option("enableDateTimeParsingFallback", False)
+        .option("columnPruning", False)
+        .csv(paths)
     )
     # A line break inside a cell is a single line feed, however the file writes it.
-    targets = [*(f"c{position}" for position in range(len(parsed.names))), "ragged"]
-    return raw.selectExpr(
-        *[f"replace(`{name}`, '\\r\\n', '\\n') AS {target}" for name, target in zip(raw.columns, targets)]
+    columns = [name for name in raw.columns if name not in BEYOND]
+    return raw.select(
+        *[F.replace(name, F.lit("\r\n"), F.lit("\n")).alias(name) for name in columns],
+        F.col("_metadata.file_path").alias("file"),
     )
 
 
+def _checked(records: DataFrame) -> DataFrame:
+    """The records, unless one is malformed. As a filter this stays when columns go."""
+    # The source wants one more column to be read beside the text.
+    read = F.coalesce(F.length("c0"), F.lit(0)) >= 0
+    sound = F.coalesce(F.col("record").rlike(RECORD_PATTERN), F.lit(False)) & read
+    shown = F.coalesce(F.substring("record", 1, 200), F.lit("(too many empty cells)"))
+    complaint = F.concat(F.lit("misplaced or unclosed quote in export record: "), shown)
+    return records.where(F.when(sound, F.lit(True)).otherwise(F.raise_error(complaint).cast("boolean")))
+
+
+def _first_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file and line, the first record of each file that has one.
+
+    A task opens one file and stops after that record, so what is read does not depend
+    on how long files are.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    conf, whole = "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, spark.conf.get(whole))  # no two files in a task
+    try:
+        records = _read_records(spark, paths, 1, False, True)
+        line = F.coalesce(F.rtrim("record", F.lit("\r")), F.col("c0")).alias("line")
+        firsts = records.select("file", line).mapInArrow(first, "file string, line string")
+        return written(firsts, "export-first-records")
+    finally:
+        spark.conf.set(conf, before)
+
+
 def _present_cells(record: Column) -> Column:
     """The keyed content of the cells a record really has, from its text; a short row
     has fewer than the header names, and an absent cell is not an empty one."""
@@ -190,23 +209,19 @@ def _present_cells(record: Column) -> Column:
     return F.replace(ended, F.lit('""'), F.lit('"'))
 
 
-def _to_hits(cells: DataFrame, header: Header, site: str, key_mode: str, key_bits: int) -> DataFrame:
+def _to_hits(records: DataFrame, header: Header, site: str, key_mode: str) -> DataFrame:
     text = {column: header.text(name) for column, name in TEXT_COLUMNS.items()}
     flag = {column: header.text(name) for column, name in FLAG_COLUMNS.items()}
     if key_mode == "canonical":
         by_name = {**TEXT_COLUMNS, **FLAG_COLUMNS}
-        key = keys.row_key([header.text(name) for name in sorted(by_name.values())], key_bits)
+        content = keys.cells_content([header.text(name) for name in sorted(by_name.values())])
     else:
-        ragged = F.col("ragged")
-        quotes = F.length(ragged) - F.length(F.replace(ragged, F.lit('"'), F.lit("")))
-        key = (
-            F.when(ragged.isNull(), keys.row_key(header.cells, key_bits))
-            .when(quotes % 2 == 1, F.raise_error(F.concat(F.lit("unclosed quote in export row: "), ragged)))
-            .otherwise(keys.digest(_present_cells(ragged), key_bits))
-        )
+        content = _present_cells(F.col("record"))
     is_event = (flag["is_event"] == "1") | (F.lower(flag["is_event"]) == "true")
-    return cells.select(
-        key.alias("hit_key"),
+    records = records.withColumn("row_digest", keys.digest(content))
+    return records.select(
+        keys.short(F.col("row_digest")).alias("hit_key"),
+        "row_digest",
         *[column.alias(name) for name, column in text.items()],
         is_event.cast("int").alias("is_event"),
         _whole_number(flag["bot"]).alias("bot"),

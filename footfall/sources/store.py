@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.functions.times import Instant, instant_text
+from footfall.operators.sites import sync_state
 from footfall.schema import HITS, SYNC_LOG, empty, single_row
 from footfall.sources.exports import read_export
 
-# A hit is stored once per site.
-HIT_ID = ["site", "hit_key"]
+# A hit is stored once per site; the whole digest decides, not the short key.
+HIT_ID = ["site", "row_digest"]
 
 
 @dataclass(frozen=True)
@@ -45,49 +48,47 @@ class Store:
     def log_path(self) -> str:
         return f"{self.folder}/sync_log"
 
-    def hits(self, spark: SparkSession) -> DataFrame:
-        return _read_or_empty(spark, self.hits_path, HITS)
+    def hits(self, spark: SparkSession, site: str | None = None) -> DataFrame:
+        """Stored hits, of one site if named; parts of files without that site are skipped."""
+        hits = _read_or_empty(spark, self.hits_path, HITS)
+        return hits if site is None else hits.where(F.col("site") == site)
 
     def sync_log(self, spark: SparkSession) -> DataFrame:
         return _read_or_empty(spark, self.log_path, SYNC_LOG)
 
     def insert(self, batch: DataFrame) -> Inserted:
-        """Append the hits whose key is not stored yet; the rest is ignored.
-
-        The key covers the date, so a stored copy of a hit lies on the same day:
-        only the batch's days are compared, and stored keys are first narrowed to
-        those of the batch, which Spark broadcasts when their size allows and shuffles
-        when not. The keys are kept for that and recomputed where an executor is
-        lost; the rows are read again when they are written. A repeated call after a
-        failure finds what was written and adds the rest.
+        """Append the hits that are not stored yet; the rest is ignored.
+
+        A digest covers the date, so a stored copy of a hit lies on the same day: only the
+        batch's own days are compared. The batch is parsed once and kept, on disk where it
+        does not fit, for counting, comparing and writing; what a lost executor held is
+        parsed again. A repeated call after a failure finds what was written and adds the
+        rest.
         """
         spark = batch.sparkSession
-        batch = batch.select(*HITS.fieldNames())
-        keys = batch.select(*HIT_ID, "event_date")
-        stored = self.hits(spark)
-        first_load = stored.isEmpty()
-        if not first_load:
-            keys.persist()
+        batch = batch.select(*HITS.fieldNames()).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            shape = keys.agg(
-                F.count("*").alias("rows"),
-                F.min("event_date").alias("first"),
-                F.max("event_date").alias("last"),
-                F.count_if(F.col("event_date").isNull()).alias("undated"),
-            ).first()
-            if shape.rows == 0:
+            # One row per day, however large the batch.
+            days = batch.groupBy("event_date").agg(F.count("*").alias("rows")).collect()
+            if not days:
                 return Inserted(0, 0)
-            same_days = _on_days(stored, shape)
-            known = 0 if first_load else same_days.count()
-            fresh = batch.dropDuplicates(HIT_ID)
+            same_days = _on_days(self.hits(spark), [row.event_date for row in days])
+            known = same_days.count()
+            # Dealt by what tells hits apart, copies meet without a second shuffle; rows
+            # are grouped by all their columns, as copies agree in all of them.
+            fresh = batch.repartition(*HIT_ID).distinct()
             if known:
-                offered = keys.select(*HIT_ID).distinct()
-                copies = same_days.select(*HIT_ID).join(offered, HIT_ID, "left_semi")
-                fresh = fresh.join(copies, HIT_ID, "left_anti")
+                fresh = fresh.join(same_days.select(*HIT_ID), HIT_ID, "left_anti")
             _write_hits(fresh, self.hits_path, "append")
-            return Inserted(shape.rows, _on_days(self.hits(spark), shape).count() - known)
+            stored = _on_days(self.hits(spark), [row.event_date for row in days]).count()
+            return Inserted(sum(row["rows"] for row in days), stored - known)
         finally:
-            keys.unpersist()
+            batch.unpersist()
+
+    def next_cursor(self, spark: SparkSession, site: str) -> int | None:
+        """Where the next export of a site should start; None means from the beginning."""
+        state = sync_state(self.sync_log(spark).where(F.col("site") == site)).first()
+        return None if state is None else state.cursor
 
     def record(
         self,
@@ -96,13 +97,18 @@ class Store:
         synced_at: Instant,
         rows: int,
         last_hit_id: int | None = None,
-        seq: int | None = None,
+        origin: str | None = None,
     ) -> None:
-        """Note a sync. Calls are numbered per site unless ``seq`` is given."""
-        if seq is None:
-            calls = self.sync_log(spark).where(F.col("site") == site)
-            seq = (calls.agg(F.max("seq").alias("seq")).first().seq or 0) + 1
-        values = (site, seq, last_hit_id, instant_text(synced_at), rows)
+        """Note a sync. The calls of a site are numbered in the order they are noted,
+        whoever makes them; a call of an ``origin`` that is noted already is not noted
+        again."""
+        calls = self.sync_log(spark).where(F.col("site") == site)
+        noted = calls.agg(
+            F.max("seq").alias("seq"), F.count_if(F.col("origin") == F.lit(origin)).alias("same")
+        ).first()
+        if noted.same:
+            return
+        values = (site, (noted.seq or 0) + 1, last_hit_id, instant_text(synced_at), rows, origin)
         entry = single_row(spark).select(
             *[F.lit(value).cast(field.dataType).alias(field.name) for value, field in zip(values, SYNC_LOG)]
         )
@@ -115,17 +121,18 @@ class Store:
         site: str,
         synced_at: Instant,
         last_hit_id: int | None = None,
-        seq: int | None = None,
+        origin: str | None = None,
         **export_options,
     ) -> Inserted:
-        """Read export files, store what is new, note the sync."""
+        """Read export files, store what is new, note the sync. ``last_hit_id`` is the
+        cursor that came with the export; see ``next_cursor``."""
         result = self.insert(read_export(spark, paths, site, **export_options))
-        self.record(spark, site, synced_at, result.new, last_hit_id, seq)
+        self.record(spark, site, synced_at, result.new, last_hit_id, origin)
         return result
 
     def replace(self, spark: SparkSession, hits: DataFrame) -> None:
         """Start over with these hits instead of merging into what is stored."""
-        fresh = hits.select(*HITS.fieldNames()).dropDuplicates(HIT_ID)
+        fresh = hits.select(*HITS.fieldNames()).repartition(*HIT_ID).distinct()
         _write_hits(fresh, self.hits_path, "overwrite")
         empty(spark, SYNC_LOG).write.mode("overwrite").parquet(self.log_path)
 
@@ -146,14 +153,11 @@ def _write_hits(hits: DataFrame, path: str, mode: str) -> None:
     )
 
 
-def _on_days(hits: DataFrame, shape) -> DataFrame:
-    """Stored hits of the days of a batch; hits without a day are a partition too."""
-    kept = F.lit(False)
-    if shape.first is not None:
-        kept = F.col("event_date").between(F.lit(shape.first), F.lit(shape.last))
-    if shape.undated:
-        kept = kept | F.col("event_date").isNull()
-    return hits.where(kept)
+def _on_days(hits: DataFrame, days: list[dt.date | None]) -> DataFrame:
+    """Stored hits of exactly these days; hits without a day are a partition too."""
+    dated = [day for day in days if day is not None]
+    kept = F.col("event_date").isin(dated)
+    return hits.where(kept if len(dated) == len(days) else kept | F.col("event_date").isNull())
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -29,21 +29,25 @@ def ingest_landing(
     checkpoint: str,
     files_per_batch: int = FILES_PER_BATCH,
     clock: Callable[[], Instant] = utc_now,
+    last_hit_id: Callable[[list[str]], int | None] = lambda names: None,
     **export_options,
 ) -> StreamingQuery:
     """Sync every file not seen before, then stop.
 
     The stream carries file names only: exports may differ in their headers, so each
     batch of files goes through the batch reader. The checkpoint remembers the files;
-    a batch repeated after a failure inserts nothing twice, and its log entry keeps
-    its number.
+    a batch repeated after a failure inserts nothing twice and is noted once, by the
+    checkpoint and its number there. ``last_hit_id`` tells the cursor that came with the
+    files of a batch.
     """
 
     def sync_files(batch: DataFrame, batch_id: int) -> None:
         # At most files_per_batch names.
         names = [literal_path(row.path) for row in batch.collect()]
         if names:
-            store.sync(batch.sparkSession, names, site, clock(), seq=batch_id, **export_options)
+            origin = f"{checkpoint}#{batch_id}"
+            cursor = last_hit_id(names)
+            store.sync(batch.sparkSession, names, site, clock(), cursor, origin, **export_options)
 
     files = (
         spark.readStream.format("binaryFile")

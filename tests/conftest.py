@@ -39,13 +39,13 @@ def spark(tmp_path_factory):
 DEFAULTS = {
     "title": "",
     "is_event": 0,
-    "browser": "Chrome 126",
-    "system": "macOS 10.15",
+    "browser": "Heron 3.1",
+    "system": "Maple",
     "bot": 0,
-    "referrer": "Hacker News",
-    "referrer_scheme": "g",
-    "screen_size": "1920,1080,1",
-    "country": "DE",
+    "referrer": "seeds.example",
+    "referrer_scheme": "h",
+    "screen_size": "800,600,1",
+    "country": "PT",
     "first_visit": 0,
     "site": "main",
 }
@@ -61,9 +61,9 @@ def make_hits(spark):
         for row in rows:
             values = row if isinstance(row, dict) else dict(zip(names, row))
             values = {**DEFAULTS, **values}
-            values.setdefault(
-                "hit_key", hashlib.sha256(repr(sorted(values.items())).encode()).hexdigest()[:16]
-            )
+            digest = hashlib.sha256(repr(sorted(values.items())).encode()).hexdigest()
+            values.setdefault("hit_key", digest[:16])
+            values.setdefault("row_digest", f"digest of {values['hit_key']}")
             full.append(tuple(values.get(name) for name in HITS.fieldNames()))
         frame = spark.createDataFrame(full, HITS)
         return frame.withColumns(

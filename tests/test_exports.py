@@ -4,17 +4,25 @@ import hashlib
 import pytest
 from conftest import rows
 
-from footfall.sources.exports import ExportError, ExportVersionError, read_export
+from footfall.sources.exports import BEYOND, ExportError, ExportVersionError, read_export
+from footfall.sources.store import Store
+
+# The format names its columns so; order and content are the test's own.
+NAMES = [
+    "Date", "Path", "Session", "FirstVisit", "Bot", "Event", "Title", "Referrer", "Referrer scheme",
+    "Location", "Browser", "System", "Screen size", "UserAgent",
+]
+HEADER = "2" + ",".join(NAMES)
+RECORDS = [
+    ["2025-02-01T08:00:00Z", "/harbour", "gull", "1", "0", "0", "Harbour", "tides.example", "h", "PT", "Otter 9", "Pine 4", "800,600,2", "x"],
+    ["2025-02-01T08:05:30Z", "ring bell", "gull", "0", "0", "1", "", "", "o", "PT", "Otter 9", "Pine 4", "800,600,2", ""],
+    ["2025-02-02T23:59:59Z", "/pier", "crab", "1", "12", "true", 'The "old" pier,\nrebuilt', "", "o", "", "", "", "", '"quoted"'],
+]
+WHEN = "2025-02-01T08:00:00Z"
 
-HEADER = (
-    "2Path,Title,Event,UserAgent,Browser,System,Session,Bot,Referrer,Referrer scheme,"
-    "Screen size,Location,FirstVisit,Date"
-)
-ROWS = [
-    '/a,first page,0,,Chrome 126,macOS 10.15,s1,0,Hacker News,g,"1920,0,1",DE,1,2026-07-25T11:32:39Z',
-    '/a/second,second page,0,,Chrome 126,macOS 10.15,s1,0,,o,"1920,0,1",DE,1,2026-07-25T11:32:43Z',
-    '/a/third,"third ""page""\nhere",1,,Chrome 126,macOS 10.15,s1,3,,o,"1920,0,1",DE,0,2026-07-25T11:32:47Z',
-]
+
+def line(cells):
+    return ",".join('"' + c.replace('"', '""') + '"' if set(c) & set(',"\n') else c for c in cells)
 
 
 def key_of(*cells):
@@ -34,163 +42,156 @@ def write(tmp_path):
 
 @pytest.fixture
 def export(write):
-    return write("\n".join([HEADER, *ROWS]) + "\n")
-
+    return write("\n".join([HEADER, *map(line, RECORDS)]) + "\n")
 
-def test_rows_of_the_real_shape(spark, export):
-    hits = read_export(spark, export, "main").orderBy("created_at").collect()
-    assert [hit.path for hit in hits] == ["/a", "/a/second", "/a/third"]
-    assert [hit.screen_size for hit in hits] == ["1920,0,1"] * 3
-    assert [hit.first_visit for hit in hits] == [1, 1, 0]
-    assert [(hit.is_event, hit.bot) for hit in hits] == [(0, 0), (0, 0), (1, 3)]
-    assert [hit.referrer for hit in hits] == ["Hacker News", "", ""]
-    assert hits[2].title == 'third "page"\nhere'
-    assert {(hit.site, hit.country, str(hit.event_date)) for hit in hits} == {("main", "DE", "2026-07-25")}
-    assert str(hits[0].ts) == "2026-07-25 11:32:39"
 
+def test_typed_columns(spark, export):
+    by_path = {hit.path: hit for hit in read_export(spark, export, "coast").collect()}
+    harbour, bell, pier = by_path["/harbour"], by_path["ring bell"], by_path["/pier"]
+    assert (harbour.screen_size, harbour.country, harbour.referrer, harbour.site) == ("800,600,2", "PT", "tides.example", "coast")
+    assert [(h.is_event, h.bot, h.first_visit) for h in (harbour, bell, pier)] == [(0, 0, 1), (1, 0, 0), (1, 12, 1)]
+    assert (pier.title, pier.browser) == ('The "old" pier,\nrebuilt', "")
+    assert (str(bell.ts), str(pier.event_date)) == ("2025-02-01 08:05:30", "2025-02-02")
 
-def test_keys_are_distinct_stable_and_cover_every_cell(spark, export):
-    first = rows(read_export(spark, export), "path", "hit_key")
-    assert sorted(first) == sorted(rows(read_export(spark, export), "path", "hit_key"))
-    expected = key_of(
-        "/a", "first page", "0", "", "Chrome 126", "macOS 10.15", "s1", "0", "Hacker News", "g",
-        "1920,0,1", "DE", "1", "2026-07-25T11:32:39Z",
-    )
-    assert dict(first)["/a"] == expected
-    assert len(set(key for _, key in first)) == 3 and all(key for _, key in first)
 
+def test_keys_are_stable_distinct_and_cover_every_cell(spark, export):
+    first = dict(rows(read_export(spark, export), "path", "hit_key"))
+    assert first == dict(rows(read_export(spark, export), "path", "hit_key"))
+    assert first == {cells[1]: key_of(*cells) for cells in RECORDS}
+    for key, digest in rows(read_export(spark, export), "hit_key", "row_digest"):
+        assert len(digest) == 64 and digest.startswith(key)
 
-def test_wider_keys(spark, export):
-    [(key,)] = rows(read_export(spark, export, key_bits=256).where("path = '/a'"), "hit_key")
-    [(short,)] = rows(read_export(spark, export).where("path = '/a'"), "hit_key")
-    assert len(key) == 64 and key.startswith(short)
 
-
-def test_wrong_version_is_refused(spark, write):
+@pytest.mark.parametrize("number", ["1", "3", "22"])
+def test_other_versions_are_refused(spark, write, number):
     with pytest.raises(ExportVersionError) as error:
-        read_export(spark, write("9Path,Title,Session,Date\n/,t,s,d\n"))
-    assert (error.value.got, error.value.want) == (9, 2)
+        read_export(spark, write(f"{number}Date,Path,Session\n{WHEN},/,s\n"))
+    assert (error.value.got, error.value.want) == (int(number), 2)
 
 
-@pytest.mark.parametrize("header", ["Path,Title,Session,Date", "2Title,Browser", "2Path,Session"])
+@pytest.mark.parametrize("header", ["Date,Path,Session", "2Date,Path", "2", "2path,session,date", '"Date",2Path,Session'])
 def test_bad_headers_are_refused(spark, write, header):
     with pytest.raises(ExportError):
         read_export(spark, write(header + "\n/,x\n"))
 
 
 def test_one_bad_file_refuses_all(spark, export, write):
-    bad = write("3" + HEADER[1:] + "\n", "bad.csv")
     with pytest.raises(ExportVersionError):
-        read_export(spark, [export, bad])
+        read_export(spark, [export, write("8" + HEADER[1:] + "\n", "bad.csv")])
 
 
-def test_empty_file_is_no_error(spark, export, write):
-    empty = write("", "empty.csv")
-    assert read_export(spark, empty).collect() == []
-    assert read_export(spark, [empty, export]).count() == 3
+def test_files_without_records(spark, export, write):
+    nothing = write("", "nothing.csv")
+    assert read_export(spark, nothing).collect() == []
+    assert read_export(spark, [nothing, export]).count() == 3
     assert read_export(spark, write(HEADER + "\n", "header.csv")).collect() == []
 
 
 def test_columns_are_found_by_name(spark, write):
-    path = write("2Date,Session,Path,Bot,FirstVisit\n2026-07-25T11:32:39Z,sess-x,/reordered,1,1\n")
-    [hit] = read_export(spark, path).collect()
-    assert (hit.path, hit.session, hit.bot, hit.first_visit, hit.is_event) == ("/reordered", "sess-x", 1, 1, 0)
-    assert (hit.title, hit.browser, hit.country) == ("", "", "")
-    assert hit.hit_key == key_of("2026-07-25T11:32:39Z", "sess-x", "/reordered", "1", "1")
-
+    [hit] = read_export(spark, write(f"2Bot,Session,Date,Location,Path\n6,heron,{WHEN},KE,/reeds\n")).collect()
+    assert (hit.path, hit.session, hit.bot, hit.country, hit.created_at) == ("/reeds", "heron", 6, "KE", WHEN)
+    assert (hit.title, hit.browser, hit.first_visit) == ("", "", 0)
+    assert hit.hit_key == key_of("6", "heron", WHEN, "KE", "/reeds")
+
+
+def test_a_header_cell_may_hold_a_line_break(spark, write):
+    path = write(f'"2Path","Two\nlines",Session,Date\n/a,x,s,{WHEN}\n')
+    assert rows(read_export(spark, path), "path", "session", "hit_key") == [("/a", "s", key_of("/a", "x", "s", WHEN))]
+
+
+def test_many_files_of_different_headers(spark, write, tmp_path):
+    """Forty files, three headers, gzip and odd names: one path for any number."""
+    expected = []
+    for number in range(40):
+        cells = {"Date": WHEN, "Path": f"/{number}", "Session": f"s{number % 3}", "Title": f"t{number}"}
+        names = [["Date", "Path", "Session"], ["Session", "Title", "Path", "Date"], ["Path", "Date", "Session", "Other"]][number % 3]
+        name = f"re ordered%20+[{number}].csv" + (".gz" if number % 5 == 0 else "")
+        write("2" + ",".join(names) + "\n" + ",".join(cells.get(n, "x") for n in names) + "\n", name)
+        expected.append((f"/{number}", f"s{number % 3}", f"t{number}" if number % 3 == 1 else "", key_of(*[cells.get(n, "x") for n in names])))
+    write("", "empty.csv")
+    assert sorted(rows(read_export(spark, str(tmp_path)), "path", "session", "title", "hit_key")) == sorted(expected)
 
-def test_files_with_different_headers_gzip_and_odd_names(spark, export, write, tmp_path):
-    other = "2Date,Session,Path\n2026-07-25T11:32:39Z,s2,/other\n"
-    write(other, "re ordered%20+[1].csv")
-    write(other.replace("s2", "s3"), "more.csv.gz")
-    assert sorted(rows(read_export(spark, str(tmp_path)), "session", "path")) == [
-        ("s1", "/a"), ("s1", "/a/second"), ("s1", "/a/third"), ("s2", "/other"), ("s3", "/other"),
-    ]
 
+def test_finding_headers_reads_only_the_beginning_of_files(spark, write):
+    """Behind the first records a file may even be broken."""
+    from footfall.sources import exports
 
-def test_many_files_give_the_same(spark, export, write, tmp_path, monkeypatch):
-    """Beyond a few files the headers come from one scan instead of single looks."""
-    write("2Date,Session,Path\n2026-07-25T11:32:39Z,s2,/other\n", "re ordered%20+[1].csv")
-    write("", "empty.csv")
-    few = sorted(map(repr, rows(read_export(spark, str(tmp_path)))))
-    alike = sorted(map(repr, rows(read_export(spark, export))))
-    monkeypatch.setattr("footfall.sources.exports.FEW_FILES", 0)
-    assert sorted(map(repr, rows(read_export(spark, str(tmp_path))))) == few and len(few) == 4
-    assert sorted(map(repr, rows(read_export(spark, export)))) == alike
-    with pytest.raises(ExportVersionError):
-        read_export(spark, [export, write("3Path,Session,Date\n", "bad.csv")])
+    long = write("2Path,Session,Date\n" + f"/a,s,{WHEN}\n" * 200_000 + '/b,"s')
+    [(_, header)] = rows(exports._first_records(spark, [long]))
+    assert header == "2Path,Session,Date"
 
 
 def test_flags_and_numbers(spark, write):
     cells = [
-        ("1", "0", "1"), ("TRUE", "+5", "true"), ("true", "-1", "0"), ("yes", " 5", ""), ("0", "x", "2"),
-        ("", "99999999999999999999", "1"), ("", "-99999999999999999999", "1"), ("", "1.5", "1"),
+        ("1", "7", "1"), ("TrUe", "+31", "TRUE"), ("false", "-4", "0"), ("2", "3 ", ""), ("", "seven", "01"),
+        ("", "123456789012345678901", "1"), ("", "-123456789012345678901", "1"), ("", "0.5", "1"),
     ]
-    body = "".join(f"/{n},s,2026-07-25T11:32:39Z,{e},{b},{f}\n" for n, (e, b, f) in enumerate(cells))
+    body = "".join(f"/{n},s,{WHEN},{e},{b},{f}\n" for n, (e, b, f) in enumerate(cells))
     path = write("2Path,Session,Date,Event,Bot,FirstVisit\n" + body)
-    hits = rows(read_export(spark, path).orderBy("path"), "is_event", "bot", "first_visit")
-    assert hits == [
-        (1, 0, 1), (1, 5, 0), (1, -1, 0), (0, 0, 0), (0, 0, 0),
+    assert rows(read_export(spark, path).orderBy("path"), "is_event", "bot", "first_visit") == [
+        (1, 7, 1), (1, 31, 0), (0, -4, 0), (0, 0, 0), (0, 0, 0),
         (0, 2**63 - 1, 1), (0, -(2**63), 1), (0, 0, 1),
     ]
 
 
-def test_rows_shorter_or_longer_than_the_header(spark, write):
-    body = [
-        "/full,s,2026-07-25T11:32:39Z,t",
-        "/empty,s,2026-07-25T11:32:39Z,",
-        "/empty,s,2026-07-25T11:32:39Z",
-        '/long,s,2026-07-25T11:32:39Z,t,"extra, ""one""",2',
-        '/long,s,2026-07-25T11:32:39Z,t,"extra, ""two""",2',
-        "/short",
-    ]
-    path = write("\n".join(["2Path,Session,Date,Title", *body]) + "\n")
-    hits = rows(read_export(spark, path), "path", "session", "created_at", "title", "hit_key")
-    when = "2026-07-25T11:32:39Z"
-    assert sorted(hits) == sorted(
-        [
-            ("/full", "s", when, "t", key_of("/full", "s", when, "t")),
-            ("/empty", "s", when, "", key_of("/empty", "s", when, "")),
-            ("/empty", "s", when, "", key_of("/empty", "s", when)),
-            ("/long", "s", when, "t", key_of("/long", "s", when, "t", 'extra, "one"', "2")),
-            ("/long", "s", when, "t", key_of("/long", "s", when, "t", 'extra, "two"', "2")),
-            ("/short", "", "", "", key_of("/short")),
-        ]
-    )
-
-
-def test_unclosed_quote_fails_the_read(spark, write):
-    path = write('2Path,Session,Date\n/,s,2026-07-25T11:32:39Z\n/,"s,2026-07-25T11:32:39Z\n')
-    with pytest.raises(Exception, match="unclosed quote"):
-        read_export(spark, path).collect()
+def test_records_shorter_or_longer_than_the_header(spark, write):
+    records = [
+        ["/even", "s", WHEN, "t"], ["/blank", "s", WHEN, ""], ["/blank", "s", WHEN], ["/only"],
+        ["/more", "s", WHEN, "t", 'and "so"', "5"], ["/more", "s", WHEN, "t", ""], ["/more", "s", WHEN, "t", "", ""],
+    ]
+    path = write("\n".join(["2Path,Session,Date,Title", *map(line, records)]) + "\n")
+    for mode in (True, False):
+        found = rows(read_export(spark, path, multi_line=mode), "path", "session", "created_at", "title", "hit_key")
+        padded = [(*(r + [""] * 4)[:4], key_of(*r)) for r in records]
+        assert sorted(found) == sorted(padded)
+    with pytest.raises(Exception, match="too many empty cells"):
+        read_export(spark, write("2Path,Session,Date\n/,s,d" + "," * len(BEYOND) + "\n", "odd.csv")).collect()
+
+
+@pytest.mark.parametrize("options", [{}, {"key_mode": "canonical"}, {"multi_line": False}, {"header": "2Path,Session,Date"}])
+@pytest.mark.parametrize(
+    "broken",
+    [f'/b,"s,{WHEN}', f'/b,s,"{WHEN}', f'/b"b,s,{WHEN}', f'/b,"s"s,{WHEN}', f'"/b,s,{WHEN}'],
+    ids=["open in the middle", "open at the end", "inside a cell", "after a cell", "open at the start"],
+)
+def test_misplaced_quotes_refuse_the_load(spark, write, tmp_path, broken, options):
+    good = [f"/{n},s,{WHEN}" for n in range(5)]
+    path = write("\n".join(["2Path,Session,Date", good[0], broken, *good[1:]]) + "\n")
+    with pytest.raises(Exception, match="quote in export record"):
+        read_export(spark, path, **options).select("path").collect()
+    store = Store(str(tmp_path / "store"))
+    with pytest.raises(Exception, match="quote in export record"):
+        store.sync(spark, path, "main", WHEN, **options)
+    assert store.hits(spark).count() == 0 and store.sync_log(spark).count() == 0
 
 
 def test_windows_line_ends(spark, write):
-    path = write('2Path,Session,Date,Title\r\n/,s,2026-07-25T11:32:39Z,"two\r\nlines"\r\n')
+    path = write(f'2Path,Session,Date,Title\r\n/,s,{WHEN},"up\r\ndown"\r\n')
     [hit] = read_export(spark, path).collect()
-    assert hit.title == "two\nlines"
-    assert hit.hit_key == key_of("/", "s", "2026-07-25T11:32:39Z", "two\nlines")
+    assert (hit.title, hit.hit_key) == ("up\ndown", key_of("/", "s", WHEN, "up\ndown"))
 
 
 def test_canonical_keys_survive_reordering(spark, write):
-    one = write("2Path,Session,Date\n/,s,2026-07-25T11:32:39Z\n", "one.csv")
-    two = write("2Date,UserAgent,Session,Path\n2026-07-25T11:32:39Z,agent,s,/\n", "two.csv")
+    one = write(f"2Path,Session,Date\n/,s,{WHEN}\n", "one.csv")
+    two = write(f"2UserAgent,Date,Path,Session\nagent,{WHEN},/,s\n", "two.csv")
     assert len(set(rows(read_export(spark, [one, two]), "hit_key"))) == 2
-    assert len(set(rows(read_export(spark, [one, two], key_mode="canonical"), "hit_key"))) == 1
+    assert len(set(rows(read_export(spark, [one, two], key_mode="canonical"), "row_digest"))) == 1
 
 
-def test_given_header_skips_the_search_and_is_enforced(spark, export, write):
+def test_a_given_header_is_enforced(spark, export, write):
     given = rows(read_export(spark, export, header=HEADER))
     assert sorted(map(repr, given)) == sorted(map(repr, rows(read_export(spark, export))))
     with pytest.raises(ExportVersionError):
         read_export(spark, export, header="4Path,Session,Date")
-    other = write("2Date,Session,Path\n2026-07-25T11:32:39Z,s2,/other\n", "other.csv")
-    with pytest.raises(Exception):
-        read_export(spark, [export, other], header=HEADER).collect()
+    with pytest.raises(ExportError):
+        read_export(spark, [export, write(f"2Date,Session,Path\n{WHEN},s2,/other\n", "other.csv")], header=HEADER)
+    twice = "2Path,Title,Session,Date,Title"
+    path = write(f"{twice}\n/,first,s,{WHEN},last\n", "twice.csv")
+    assert rows(read_export(spark, path, header=twice), "title") == [("last",)]
 
 
 def test_splittable_reading(spark, write):
-    body = "".join(f"/{n},s,2026-07-25T11:32:39Z\n" for n in range(2000))
+    body = "".join(f"/{n},s,{WHEN}\n" for n in range(2000))
     path = write("2Path,Session,Date\n" + body)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
     try:

@@ -3,6 +3,9 @@ import random
 import pytest
 from conftest import rows
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from footfall.operators import journeys as j
 
 
@@ -23,26 +26,34 @@ def test_steps_in_order_ties_by_key(make_hits):
     assert positions == [("a", 1, "/first"), ("a", 2, "/second"), ("a", 3, "sign up"), ("other", 1, "/x")]
 
 
-@pytest.mark.parametrize("heavy_sessions", [1, 2, 100])
-def test_pieces_give_the_same_positions(make_hits, heavy_sessions):
-    """One session holds most hits, on several days, many in the same second."""
+@pytest.mark.parametrize("partitions", ["1", "3", "17"])
+def test_positions_equal_a_plain_window(spark, make_hits, partitions):
+    """One visit holds a third of all steps, one has no id; times and keys are missing,
+    empty or alike, and sites share ids."""
     rng = random.Random(7)
     data = []
     for number in range(900):
-        session = "hot" if number % 3 else f"s{number % 20}"
+        session = rng.choice(["hot", f"s{number % 20}", None])
         moment = f"2026-07-{rng.choice([19, 20, 21])}T10:00:{rng.choice(['00', '00', '07'])}Z"
-        if number == 5:
-            moment = "soon"
-        data.append({"session": session, "path": f"/{number}", "created_at": moment, "title": str(number)})
+        data.append(
+            {
+                "session": session,
+                "site": rng.choice(["main", "other", None]),
+                "path": f"/{number}",
+                "created_at": rng.choice([moment, moment, moment, "", None, "soon"]),
+                "hit_key": rng.choice([f"{number:04d}", f"k{number}", None, ""]),
+            }
+        )
     hits = make_hits(*data)
-    by_session = {}
-    for session, at, key in rows(hits, "session", "created_at", "hit_key"):
-        by_session.setdefault(session, []).append((at, key))
-    expected = {
-        (session, key): position
-        for session, steps in by_session.items()
-        for position, (_, key) in enumerate(sorted(steps), 1)
-    }
-    split = j.journeys(hits, heavy_hits=10, heavy_sessions=heavy_sessions)
-    assert {(s, k): p for s, k, p in rows(split, "session", "hit_key", "position")} == expected
-    assert split.count() == len(data)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = rows(j.journeys(hits), "site", "session", "position", "created_at", "hit_key")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ordered = Window.partitionBy("site", "session").orderBy("created_at", "hit_key")
+    plain = hits.withColumn("position", F.row_number().over(ordered))
+    expected = rows(plain, "site", "session", "position", "created_at", "hit_key")
+    assert sorted(found, key=repr) == sorted(expected, key=repr) and len(found) == len(data)

@@ -26,7 +26,7 @@ def test_duration(label, seconds, text):
 
 @pytest.mark.parametrize(
     "value, three_way, two_way",
-    [(None, "?", "direct"), ("", "direct", "direct"), (" \t", "direct", " \t"), ("Google", "Google", "Google")],
+    [(None, "?", "direct"), ("", "direct", "direct"), (" \t", "direct", " \t"), ("\u00a0\u2003", "direct", "\u00a0\u2003"), ("Google", "Google", "Google")],
 )
 def test_unknown_and_direct(label, value, three_way, two_way):
     assert label(labels.source_label, value) == three_way

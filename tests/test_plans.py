@@ -30,8 +30,8 @@ def count(word, frame):
 
 
 def read_columns(frame):
-    [schema] = set(re.findall(r"ReadSchema: struct<([^>]*)>", plan_of(frame)))
-    return {field.split(":")[0] for field in schema.split(",")}
+    [columns] = set(re.findall(r"FileScan parquet \[([^\]]*)\]", plan_of(frame)))
+    return {column.split("#")[0] for column in columns.split(",")} - {"event_date"}
 
 
 def test_visits_take_one_scan_and_one_shuffle(hits):
@@ -55,7 +55,7 @@ def test_reached_from_joins_nothing(hits):
     "build",
     [
         overview.totals,
-        lambda hits: overview.headline(hits, SINCE),
+        overview.headline,
         insights.traffic_shares,
         insights.key_audit,
         insights.hour_histogram,
@@ -76,11 +76,11 @@ def test_bots_are_not_filtered_below_the_visit_grouping(hits):
 
 def test_only_needed_columns_are_read(hits):
     assert read_columns(overview.top_pages(hits, SINCE)) == {"path", "is_event", "bot", "created_at"}
-    assert read_columns(overview.totals(hits)) == {"session", "bot"}
-    assert read_columns(overview.top_countries(hits, SINCE)) == {
-        "hit_key", "session", "bot", "country", "first_visit", "created_at",
+    assert read_columns(overview.totals(hits)) == {"site", "session", "bot"}
+    assert read_columns(overview.top_countries(hits)) == {
+        "hit_key", "site", "session", "bot", "country", "first_visit", "created_at",
     }
-    assert read_columns(visits.visits(hits, entry=())) == {"session", "is_event", "bot", "created_at"}
+    assert read_columns(visits.visits(hits, entry=())) == {"site", "session", "is_event", "bot", "created_at"}
 
 
 def test_a_cutoff_prunes_days_and_reaches_the_scan(hits):
@@ -89,9 +89,31 @@ def test_a_cutoff_prunes_days_and_reaches_the_scan(hits):
     assert "GreaterThanOrEqual(created_at" in plan
 
 
-def test_history_is_only_skipped_when_visits_are_bounded(hits):
-    assert "PartitionFilters: []" in plan_of(overview.headline(hits, SINCE))
-    assert "event_date" in plan_of(overview.headline(hits, SINCE, max_visit_days=1))
+@pytest.mark.parametrize("build", [overview.headline, overview.top_referrers, overview.top_countries])
+def test_recent_ranges_read_details_of_recent_days_only(hits, build):
+    """The week is read with its details; of the days before, ids and times alone."""
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\].*?PartitionFilters: \[([^\]]*)\]", plan_of(build(hits, SINCE)))
+    assert len(scans) >= 2
+    for columns, filters in scans:
+        names = {column.split("#")[0] for column in columns.split(",")}
+        if ">= 2024-01-24" in filters:
+            assert "bot" in names
+        else:
+            assert names <= {"site", "session", "created_at", "event_date"} and "<= 2024-01-24" in filters
+
+
+def test_a_site_is_a_pushed_filter(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    store.insert(events.load_hits(spark, SF))
+    plan = plan_of(visits.visits(store.hits(spark, "site-1")))
+    assert "EqualTo(site,site-1)" in plan
+
+
+def test_newest_visits_first_look_at_little(hits):
+    plan = plan_of(visits.visit_list(hits))
+    first = [c for c in re.findall(r"FileScan parquet \[([^\]]*)\]", plan) if "country" not in c]
+    assert first and {c.split("#")[0] for c in first[0].split(",")} <= {"site", "session", "bot", "created_at", "event_date"}
+    assert "BroadcastHashJoin" in plan
 
 
 def test_top_lists_never_sort_everything(hits):
@@ -105,23 +127,13 @@ def test_top_lists_never_sort_everything(hits):
         assert "TakeOrderedAndProject" in plan_of(frame)
 
 
-def test_journeys_drop_the_piecewise_branch_without_heavy_sessions(hits):
+def test_no_window_over_the_steps_of_a_visit(hits):
+    """Steps are numbered by their place; the window sees one row per piece of a visit."""
     frame = journeys.journeys(hits)
-    # What is broadcast is cut to a fixed number of sessions first.
-    assert "TakeOrderedAndProject(limit=10000" in plan_of(frame)
-    frame.count()
-    frame.collect()
-    final = plan_of(frame).split("== Initial Plan ==")[0]
-    assert "Join" not in final and final.count("Window") == 1
-
-
-def test_heavy_sessions_never_meet_the_window_of_light_ones(hits):
-    frame = journeys.journeys(hits, heavy_hits=3)
-    frame.collect()
-    plan = plan_of(frame).split("== Initial Plan ==")[0]
-    assert "BroadcastHashJoin [session" in plan and "LeftAnti" in plan
-    # Sizes, light steps, heavy steps, and the counts of pieces once for all levels.
-    assert plan.count("FileScan") == 4
+    plan = plan_of(frame)
+    above, _, below = plan.partition("Window [")
+    assert "Window" not in above and "HashAggregate" in below and plan.count("Window [") == 1
+    assert "rangepartitioning" not in plan  # the sorted steps are written already
 
 
 def test_site_rollup_reads_hits_once(spark):

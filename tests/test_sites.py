@@ -6,10 +6,10 @@ from footfall.schema import SYNC_LOG
 
 NOW = "2026-07-25T12:00:00Z"
 LOG = [
-    ("fresh", 1, 10, "2026-07-25T11:56:00Z", 3),
-    ("old", 1, 10, "2026-07-20T12:00:00Z", 3),
-    ("old", 2, 12, "2026-07-23T12:00:00Z", 1),
-    ("demo", 1, 0, "2026-07-01T12:00:00Z", 1),
+    ("fresh", 1, 10, "2026-07-25T11:56:00Z", 3, None),
+    ("old", 1, 10, "2026-07-20T12:00:00Z", 3, None),
+    ("old", 2, 12, "2026-07-23T12:00:00Z", 1, None),
+    ("demo", 1, 0, "2026-07-01T12:00:00Z", 1, None),
 ]
 
 

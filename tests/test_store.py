@@ -1,3 +1,6 @@
+import datetime as dt
+import re
+
 import pytest
 from conftest import one, rows
 
@@ -5,7 +8,7 @@ from pyspark.sql import functions as F
 
 from footfall.operators.sites import sync_state
 from footfall.sources.exports import ExportError
-from footfall.sources.store import Store
+from footfall.sources.store import Store, _on_days
 
 FIRST = "2026-07-25T10:00:00Z"
 SECOND = "2026-07-25T11:00:00Z"
@@ -75,16 +78,34 @@ def test_replace_starts_over(spark, store, make_hits, two_hits):
 
 def test_only_the_days_of_the_batch_are_read(spark, store, make_hits):
     store.insert(make_hits(*[(f"k{d}", "a", "/", f"2026-07-{d}T10:00:00Z", 1, 0) for d in range(10, 20)]))
-    day = store.hits(spark).where(F.col("event_date") == F.lit("2026-07-12").cast("date"))
-    assert len(day.inputFiles()) >= 1
-    plan = day._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(event_date" in plan
+    days = [dt.date(2026, 7, 10), dt.date(2026, 7, 19)]
+    for wanted, files in ((days, 2), ([*days, None], 2), ([None], 0)):
+        compared = _on_days(store.hits(spark), wanted)
+        plan = compared._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*event_date", plan)
+        touched = compared.select("_metadata.file_path").distinct().count()
+        assert touched == files
+
+
+def test_rows_that_share_a_short_key_are_both_kept(spark, store, make_hits):
+    one = {"hit_key": "0123456789abcdef", "session": "a", "path": "/x", "created_at": FIRST}
+    hits = make_hits({**one, "row_digest": "0123456789abcdef" + "0" * 48}, {**one, "path": "/y", "row_digest": "0123456789abcdef" + "1" * 48})
+    assert [store.insert(hits).new, store.insert(hits).new] == [2, 0]
+    more = make_hits({**one, "path": "/z", "row_digest": "0123456789abcdef" + "2" * 48})
+    assert store.insert(more).new == 1
+    assert sorted(rows(store.hits(spark), "path")) == [("/x",), ("/y",), ("/z",)]
+
+
+def test_an_insert_groups_without_sorting(spark, store, two_hits):
+    plan = two_hits.repartition("site", "row_digest").distinct()._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Exchange") == 1
 
 
 def test_a_day_with_most_of_the_data_is_split_over_files(spark, store):
     """Rebalancing cuts the hot day although hashing by day would not."""
     hits = spark.range(0, 60000, 1, 8).select(
-        F.sha2(F.col("id").cast("string"), 256).alias("hit_key"),
+        F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16).alias("hit_key"),
+        F.sha2(F.col("id").cast("string"), 256).alias("row_digest"),
         F.concat(F.lit("s"), F.col("id") % 500).alias("session"),
         F.sha2(F.concat(F.lit("p"), F.col("id")), 256).alias("path"),
         F.lit("").alias("title"),

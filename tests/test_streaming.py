@@ -47,7 +47,7 @@ def test_new_files_only(spark, run, landing):
     run()
     assert sorted(rows(store.hits(spark), "path")) == [("/a",), ("/b",), ("/c",), ("/d",)]
     log = rows(store.sync_log(spark).orderBy("seq"), "seq", "rows")
-    assert log == [(0, 2), (1, 2)]
+    assert log == [(1, 2), (2, 2)]
     state = one(sync_state(store.sync_log(spark)))
     assert (state.synced_rows, state.last_synced_at, state.cursor) == (4, AT, None)
 
@@ -73,7 +73,31 @@ def test_a_batch_repeated_after_a_failure_stores_nothing_twice(spark, run, landi
     monkeypatch.setattr(Store, "record", record)
     store = run()
     assert store.hits(spark).count() == 2
-    assert rows(store.sync_log(spark), "seq", "rows") == [(0, 0)]
+    assert rows(store.sync_log(spark), "seq", "rows") == [(1, 0)]
+
+
+def test_calls_are_numbered_together(spark, run, landing, tmp_path):
+    """A call, a stream, a call: the last one tells the time, and the cursor stays."""
+    (landing / "1.csv").write_text(export("/a"))
+    store = Store(str(tmp_path / "store"))
+    store.sync(spark, str(landing / "1.csv"), "main", "2026-07-24T10:00:00Z")
+    assert store.next_cursor(spark, "main") is None
+    run(last_hit_id=lambda names: 40 + len(names))
+    state = one(sync_state(store.sync_log(spark)))
+    assert (state.last_synced_at, state.cursor, store.next_cursor(spark, "main")) == (AT, 41, 41)
+    store.sync(spark, str(landing / "1.csv"), "main", "2026-07-26T10:00:00Z", last_hit_id=7)
+    state = one(sync_state(store.sync_log(spark)))
+    assert (state.last_synced_at, state.cursor, state.synced_rows) == ("2026-07-26T10:00:00Z", 41, 1)
+    assert rows(store.sync_log(spark).orderBy("seq"), "seq") == [(1,), (2,), (3,)]
+
+
+def test_a_batch_is_noted_once(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    for origin in ("c#0", "c#0", "c#1", None, None):
+        store.record(spark, "main", AT, 1, origin=origin)
+    store.record(spark, "other", AT, 1, origin="c#0")
+    found = rows(store.sync_log(spark).where("site = 'main'").orderBy("seq"), "seq", "origin")
+    assert found == [(1, "c#0"), (2, "c#1"), (3, None), (4, None)]
 
 
 def test_an_empty_folder(spark, run):
