@@ -8,13 +8,15 @@ import pathlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.session import shared_folder
+from footfall.session import written
+
+__all__ = ["ARROW_ROWS", "ascii_lower", "prepare", "texts_of", "written"]
 
 # Rows of whole texts that a Python worker holds at a time.
 ARROW_ROWS = 500
 
 
-def prepare(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> SparkSession:
     """Let Python workers import this package, and keep their batches of texts small.
 
     On a cluster the package is shipped with --py-files or installed; where workers run
@@ -25,7 +27,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     known = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([root, *known])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark
 
 
@@ -40,12 +42,3 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def written(frame: DataFrame, purpose: str) -> DataFrame:
-    """The frame as a table in the shared folder, read again: lineage ends here, and a
-    lost executor costs no more than the tasks it ran."""
-    spark = frame.sparkSession
-    folder = shared_folder(spark, purpose)
-    frame.write.parquet(folder)
-    return spark.read.schema(frame.schema).parquet(folder)

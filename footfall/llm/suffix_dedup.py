@@ -25,13 +25,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from footfall.llm.common import prepare, texts_of, written
 from footfall.llm.shingles import _BASE, _BYTE, _INVERSE, _powers, mixed
@@ -39,8 +37,12 @@ from footfall.llm.shingles import _BASE, _BYTE, _INVERSE, _powers, mixed
 MATCH = 50
 ANCHOR = 24
 # Text of a batch, and of the stretch whose hashes are held at a time.
-BATCH_BYTES = 8 << 20
-STRETCH = 1 << 20
+BATCH_BYTES = 4 << 20
+STRETCH = 1 << 18
+# Rows that a Python worker receives at a time; most are packed batches or arrays.
+ROWS = 16
+# Cells for each shuffle partition.
+CELLS = 4
 # What a family says of an entry.
 UNIQUE, REPEATED, MIXED = 0, 1, 2
 # A document without an id counts as the last of all.
@@ -319,6 +321,12 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(words[0], dtype=np.uint64), words[1], words[2].view(np.int64)
 
 
+def _each(rows: pa.RecordBatch) -> Iterator[list]:
+    """One row at a time; rows are large."""
+    for k in range(rows.num_rows):
+        yield [column[k].as_py() for column in rows.columns]
+
+
 def _slices(cell: np.ndarray) -> Iterator[tuple[int, slice]]:
     edges = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else []
     for start, stop in zip(edges, np.append(edges[1:], len(cell)) if len(cell) else []):
@@ -350,7 +358,7 @@ def _merged(arrays: DataFrame, cells: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, family = None, Family()
         for rows in batches:
-            for cell, batch, blob in zip(*(rows.column(k).to_pylist() for k in range(3))):
+            for cell, batch, blob in _each(rows):
                 if cell != last and last is not None:
                     yield said(last, family)
                     family = Family()
@@ -398,7 +406,7 @@ def _removed(batch: Batch, anchors: Anchors, says: np.ndarray, suffixes: Suffixe
     start = anchors.first[twin[np.repeat(low, count) + nth]] + np.repeat(shift, count)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + match, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def remove_repeats(
@@ -420,13 +428,13 @@ def remove_repeats(
     """
     if not 32 <= match <= ANCHOR + 63:
         raise ValueError("match is out of range")
-    spark = prepare(docs.sparkSession)
-    cells = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark = prepare(docs.sparkSession, ROWS)
+    cells = CELLS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = written(batches_of(texts_of(docs, id_col, text_col), batch_bytes), "suffix-batches")
 
     def sampled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
-            for number, *parts in zip(*(row.column(k).to_pylist() for k in range(4))):
+            for number, *parts in _each(row):
                 anchors = Anchors(Batch.unpack(*parts), match)
                 yield _rows(cell_of(anchors.keys[0], cells), number, anchors.keys, anchors.rep_id)
 
@@ -435,7 +443,7 @@ def remove_repeats(
 
     def undecided(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
-            for number, *parts, blobs in zip(*(row.column(k).to_pylist() for k in range(5))):
+            for number, *parts, blobs in _each(row):
                 batch, says = Batch.unpack(*parts), _bytes_of(blobs)
                 suffixes = Suffixes(batch, Anchors(batch, match), says, match, cells)
                 yield _rows(suffixes.cell, number, suffixes.keys, suffixes.rep_id)
@@ -445,7 +453,7 @@ def remove_repeats(
 
     def apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
-            for _, *parts, one, two in zip(*(row.column(k).to_pylist() for k in range(6))):
+            for _, *parts, one, two in _each(row):
                 batch, says = Batch.unpack(*parts), _bytes_of(one)
                 anchors = Anchors(batch, match)
                 suffixes = Suffixes(batch, anchors, says, match, cells)
@@ -460,8 +468,9 @@ def _results(batch: Batch, gone: np.ndarray, rows: int = 2000) -> Iterator[pa.Re
     starts[1:] &= ~gone[:-1]
     full = batch.sizes > 0
     starts[begins[full]] = gone[begins[full]]  # a run ends with its document
-    removed = np.concatenate(([0], np.cumsum(gone)))
-    spans = np.concatenate(([0], np.cumsum(starts)))
+    removed, spans = np.zeros((2, len(gone) + 1), dtype=np.int64)
+    np.cumsum(gone, out=removed[1:])
+    np.cumsum(starts, out=spans[1:])
     raw = batch.data.tobytes()
     for k in range(0, len(batch.ids), rows):
         kept, digests = [], []
@@ -481,10 +490,12 @@ def _results(batch: Batch, gone: np.ndarray, rows: int = 2000) -> Iterator[pa.Re
         yield pa.record_batch(columns, [part.split()[0] for part in RESULT.split(", ")])
 
 
-@F.pandas_udf(T.StringType())
-def _as_text(left: pd.Series) -> pd.Series:
-    """UTF-8 text; a character that a removed passage cut in two goes with it."""
-    return left.map(lambda data: data.decode("utf-8", "ignore"))
+def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes in the last column as UTF-8 text; a character that a removed passage cut in
+    two goes with it."""
+    for batch in batches:
+        texts = [data.decode("utf-8", "ignore") for data in batch.column(2).to_pylist()]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["_id", "_digest", "_left"])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
@@ -499,7 +510,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     changed = written(
         found.where("n_removed > 0")
         .dropDuplicates(["doc_id", "text_sha256"])
-        .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), _as_text("kept").alias("_left")),
+        .select("doc_id", "text_sha256", "kept")
+        .mapInArrow(_as_text, "_id long, _digest string, _left string"),
         "suffix-changed",
     )
     same = docs[id_col].cast("long").eqNullSafe(changed["_id"]) & (
