@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from footfall.llm import bpe, exact_dedup, html_extract, near_dup, packing, quality, suffix_dedup, toxicity, url_filter
+from footfall.llm import bpe, exact_dedup, html_extract, matrices, near_dup, packing, quality, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +104,12 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), path, size=4096, end_id=2)
 
 
+def op5_token_matrices(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as rows of 4096 tokens, best fit decreasing, id 2 after each."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return matrices.pack_matrices(_table(spark, folder, "documents"), path, size=4096, end_id=2)
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document judged; trusted documents are those labelled with quality 1."""
     docs = _table(spark, folder, "documents")
@@ -150,6 +156,7 @@ QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_token_matrices": op5_token_matrices,
     "op6_quality": op6_quality,
     "op7_main_text": op7_main_text,
     "op8_near_dedup": op8_near_dedup,

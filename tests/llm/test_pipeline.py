@@ -18,7 +18,7 @@ def values(rows):
 
 def test_all_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline")
-    assert numbers == [1, 2, 3, 4, 6, 7, 8, 9, 10] and "pipeline" in NAMES
+    assert numbers == list(range(1, 11)) and "pipeline" in NAMES
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in entry.oracle_sql()])
