@@ -50,7 +50,8 @@ def copies_of(hits, copies: int):
     copy = F.col("copy").cast("string")
     return (
         hits.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-        .withColumn("hit_key", F.substring(F.sha2(F.concat("hit_key", F.lit("-"), copy), 256), 1, 16))
+        .withColumn("row_digest", F.sha2(F.concat("row_digest", F.lit("-"), copy), 256))
+        .withColumn("hit_key", F.substring("row_digest", 1, 16))
         .withColumn("session", F.concat("session", F.lit("-"), copy))
         .drop("copy")
     )
