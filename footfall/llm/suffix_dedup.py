@@ -189,7 +189,8 @@ class Anchors:
         first, last, at = starts[head], starts[np.append(head[1:], len(starts)) - 1], at[head]
         shape = (at - first).astype(np.uint64) * np.uint64(64) + (last - first).astype(np.uint64)
         windows = mixed((sums[last + match] - sums[first]) * inverse[first] + mixed(shape + np.uint64(1)))
-        return hashes[at], windows, first + begin, last + begin, own[head] + doc
+        # The least of many hashes is small; mixed again it is even over all cells.
+        return mixed(hashes[at]), windows, first + begin, last + begin, own[head] + doc
 
 
 # Suffixes of undecided windows --------------------------------------------------------
