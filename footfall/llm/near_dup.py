@@ -19,6 +19,7 @@ rows: a unit returns one edge per document, to the smallest id of its group.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from footfall.llm.shingles import mixed, shingle_sets
 GROUPS, WIDTH = 12, 2
 # Documents of a block; a unit holds the sets of two.
 BLOCK = 2048
+# Tasks that the members of one neighbourhood are spread over while they are dealt.
+SALTS = 16
 # Set members that are compared at a time, and pairs.
 COLUMNS, PAIRS = 1 << 15, 1 << 20
 
@@ -128,8 +131,11 @@ def _units(pairs: DataFrame) -> DataFrame:
     blocks = members.groupBy("centre").agg(
         F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
     )
+    # Members of one centre meet its number of blocks in several tasks.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = members.join(blocks, "centre").withColumn("own", own)
+    dealt = members.withColumn("salt", salt).join(salted, ["centre", "salt"]).withColumn("own", own)
     others = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return others.select(
         "centre",
@@ -165,11 +171,12 @@ class _Groups:
             np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
 
 
-def _overlaps(left: np.ndarray, right: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int) -> np.ndarray:
-    """Sizes of the intersections of pairs of sets given as (row, column) members in order
-    of columns."""
+def _overlaps(
+    left: np.ndarray, right: np.ndarray, rows: np.ndarray, columns: np.ndarray, count: int, width: int
+) -> np.ndarray:
+    """Sizes of the intersections of pairs of ``count`` sets given as (row, column) members
+    in order of columns."""
     shared = np.zeros(len(left), dtype=np.int64)
-    count = int(max(left.max(), right.max())) + 1
     for start in range(0, width, COLUMNS):
         a, b = np.searchsorted(columns, (start, start + COLUMNS))
         if a == b:
@@ -226,7 +233,7 @@ def linked_groups(
         if not len(left) or not width:
             continue
         left = left + start
-        shared = _overlaps(left, right, rows, columns, width)
+        shared = _overlaps(left, right, rows, columns, n, width)
         linked = 100 * shared >= percent * (sizes[left] + sizes[right] - shared)
         found.join(left[linked], right[linked])
     return found.roots()
@@ -255,7 +262,9 @@ def _confirmed(units: DataFrame, sets: DataFrame, groups: int, percent: int) ->
                     if len(held) > 1:
                         yield solve(unit, held)
                     unit, held = (centre, one, two), []
-                if not held or row[1] != held[-1][1]:  # an id may repeat
+                # An id may repeat, with other texts or the same one.
+                same_id = itertools.takewhile(lambda other: other[1] == row[1], reversed(held))
+                if all(other[2] != row[2] for other in same_id):
                     held.append(row)
         if len(held) > 1:
             yield solve(unit, held)
@@ -302,7 +311,8 @@ def near_duplicates(
             yield pa.record_batch([ids, blobs, pa.array(tables, pa.binary())], ["doc_id", "set", "hashes"])
 
     compared = pairs.select("doc_id").union(pairs.select("centre")).distinct()
-    texts = rows.join(compared, "doc_id", "left_semi")
+    # One plan at every size: ids are never broadcast, however few they are.
+    texts = rows.join(compared.hint("merge"), "doc_id", "left_semi")
     sets = written(texts.mapInArrow(whole, "doc_id long, set binary, hashes binary"), "near-sets")
     edges = _confirmed(_units(pairs), sets, groups, percent)
     same_id = usable.join(classes, "digest").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
