@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import prepare
+from footfall.llm.common import prepare, written
 
 # Elements whose text is never shown as text, or belongs to a control.
 DROPPED = {
@@ -363,11 +363,17 @@ def learn(pages: DataFrame, rows: int = 300, html_col: str = "html", id_col: str
     ``SAMPLE_CHARS`` characters each so that its size is bounded. Null pages do not count;
     without any labelled page the weights are what the names say.
     """
+    usable = pages.select(
+        pages[id_col].cast("string").alias("page_id"), pages[html_col].cast("string").alias("html")
+    ).where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
+    # Ids alone are compared over all tasks; then the chosen pages are fetched.
+    drawn = usable.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(rows)
+    chosen = written(drawn.withColumnRenamed("page_id", "drawn"), "html-sample")
     sample = (
-        pages.select(pages[id_col].cast("string").alias("page_id"), pages[html_col].cast("string").alias("html"))
-        .where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
-        .orderBy(F.xxhash64("page_id"), "page_id", "html")
-        .limit(rows)
+        usable.join(F.broadcast(chosen), F.col("page_id").eqNullSafe(F.col("drawn")))
+        .groupBy("page_id")
+        .agg(F.min("html").alias("html"))  # of pages that repeat an id, one
+        .orderBy("page_id")
         .collect()
     )
     parsed = [parse(row.html) for row in sample]
