@@ -34,8 +34,9 @@ def op1_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
     labels = _table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
     host, _ = url_filter.url_parts(F.col("url"))
-    outcomes = pages.select("page_id", host.alias("host")).join(labels, "page_id")
-    return url_filter.judge_urls(pages, url_filter.host_reputation(outcomes), RULES)
+    hosts = pages.select("page_id", host.alias("host"))
+    reputation = url_filter.host_reputation(hosts.join(labels, "page_id"), hosts=hosts)
+    return url_filter.judge_urls(pages, reputation, RULES)
 
 
 ORACLE_1 = r"""

@@ -4,7 +4,8 @@ A host's labelled pages are good or bad. Their rate is shrunk through beta-binom
 along the chain everything - suffix - registered domain - host: the posterior mean of a
 level is the prior mean of the next. How strongly a prior pulls is estimated from the
 spread of the rates below it (moments of the beta-binomial). A host is allowed when the
-lower bound of its posterior reaches a threshold.
+lower bound of its posterior reaches a threshold; without labelled pages, its posterior is
+its prior.
 """
 
 from __future__ import annotations
@@ -74,13 +75,18 @@ def _strength(level: DataFrame, prior: str) -> float:
     return max(WEAKEST, min(STRONGEST, sums.room / max(sums.extra, 1e-9) - 1))
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = 1.645, hosts: DataFrame | None = None) -> DataFrame:
     """Per host: n, good, mean and low, the lower bound of the posterior.
 
     ``outcomes`` has host and good (0 or 1), one row per labelled page; rows where either
     is null are left out. Pages are counted by host before anything is shuffled, so a host
     with a third of all pages is one row per task. The counts are written once; each
     level then needs its strength before its means.
+
+    ``hosts`` has host, in any number of rows. Those without a labelled page are returned
+    too, with n = 0: their posterior is their prior, whose mean is that of their domain,
+    where that has none either of their suffix, and else of everything. Without any
+    labelled page there is nothing to go by, and no host is returned.
     """
     counts = with_levels(
         outcomes.where(F.col("host").isNotNull() & F.col("good").isNotNull())
@@ -90,7 +96,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     counts = written(counts, "host-counts")
     total = counts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     overall = ((total.good or 0) + 1) / ((total.n or 0) + 2)
-    parent, prior = None, "all_mean"
+    parent, prior, means = None, "all_mean", {}
     for depth, name in enumerate(LEVELS):
         keys = list(LEVELS[: depth + 1])
         level = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -98,13 +104,25 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
             level = level.withColumn(prior, F.lit(overall))
         else:
             level = level.join(parent, LEVELS[depth - 1])
-        level = level.withColumn("s", F.lit(_strength(level, prior)))
+        strength = _strength(level, prior)
+        level = level.withColumn("s", F.lit(strength))
         mean = (F.col("good") + F.col("s") * F.col(prior)) / (F.col("n") + F.col("s"))
         level = level.withColumn(f"{name}_mean", mean)
         parent, prior = level.select(name, f"{name}_mean"), f"{name}_mean"
-    mean = F.col("host_mean")
-    spread = F.sqrt(mean * (1 - mean) / (F.col("n") + F.col("s") + 1))
-    return level.select("host", "n", "good", mean.alias("mean"), (mean - z * spread).alias("low"))
+        means[name] = parent
+    rated = level.select("host", "n", "good", F.col("host_mean").alias("mean"))
+    if hosts is not None and total.n:
+        # One row per host before the joins by domain and suffix.
+        others = hosts.select("host").where("host IS NOT NULL").distinct().join(counts, "host", "left_anti")
+        others = with_levels(others).join(means["domain"], "domain", "left").join(means["suffix"], "suffix", "left")
+        none = F.lit(0).cast("long")
+        prior_mean = F.coalesce("domain_mean", "suffix_mean", F.lit(overall))
+        rated = rated.unionByName(
+            others.select("host", none.alias("n"), none.alias("good"), prior_mean.alias("mean"))
+        )
+    mean = F.col("mean")
+    spread = F.sqrt(mean * (1 - mean) / (F.col("n") + F.lit(strength) + 1))
+    return rated.withColumn("low", mean - z * spread)
 
 
 def judge_urls(
@@ -118,8 +136,8 @@ def judge_urls(
     """One row per page: page_id, host, path, rule, verdict (``allow`` or ``block``).
 
     The longest rule decides; without one, the host's lower bound must reach ``least``. A
-    host without labelled pages, the empty host of a null url included, has no record to
-    hold against it and is allowed. Rules are a list of fixed length in the code, tested
+    host that ``reputation`` does not have is allowed; give ``host_reputation`` the hosts
+    of the pages for it to have all of them, the empty host of a null url included. Rules are a list of fixed length in the code, tested
     as one expression. Rows with the same id or url are judged each.
     """
     host, path = url_parts(pages[url_col])

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from footfall.llm import queries
 from footfall.llm import url_filter as u
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -78,3 +79,46 @@ def test_levels_of_hosts(spark):
     hosts = spark.createDataFrame([("a.b.c",), ("c",), ("",)], "host string")
     got = [tuple(r) for r in u.with_levels(hosts).select("host", "domain", "suffix").collect()]
     assert got == [("a.b.c", "b.c", "c"), ("c", "c", "c"), ("", "", "")]
+
+
+def test_hosts_without_labels_get_their_prior(spark, tmp_path):
+    pages, labels = [], []
+
+    def page(host, good=None):
+        pages.append((len(pages), f"http://{host}/"))
+        if good is not None:
+            labels.append((len(pages) - 1, good, 0))
+
+    for k in range(40):
+        for good in [0] * 19 + [1]:
+            page(f"h{k}.bad.aa", good)
+        for good in [1] * 20:
+            page(f"h{k}.good.bb", good)
+    page("one.bad.aa", 1)
+    unlabelled = {
+        "new.bad.aa": "block",
+        "bad.aa": "block",
+        "other.aa": "block",
+        "new.good.bb": "allow",
+        "other.bb": "allow",
+        "else.where": "block",
+    }
+    for host in unlabelled:
+        page(host)
+    pages.append((len(pages), None))
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = queries.op1_url_reputation(spark, str(tmp_path)).collect()
+    assert len(rows) == len(pages)
+    found = {r.host: r.verdict for r in rows}
+    assert {host: found[host] for host in unlabelled} == unlabelled
+    assert (found["one.bad.aa"], found["h0.bad.aa"], found["h0.good.bb"], found[""]) == ("block", "block", "allow", "block")
+
+
+def test_a_good_label_never_lowers_the_bound(spark):
+    seen = [(f"h{k}.a.b", int(k % 4 > 0)) for k in range(40) for _ in range(5)] + [("one.a.b", 1)]
+    outcomes = spark.createDataFrame(seen, "host string, good int")
+    hosts = spark.createDataFrame([("one.a.b",), ("new.a.b",), ("new.a.b",), (None,)], "host string")
+    found = {r.host: r for r in u.host_reputation(outcomes, hosts=hosts).collect()}
+    assert len(found) == 42 and (found["new.a.b"].n, found["new.a.b"].good) == (0, 0)
+    assert found["new.a.b"].low < found["one.a.b"].low
