@@ -227,7 +227,8 @@ def learn(
 
     At most ``toxic_rows`` and ``clean_rows`` labelled rows are used, those whose id has the
     smallest hash. Rows with a null id or label are left out, an id labelled more than once
-    counts as toxic if one label says so. With one kind of label only, or none, the
+    counts as toxic if one label says so, and of rows that repeat an id the least text
+    counts. With one kind of label only, or none, the
     lexicon is empty and every score is low.
     """
     spark = prepare(docs.sparkSession)
@@ -243,7 +244,9 @@ def learn(
         for label, rows in ((1, toxic_rows), (0, clean_rows))
     ]
     picked = written(chosen[0].unionByName(chosen[1]), "toxicity-rows")  # bounded, so it may be broadcast
-    sample = written(texts_of(docs, id_col, text_col).join(F.broadcast(picked), "doc_id"), "toxicity-sample")
+    rows = texts_of(docs, id_col, text_col).join(F.broadcast(picked), "doc_id")
+    # Of rows that repeat an id one, so that the sample is bounded by the two parameters.
+    sample = written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
     kinds = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(kinds) < 2:
         return Lexicon()

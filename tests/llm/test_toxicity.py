@@ -71,6 +71,13 @@ def test_sample_is_bounded(make_docs, spark):
     assert lexicon == toxicity.learn(make_docs(*rows).repartition(7), labelled, toxic_rows=60, clean_rows=100)
 
 
+def test_repeated_ids_count_once(make_docs, spark):
+    rows, labels = corpus()
+    labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
+    copies = [rows[4]] * 900 + [rows[5]] * 900
+    assert toxicity.learn(make_docs(*rows, *copies), labelled) == toxicity.learn(make_docs(*rows), labelled)
+
+
 def test_nothing_to_learn(make_docs, spark):
     docs = make_docs((1, "some text"), (2, None))
     for labels in ([], [(1, 0)], [(1, 1)], [(1, 0), (2, 1)]):
