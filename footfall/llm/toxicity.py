@@ -2,8 +2,8 @@
 
 Text is folded before it is matched: case, letters of other scripts that look alike,
 full-width forms, invisible characters, and digits or signs written for letters. The
-lexicon holds beginnings of words with weights learned from labelled documents, and
-phrases around them that labelled documents show to be harmless. The weights a document
+lexicon holds beginnings of words, and short words as a whole, with weights learned from
+labelled documents, and phrases around them that labelled documents show to be harmless. The weights a document
 collects are set against its length and turned into a score by a fitted logistic curve.
 """
 
@@ -66,7 +66,8 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Weights of word beginnings, harmless phrases, and the curve of the score."""
+    """Weights of word beginnings, harmless phrases, and the curve of the score. A
+    beginning that ends with a blank is a whole word."""
 
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = ()
@@ -112,11 +113,10 @@ def _sigmoid(x):
 
 
 def _prefixes(folded: str, shortest: int, longest: int) -> set[str]:
-    return {
-        word[:n]
-        for word in set(folded.split())
-        for n in range(shortest, min(len(word), longest) + 1)
-    }
+    """Beginnings of words, and with a blank behind them the words that are too short."""
+    words = set(folded.split())
+    found = {word[:n] for word in words for n in range(shortest, min(len(word), longest) + 1)}
+    return found | {f"{word} " for word in words if len(word) < shortest}
 
 
 def _counted(sample: DataFrame, parts) -> DataFrame:
@@ -187,7 +187,7 @@ def _harmless(sample: DataFrame, weights: dict[str, float], phrases: int) -> tup
         words = folded.split()
         found = set()
         for k, word in enumerate(words):
-            if stems.match(word):
+            if stems.match(f"{word} "):
                 found.update(" ".join(words[a : a + 2]) for a in (k - 1, k) if 0 <= a < len(words) - 1)
         return found
 
@@ -227,8 +227,8 @@ def learn(
 
     At most ``toxic_rows`` and ``clean_rows`` labelled rows are used, those whose id has the
     smallest hash. Rows with a null id or label are left out, an id labelled more than once
-    counts as toxic if one label says so, and of rows that repeat an id the least text
-    counts. With one kind of label only, or none, the
+    counts as toxic if one label says so. Entries have ``shortest`` to ``longest`` letters;
+    shorter words may be entries as a whole. Of rows that repeat an id the least text counts. With one kind of label only, or none, the
     lexicon is empty and every score is low.
     """
     spark = prepare(docs.sparkSession)

@@ -71,6 +71,25 @@ def test_sample_is_bounded(make_docs, spark):
     assert lexicon == toxicity.learn(make_docs(*rows).repartition(7), labelled, toxic_rows=60, clean_rows=100)
 
 
+def test_short_words_are_whole_words(make_docs, spark):
+    draw = random.Random(9)
+    plain = ["lorem", "ipsum", "dolor", "sit", "kyle", "by", "zygote", "日本語", "日光浴だ"]
+    rows, labels = [], []
+    for k in range(400):
+        words = [draw.choice(plain) for _ in range(draw.randint(5, 30))]
+        if k % 4 == 0:
+            words.insert(draw.randrange(len(words)), draw.choice(["ky", "zyg", "日"]))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 4 == 0)))
+    labelled = spark.createDataFrame([r for r in labels if r[0] % 3], "doc_id long, toxic int")
+    lexicon = toxicity.learn(make_docs(*rows), labelled)
+    assert set(lexicon.weights) == {"ky ", "zyg ", "日 "}
+    truth = dict(labels)
+    assert all(r.predicted == truth[r.doc_id] for r in toxicity.score(make_docs(*rows), lexicon).collect())
+    machine = Lexicon({"ky ": 2.0}).automaton()
+    assert (collected(machine, fold("KY, ky")), collected(machine, fold("kyle sky"))) == (4.0, 0.0)
+
+
 def test_repeated_ids_count_once(make_docs, spark):
     rows, labels = corpus()
     labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
