@@ -9,6 +9,7 @@ cut falls into leaves one record per piece.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -53,14 +54,17 @@ class WordEncoder:
 
     The tokenizer drops white space and never looks across it, so each word is encoded
     once and remembered; so is its stem, without closing marks and in lower case, which
-    is what the tokenizer makes of it anyway.
+    is what the tokenizer makes of it anyway. A word with the string of a special token in
+    it, in whatever case, is encoded as it is: the library gives that token's id.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        # The library looks for their strings in the text as it was before lower-casing.
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.I)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -98,7 +102,10 @@ class WordEncoder:
                 last = unicodedata.normalize("NFC", last).lower()[-1:]
             tail = word[len(stem) :] if last.isalpha() else ""
             stem = stem if last.isalpha() else word
-            parts[word] = (stem.lower() if stem.isascii() else stem), tail
+            if self.special.search(word):
+                parts[word] = word, ""
+            else:
+                parts[word] = (stem.lower() if stem.isascii() else stem), tail
         stems = self.stems
         self._learn_stems({part for pair in parts.values() for part in pair if part and part not in stems})
         stems[""] = b""
