@@ -5,7 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import one, rows
+from frames import one, rows
 
 from footfall.operators import insights, overview, search, visits
 

@@ -2,7 +2,7 @@ import gzip
 import hashlib
 
 import pytest
-from conftest import rows
+from frames import rows
 
 from footfall.sources.exports import BEYOND, ExportError, ExportVersionError, read_export
 from footfall.sources.store import Store

@@ -1,7 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import pytest
-from conftest import ROOT
+from frames import ROOT
 
 from __spark_entry__ import entry, oracle_sql, queries
 from footfall.plans.oracles import ORACLES

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import one, rows
+from frames import one, rows
 
 from pyspark.sql import functions as F
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import one, rows
+from frames import one, rows
 
 from footfall.operators import search as s
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from frames import rows
 
 from footfall.operators.sites import site_rollup, stalest_site
 from footfall.schema import SYNC_LOG

@@ -1,7 +1,7 @@
 import gzip
 
 import pytest
-from conftest import one, rows
+from frames import one, rows
 
 from footfall.operators.sites import sync_state
 from footfall.sources.store import Store

@@ -1,4 +1,4 @@
-from conftest import one, rows
+from frames import one, rows
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
