@@ -9,7 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from footfall.llm import bpe, exact_dedup, html_extract, matrices, near_dup, packing, quality, suffix_dedup, toxicity, url_filter
+from footfall.llm import (
+    bpe,
+    exact_dedup,
+    fill_middle,
+    html_extract,
+    matrices,
+    merkle,
+    near_dup,
+    neighbours,
+    packing,
+    quality,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -151,6 +165,106 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
+
+
+def op11_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest other vectors of every vector whose id is divisible by 100."""
+    return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document stored as frames, rearranged, and rebuilt from what came out."""
+    store = fill_middle.frame_store(_table(spark, folder, "documents"))
+    return fill_middle.digests(store, seed=42, rate=50, spm_rate=80)
+
+
+ORACLE_12 = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS body,
+         regexp_extract_all(body, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+         len(u) AS n, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS r1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS r2,
+         ('0x' || substr(h, 17, 8))::BIGINT % 100 AS r3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS r4
+  FROM units),
+cut AS (
+  SELECT doc_id, body, n,
+         CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR r3 >= 50
+              THEN 'plain' WHEN r4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(u[1:least(r1, r2)], '') AS p,
+         array_to_string(u[least(r1, r2) + 1:greatest(r1, r2)], '') AS m,
+         array_to_string(u[greatest(r1, r2) + 1:], '') AS s
+  FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(body) AS restored_sha256
+FROM cut
+"""
+
+
+def op13_merkle_proofs(spark: SparkSession, folder: str) -> DataFrame:
+    """The proof of every document, a third of them checked with their text in lower case."""
+    docs = _table(spark, folder, "documents")
+    return merkle.manifest(docs, F.crc32(docs["doc_id"].cast("string")) % 3 == 0)
+
+
+def _merkle_sql(levels: int) -> str:
+    """Trees of at most 8^levels leaves a language; one part of the query for each level.
+
+    DuckDB has no CRC-32; the table of its 256 words and the digits' steps are computed here.
+    """
+    framed = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    body = lambda text: "sha256(" + " || ".join(framed.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        words.append(value)
+    table = "[" + ", ".join(map(str, words)) + "]::BIGINT[]"
+    # The first element of the list is what the reduction starts with.
+    crc = (
+        "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, "
+        "list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+        "lambda a, c: xor(a >> 8, words[1 + (xor(a, c) & 255)])))"
+    )
+    parts = [
+        f"crc AS (SELECT {table} AS words)",
+        f"""leaf AS (SELECT doc_id, {body('text')} AS digest, CASE WHEN {crc} % 3 = 0 THEN {body(lower)} END AS other,
+            dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM documents, crc)""",
+        "a0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, digest) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaf)",
+    ]
+    up = """{1} AS (SELECT g, CASE WHEN n > 1 THEN i // 8 ELSE i END AS i, (any_value(n) + 7) // 8 AS n, any_value(n) > 1 AS real,
+            list(digest ORDER BY i) AS kids, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY i)) ELSE any_value(digest) END AS digest
+            FROM {0} GROUP BY g, CASE WHEN n > 1 THEN i // 8 ELSE i END)"""
+    parts += [up.format(f"a{k}", f"a{k + 1}") for k in range(levels)]
+    parts += [
+        f"sub AS (SELECT g, digest AS subroot FROM a{levels})",
+        "b0 AS (SELECT 0 AS g, g AS i, subroot AS digest, count(*) OVER () AS n FROM sub)",
+        *[up.format(f"b{k}", f"b{k + 1}") for k in range(levels)],
+        "p0 AS (SELECT doc_id, digest AS leaf, g, i, coalesce(other, digest) AS node, '' AS path FROM a0)",
+    ]
+    climb = """{1} AS (SELECT doc_id, leaf, p.g, r.i, CASE WHEN real THEN
+            sha256(array_to_string(kids[1:p.i % 8], '') || node || array_to_string(kids[p.i % 8 + 2:], '')) ELSE node END AS node,
+            CASE WHEN real THEN path || array_to_string(kids[1:p.i % 8], '') || array_to_string(kids[p.i % 8 + 2:], '') ELSE path END AS path{3}
+            FROM {0} p JOIN {2} r ON r.g = p.g AND r.i = CASE WHEN real THEN p.i // 8 ELSE p.i END)"""
+    parts += [climb.format(f"p{k}", f"p{k + 1}", f"a{k + 1}", "") for k in range(levels)]
+    parts.append(f"q0 AS (SELECT doc_id, leaf, 0 AS g, p.g AS i, node, path, subroot FROM p{levels} p JOIN sub USING (g))")
+    parts += [climb.format(f"q{k}", f"q{k + 1}", f"b{k + 1}", ", subroot") for k in range(levels)]
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, digest AS root, sha256(path) AS proof_sha256, node AS folded_root, node = digest AS verified
+FROM q{levels} JOIN (SELECT digest FROM b{levels}) ON true
+"""
+    )
+
+
+ORACLE_13 = _merkle_sql(8)
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op1_url_reputation": op1_url_reputation,
@@ -163,9 +277,14 @@ QUERIES: dict[str, Query] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_nearest_vectors": op11_nearest_vectors,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_merkle_proofs": op13_merkle_proofs,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_reputation": ORACLE_1,
     "op10_exact_dedup": ORACLE_10,
+    "op12_fill_middle": ORACLE_12,
+    "op13_merkle_proofs": ORACLE_13,
 }
