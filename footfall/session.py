@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import math
+import os
+import pathlib
 import re
 import tempfile
 import uuid
@@ -67,6 +69,19 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package.
+
+    On a cluster it is shipped with --py-files or installed; where workers run on this
+    machine, the folder it was loaded from is enough.
+    """
+    root = str(pathlib.Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    known = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 @functools.cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="footfall-")

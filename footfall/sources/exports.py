@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import functools
 import io
 import re
 from collections.abc import Iterator, Sequence
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from footfall.functions import keys, times
 from footfall.schema import HITS, empty
 from footfall.session import written
+from footfall.sources import records
 
 # The format version, the digits that spell it, the columns a file
 # must have, and the header name of each text column of a hit.
@@ -35,22 +35,13 @@ TEXT_COLUMNS = {
     "created_at": "Date",
 }
 FLAG_COLUMNS = {"is_event": "Event", "bot": "Bot", "first_visit": "FirstVisit"}
+CELLS = [*TEXT_COLUMNS.values(), *FLAG_COLUMNS.values()]
 LONG_MAX = 9223372036854775807
+# Longer than any text can be.
+LONGEST = 2147483647
 
-# A cell: quoted, with quotes inside doubled, or free of quotes up to the next comma.
-QUOTED, PLAIN = r'"([^"]*+(?:""[^"]*+)*+)"', r'([^",]*+)'
-CELL_PATTERN = rf",(?:{QUOTED}|{PLAIN})"
-# A whole record made of such cells.
-RECORD_PATTERN = rf"\A(?:{QUOTED}|{PLAIN})(?:{CELL_PATTERN})*+\z".replace("([^", "(?:[^")
-
-# More kinds of headers than this in one load are not an export any more.
-MOST_HEADERS = 100
-
-# No cell of an export reads like this. Columns of dates in that format, asked for beyond
-# the header's, make the source keep the text of every record: no record has them, or none
-# that parses. (One with exactly that many empty cells too many is refused.)
-NO_CELL = "\ue000"
-BEYOND = [f"beyond{position}" for position in range(8)]
+# A cell behind its comma: quoted, with quotes inside doubled, or free of quotes.
+CELL_PATTERN = r',(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
 
 
 class ExportError(ValueError):
@@ -84,12 +75,10 @@ class Header:
             raise ExportError(f"these required columns are not in the header: {missing}")
         return header
 
-    def text(self, name: str) -> Column:
-        """A named cell, '' when the file or the row does not have it."""
-        if name not in self.names:
-            return F.lit("")
-        last = len(self.names) - 1 - self.names[::-1].index(name)
-        return F.coalesce(F.col(f"c{last}"), F.lit(""))
+    def places(self) -> list[int]:
+        """Where the columns of ``CELLS`` are, the last one of a name; -1 where none is."""
+        last = {name: place for place, name in enumerate(self.names)}
+        return [last.get(name, -1) for name in CELLS]
 
 
 def read_export(
@@ -97,42 +86,36 @@ def read_export(
     paths: str | Sequence[str],
     site: str = "",
     header: str | None = None,
-    multi_line: bool = True,
     key_mode: str = "cells",
 ) -> DataFrame:
     """Hits of all files. Every header is checked before a single row is parsed.
 
     Headers are found by opening each file for its first record. If ``header`` is given,
     all files must have it. A record whose quotes do not pair up, or stand inside an
-    unquoted cell, refuses the load whatever columns are asked for.
-    ``multi_line=False`` lets Spark split huge plain files, for exports without line
-    breaks in cells. ``key_mode="canonical"`` keys a hit by its mapped columns in name
-    order, so the key survives reordered or widened exports.
+    unquoted cell, refuses the load whatever columns are asked for. Plain files are split
+    over tasks, also where cells hold line breaks. ``key_mode="canonical"`` keys a hit by its
+    mapped columns in name order, so the key survives reordered or widened exports.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if key_mode not in ("cells", "canonical"):
         raise ValueError(f"unknown key_mode {key_mode!r}")
     if header is not None:
         Header.parse(header)
-    firsts = _first_records(spark, paths)
-    lines = sorted(row.line for row in firsts.select("line").distinct().limit(MOST_HEADERS + 1).collect())
-    if len(lines) > MOST_HEADERS:
-        raise ExportError(f"the files have more than {MOST_HEADERS} different headers")
-    headers = [Header.parse(line) for line in lines]
-    if header is not None and any(line != header for line in lines):
+    headers = _headers(spark, paths)
+    summary = headers.agg(F.count_distinct("line").alias("kinds"), F.min("line").alias("line"), F.min("problem").alias("problem")).first()
+    if summary.problem is not None:
+        # The line that the problem was found in says again what it is.
+        Header.parse(summary.problem)
+    if header is not None and not headers.where(F.col("line") != header).isEmpty():
         raise ExportError("a file does not have the header it was said to have")
-    if not headers:
+    if not summary.kinds:
         return empty(spark, HITS)
-    width = max(len(parsed.names) for parsed in headers)
-    records = _checked(_read_records(spark, paths, width, True, multi_line))
-    if len(headers) == 1:
-        return _to_hits(records, headers[0], site, key_mode)
-    # Files differ: each record learns which header its file has.
-    number = F.array_position(F.array(*[F.lit(line) for line in lines]), F.col("line")) - 1
-    known = firsts.select(F.col("file").alias("of_file"), number.cast("int").alias("kind"))
-    records = records.join(known, records["file"] == known["of_file"])
-    parts = [_to_hits(records.where(F.col("kind") == k), parsed, site, key_mode) for k, parsed in enumerate(headers)]
-    return functools.reduce(DataFrame.unionByName, parts)
+    rows = records.records(spark, paths)
+    if summary.kinds == 1:
+        return _to_hits(rows, F.array(*map(F.lit, Header.parse(summary.line).places())), site, key_mode)
+    # Files differ: each record learns where its file has the columns.
+    known = headers.select(F.col("file").alias("of_file"), "places")
+    return _to_hits(rows.join(known, rows["file"] == known["of_file"]), F.col("places"), site, key_mode)
 
 
 def literal_path(path: str) -> str:
@@ -140,86 +123,55 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
-def _read_records(
-    spark: SparkSession, paths: list[str], width: int, header: bool, multi_line: bool
-) -> DataFrame:
-    """c0 .. c<width - 1>, record (its text) and file of every record."""
-    cells = ", ".join([f"c{position} string" for position in range(width)] + [f"{name} date" for name in BEYOND])
-    raw = (
-        spark.read.schema(f"{cells}, record string")
-        .option("header", header)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "record")
-        .option("nullValue", NO_CELL)
-        .option("dateFormat", f"'{NO_CELL}'")
-        .option("enableDateTimeParsingFallback", False)
-        .option("columnPruning", False)
-        .csv(paths)
-    )
-    # A line break inside a cell is a single line feed, however the file writes it.
-    columns = [name for name in raw.columns if name not in BEYOND]
-    return raw.select(
-        *[F.replace(name, F.lit("\r\n"), F.lit("\n")).alias(name) for name in columns],
-        F.col("_metadata.file_path").alias("file"),
-    )
-
-
-def _checked(records: DataFrame) -> DataFrame:
-    """The records, unless one is malformed. As a filter this stays when columns go."""
-    # The source wants one more column to be read beside the text.
-    read = F.coalesce(F.length("c0"), F.lit(0)) >= 0
-    sound = F.coalesce(F.col("record").rlike(RECORD_PATTERN), F.lit(False)) & read
-    shown = F.coalesce(F.substring("record", 1, 200), F.lit("(too many empty cells)"))
-    complaint = F.concat(F.lit("misplaced or unclosed quote in export record: "), shown)
-    return records.where(F.when(sound, F.lit(True)).otherwise(F.raise_error(complaint).cast("boolean")))
-
+def _headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, line, places and problem: the first record of each file, where it has the
+    columns, and the record again if it is no header that can be read."""
 
-def _first_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file and line, the first record of each file that has one.
-
-    A task opens one file and stops after that record, so what is read does not depend
-    on how long files are.
-    """
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.slice(0, 1)
-                return
-
-    conf, whole = "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(conf)
-    spark.conf.set(conf, spark.conf.get(whole))  # no two files in a task
-    try:
-        records = _read_records(spark, paths, 1, False, True)
-        line = F.coalesce(F.rtrim("record", F.lit("\r")), F.col("c0")).alias("line")
-        firsts = records.select("file", line).mapInArrow(first, "file string, line string")
-        return written(firsts, "export-first-records")
-    finally:
-        spark.conf.set(conf, before)
-
-
-def _present_cells(record: Column) -> Column:
-    """The keyed content of the cells a record really has, from its text; a short row
-    has fewer than the header names, and an absent cell is not an empty one."""
-    ended = F.regexp_replace(F.concat(F.lit(","), record), CELL_PATTERN, "$1$2" + keys.CELL_END)
-    return F.replace(ended, F.lit('""'), F.lit('"'))
-
-
-def _to_hits(records: DataFrame, header: Header, site: str, key_mode: str) -> DataFrame:
-    text = {column: header.text(name) for column, name in TEXT_COLUMNS.items()}
-    flag = {column: header.text(name) for column, name in FLAG_COLUMNS.items()}
+            places, problems = [], []
+            for line in batch.column("record").to_pylist():
+                try:
+                    places.append(Header.parse(line).places())
+                    problems.append(None)
+                except ExportError:
+                    places.append(None)
+                    problems.append(line)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(places, pa.list_(pa.int32())), pa.array(problems, pa.string())],
+                ["file", "line", "places", "problem"],
+            )
+
+    firsts = records.first_records(spark, paths)
+    return written(firsts.mapInArrow(parsed, "file string, line string, places array<int>, problem string"), "export-places")
+
+
+def _cells(record: Column) -> Column:
+    """The cells a record has, of which a short one has fewer than the header names."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(CELL_PATTERN), F.lit(0))
+    quoted = lambda cell: F.replace(F.substring(cell, F.lit(3), F.length(cell) - 3), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda cell: F.when(cell.startswith(',"'), quoted(cell)).otherwise(F.substring(cell, 2, LONGEST)))
+
+
+def _to_hits(rows: DataFrame, places: Column, site: str, key_mode: str) -> DataFrame:
+    """Hits from records, with an array of the places where the columns of ``CELLS`` are."""
+    rows = rows.select(_cells(F.col("record")).alias("cells"), places.alias("places"))
+
+    def cell(name: str) -> Column:
+        """A named cell, '' when the file or the row does not have it."""
+        place = F.col("places")[CELLS.index(name)]
+        return F.coalesce(F.when(place >= 0, F.get("cells", place)), F.lit(""))
+
+    text = {column: cell(name) for column, name in TEXT_COLUMNS.items()}
+    flag = {column: cell(name) for column, name in FLAG_COLUMNS.items()}
     if key_mode == "canonical":
-        by_name = {**TEXT_COLUMNS, **FLAG_COLUMNS}
-        content = keys.cells_content([header.text(name) for name in sorted(by_name.values())])
+        content = keys.cells_content([cell(name) for name in sorted(CELLS)])
     else:
-        content = _present_cells(F.col("record"))
+        # An absent cell is not an empty one: only the cells that are there count.
+        content = F.concat(F.array_join("cells", keys.CELL_END), F.lit(keys.CELL_END))
     is_event = (flag["is_event"] == "1") | (F.lower(flag["is_event"]) == "true")
-    records = records.withColumn("row_digest", keys.digest(content))
-    return records.select(
+    rows = rows.withColumn("row_digest", keys.digest(content))
+    return rows.select(
         keys.short(F.col("row_digest")).alias("hit_key"),
         "row_digest",
         *[column.alias(name) for name, column in text.items()],

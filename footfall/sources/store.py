@@ -5,19 +5,19 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.functions.times import Instant, instant_text
 from footfall.operators.sites import sync_state
 from footfall.schema import HITS, SYNC_LOG, empty, single_row
+from footfall.session import written
 from footfall.sources.exports import read_export
 
-# A hit is stored once per site; the whole digest decides, not the short key.
-HIT_ID = ["site", "row_digest"]
+# A hit of a day is stored once per site; the whole digest decides, not the short key.
+HIT_ID = ["event_date", "site", "row_digest"]
 
 
 @dataclass(frozen=True)
@@ -59,31 +59,21 @@ class Store:
     def insert(self, batch: DataFrame) -> Inserted:
         """Append the hits that are not stored yet; the rest is ignored.
 
-        A digest covers the date, so a stored copy of a hit lies on the same day: only the
-        batch's own days are compared. The batch is parsed once and kept, on disk where it
-        does not fit, for counting, comparing and writing; what a lost executor held is
-        parsed again. A repeated call after a failure finds what was written and adds the
-        rest.
+        Of the hits of one identity, what is stored wins over what is offered, and the least
+        by all columns over the others, so how rows are dealt into batches never changes how
+        many are stored. A digest covers the date: only the batch's own days are compared.
+        The batch is parsed once and written in the shared folder. A repeated call after a
+        failure finds what was written and adds the rest.
         """
         spark = batch.sparkSession
-        batch = batch.select(*HITS.fieldNames()).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            # One row per day, however large the batch.
-            days = batch.groupBy("event_date").agg(F.count("*").alias("rows")).collect()
-            if not days:
-                return Inserted(0, 0)
-            same_days = _on_days(self.hits(spark), [row.event_date for row in days])
-            known = same_days.count()
-            # Dealt by what tells hits apart, copies meet without a second shuffle; rows
-            # are grouped by all their columns, as copies agree in all of them.
-            fresh = batch.repartition(*HIT_ID).distinct()
-            if known:
-                fresh = fresh.join(same_days.select(*HIT_ID), HIT_ID, "left_anti")
-            _write_hits(fresh, self.hits_path, "append")
-            stored = _on_days(self.hits(spark), [row.event_date for row in days]).count()
-            return Inserted(sum(row["rows"] for row in days), stored - known)
-        finally:
-            batch.unpersist()
+        batch = written(batch.select(*HITS.fieldNames()), "batch")
+        # One row per day, however large the batch.
+        days = batch.groupBy("event_date").agg(F.count("*").alias("rows")).collect()
+        if not days:
+            return Inserted(0, 0)
+        known = _on_days(self.hits(spark), [row.event_date for row in days])
+        new = _write_hits(first_wins(known, batch), self.hits_path, "append")
+        return Inserted(sum(row["rows"] for row in days), new)
 
     def next_cursor(self, spark: SparkSession, site: str) -> int | None:
         """Where the next export of a site should start; None means from the beginning."""
@@ -131,26 +121,48 @@ class Store:
         return result
 
     def replace(self, spark: SparkSession, hits: DataFrame) -> None:
-        """Start over with these hits instead of merging into what is stored."""
-        fresh = hits.select(*HITS.fieldNames()).repartition(*HIT_ID).distinct()
-        _write_hits(fresh, self.hits_path, "overwrite")
+        """Start over with these hits instead of merging into what is stored.
+
+        The log goes first: should the rest fail, the next sync starts from the beginning
+        rather than behind hits that are gone.
+        """
         empty(spark, SYNC_LOG).write.mode("overwrite").parquet(self.log_path)
+        _write_hits(first_wins(empty(spark, HITS), hits.select(*HITS.fieldNames())), self.hits_path, "overwrite")
+
+
+def first_wins(known: DataFrame, offered: DataFrame) -> DataFrame:
+    """The offered hits whose identity is not known, one of each.
+
+    Both are ranked by identity in one pass, the known first; unknown sites and days are
+    equal to each other. Tasks keep the first of an identity before anything is shuffled,
+    so copies that a third of the rows are go no further.
+    """
+    rest = [name for name in HITS.fieldNames() if name not in HIT_ID]
+    stored = known.select(*HIT_ID, *[F.lit(None).cast(HITS[name].dataType).alias(name) for name in rest], F.lit(0).alias("turn"))
+    both = stored.unionByName(offered.withColumn("turn", F.lit(1)))
+    turn = F.row_number().over(Window.partitionBy(*HIT_ID).orderBy("turn", *rest))
+    first = both.withColumn("place", turn).where(F.col("place") == 1)
+    return first.where(F.col("turn") == 1).select(*HITS.fieldNames())
 
 
-def _write_hits(hits: DataFrame, path: str, mode: str) -> None:
+def _write_hits(hits: DataFrame, path: str, mode: str) -> int:
     """Files of even size by day, sorted by site and visit inside, so that a filter on
-    either skips parts of files.
+    either skips parts of files. Tells how many hits were written.
 
     Rebalancing splits a day that holds much of the data over many tasks and packs
-    small days together, which hash partitioning by day would not.
+    small days together, which hash partitioning by day would not. Rows are counted by the
+    tasks that write, each of which counts once however often it was tried.
     """
+    counted = Observation()
     (
         hits.hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "site", "session", "created_at")
+        .observe(counted, F.count(F.lit(1)).alias("rows"))
         .write.mode(mode)
         .partitionBy("event_date")
         .parquet(path)
     )
+    return counted.get["rows"]
 
 
 def _on_days(hits: DataFrame, days: list[dt.date | None]) -> DataFrame:

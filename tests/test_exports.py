@@ -1,10 +1,12 @@
 import gzip
 import hashlib
+import random
 
 import pytest
 from frames import rows
 
-from footfall.sources.exports import BEYOND, ExportError, ExportVersionError, read_export
+from footfall.sources import records
+from footfall.sources.exports import ExportError, ExportVersionError, read_export
 from footfall.sources.store import Store
 
 # The format names its columns so; order and content are the test's own.
@@ -114,10 +116,8 @@ def test_many_files_of_different_headers(spark, write, tmp_path):
 
 def test_finding_headers_reads_only_the_beginning_of_files(spark, write):
     """Behind the first records a file may even be broken."""
-    from footfall.sources import exports
-
     long = write("2Path,Session,Date\n" + f"/a,s,{WHEN}\n" * 200_000 + '/b,"s')
-    [(_, header)] = rows(exports._first_records(spark, [long]))
+    [(_, header)] = rows(records.first_records(spark, [long]))
     assert header == "2Path,Session,Date"
 
 
@@ -135,20 +135,18 @@ def test_flags_and_numbers(spark, write):
 
 
 def test_records_shorter_or_longer_than_the_header(spark, write):
-    records = [
+    cells = [
         ["/even", "s", WHEN, "t"], ["/blank", "s", WHEN, ""], ["/blank", "s", WHEN], ["/only"],
         ["/more", "s", WHEN, "t", 'and "so"', "5"], ["/more", "s", WHEN, "t", ""], ["/more", "s", WHEN, "t", "", ""],
+        *[["/empty", "s", WHEN, "t", *[""] * n] for n in range(1, 12)], ["/odd", "\ue000", WHEN, "\ue000"],
     ]
-    path = write("\n".join(["2Path,Session,Date,Title", *map(line, records)]) + "\n")
-    for mode in (True, False):
-        found = rows(read_export(spark, path, multi_line=mode), "path", "session", "created_at", "title", "hit_key")
-        padded = [(*(r + [""] * 4)[:4], key_of(*r)) for r in records]
-        assert sorted(found) == sorted(padded)
-    with pytest.raises(Exception, match="too many empty cells"):
-        read_export(spark, write("2Path,Session,Date\n/,s,d" + "," * len(BEYOND) + "\n", "odd.csv")).collect()
+    path = write("\n".join(["2Path,Session,Date,Title", *map(line, cells)]) + "\n")
+    found = rows(read_export(spark, path), "path", "session", "created_at", "title", "hit_key")
+    padded = [(*(r + [""] * 4)[:4], key_of(*r)) for r in cells]
+    assert sorted(found) == sorted(padded)
 
 
-@pytest.mark.parametrize("options", [{}, {"key_mode": "canonical"}, {"multi_line": False}, {"header": "2Path,Session,Date"}])
+@pytest.mark.parametrize("options", [{}, {"key_mode": "canonical"}, {"header": "2Path,Session,Date"}])
 @pytest.mark.parametrize(
     "broken",
     [f'/b,"s,{WHEN}', f'/b,s,"{WHEN}', f'/b"b,s,{WHEN}', f'/b,"s"s,{WHEN}', f'"/b,s,{WHEN}'],
@@ -190,13 +188,79 @@ def test_a_given_header_is_enforced(spark, export, write):
     assert rows(read_export(spark, path, header=twice), "title") == [("last",)]
 
 
-def test_splittable_reading(spark, write):
-    body = "".join(f"/{n},s,{WHEN}\n" for n in range(2000))
-    path = write("2Path,Session,Date\n" + body)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def tangled(count, seed):
+    """Records whose cells hold line breaks, quotes and whole lines that look like records;
+    some are longer than several splits."""
+    draw = random.Random(seed)
+    found = []
+    for number in range(count):
+        cell = "".join(draw.choice(["a", "\n", '"', ",", "\n/x,s,t\n", "é", "\n\n", " "]) for _ in range(draw.randrange(12)))
+        if draw.random() < 0.03:
+            cell = "long\n" * draw.randrange(400, 1200)
+        found.append([f"/{number}", "s", WHEN, cell, draw.choice(["", "plain", '"', "end\n"])])
+    return found
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_files_with_line_breaks_in_cells_are_split(spark, write, tmp_path, small_splits, end):
+    expected = []
+    for number, count in enumerate((300, 1, 150)):
+        cells = tangled(count, number)
+        names = ["2Path", "Session", "Date", "Title", "Other"]
+        text = "\n".join([",".join(names), *map(line, cells)]) + ("\n" if number else "")
+        write(text.replace("\n", end), f"{number}.csv")
+        expected += [(c[0], c[3], key_of(*c)) for c in cells]
+    write("\n\n2Path,Session,Date\n\n" + f"/gz,s,{WHEN}\n\n", "packed.csv.gz")
+    expected.append(("/gz", "", key_of("/gz", "s", WHEN)))
+    hits = read_export(spark, str(tmp_path))
+    assert sorted(rows(hits, "path", "title", "hit_key")) == sorted(expected)
+    every = records.lines(spark, [str(tmp_path)])
+    assert every.rdd.getNumPartitions() > 20
+    assert any(records._splits_inside(every, [str(tmp_path)]).values())
+
+
+def test_an_unclosed_quote_in_a_split_file_refuses_the_load(spark, write, small_splits):
+    body = "".join(f"/{n},s,{WHEN}\n" for n in range(300))
+    for broken in (body + '/x,"s', '/x,"s\n' + body, body + '"a"b\n' + body):
+        with pytest.raises(Exception, match="quote in export record"):
+            read_export(spark, write("2Path,Session,Date\n" + broken)).select("path").collect()
+
+
+def test_splits_that_were_not_counted_are_a_fault(spark, write, small_splits):
+    path = write("2Path,Session,Date\n" + f"/a,s,{WHEN}\n" * 300)
+    with pytest.raises(Exception, match="KeyError"):
+        records._assembled(records.lines(spark, [path]), {}).collect()
+
+
+def test_headers_of_files_that_share_a_task(spark, write, tmp_path):
+    """Settings may pack files together; no header is lost."""
+    for number in range(12):
+        write(f"2Path,Session,Date,N{number}\n/{number},s,{WHEN},x\n", f"{number}.csv")
+    spark.conf.set("spark.sql.files.maxPartitionNum", "1")
     try:
-        hits = read_export(spark, path, multi_line=False)
-        assert hits.rdd.getNumPartitions() > 4
-        assert sorted(rows(hits, "path")) == sorted((f"/{n}",) for n in range(2000))
+        assert sorted(rows(read_export(spark, str(tmp_path)), "path")) == sorted((f"/{n}",) for n in range(12))
     finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionNum")
+
+
+def test_any_number_of_headers_takes_one_scan(spark, write, tmp_path):
+    for number in range(130):
+        write(f"2Path,N{number},Session,Date\n/{number},x,s,{WHEN}\n", f"{number}.csv")
+    hits = read_export(spark, str(tmp_path))
+    assert hits.count() == 130 and hits.select("session").distinct().count() == 1
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan text") == 1 and plan.count("MapInArrow") == 1
+
+
+def test_a_plain_export_is_split(spark, write, small_splits):
+    body = "".join(f"/{n},s,{WHEN}\n" for n in range(2000))
+    hits = read_export(spark, write("2Path,Session,Date\n" + body))
+    assert hits.rdd.getNumPartitions() > 4
+    assert sorted(rows(hits, "path")) == sorted((f"/{n}",) for n in range(2000))
