@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,16 @@ from footfall.llm.common import prepare, texts_of
 # some 200 bits for 50,000 ranks; it widens with the vocabulary.
 BITS = 8
 MASK = (1 << BITS) - 1
-# Pre-tokens whose ids a worker remembers; when full, it starts afresh.
-REMEMBERED = 400_000
+# Short pre-tokens whose ids a worker remembers, twice as many at most: when full, those
+# that were not met since the last time are forgotten.
+REMEMBERED, SHORT = 800_000, 48
+# Tokens that are decoded at a time.
+TOGETHER = 1 << 16
+# A pattern whose pieces hold no white space but a blank they begin with, or nothing else:
+# each word with the blank before it can be looked up before it is cut any further.
+BLANK_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# White space as Unicode has it.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class ByteBPE:
@@ -37,10 +46,19 @@ class ByteBPE:
         self.ranks = ranks
         # White space as Unicode defines it; the module's own class differs by engine.
         self.pattern = regex.compile(pattern)
+        words = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+        self.chunks = re.compile(words) if pattern == BLANK_FIRST else self.pattern
         self.words = [0] * ((max(ranks.values()) >> BITS) + 1)
         self.packed_of = {rank: rank.to_bytes(4, "little") for rank in ranks.values()}
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.known: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
+        # All tokens' bytes in a row, where each begins, and how long it is.
+        self.lengths, self.starts = np.zeros((2, max(ranks.values()) + 1), dtype=np.int64)
+        tokens = sorted(ranks, key=ranks.get)
+        known_ranks = [ranks[token] for token in tokens]
+        self.lengths[known_ranks] = [len(token) for token in tokens]
+        self.starts[known_ranks] = np.cumsum(self.lengths[known_ranks]) - self.lengths[known_ranks]
+        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -113,23 +131,43 @@ class ByteBPE:
             place = after[place]
         return ids
 
-    def packed(self, piece: str) -> bytes:
-        """The ids of one pre-token as little-endian unsigned 32-bit integers."""
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        ids = self.merge(piece.encode("utf-8", "surrogatepass"))
-        self.known[piece] = packed = b"".join(map(self.packed_of.__getitem__, ids))
+    def packed(self, chunk: str) -> bytes:
+        """The ids of a chunk that is not known as little-endian unsigned 32-bit integers."""
+        packed = self.aged.get(chunk)
+        if packed is None:
+            pieces = self.pattern.findall(chunk)
+            if len(pieces) > 1:
+                known = self.known
+                packed = b"".join([known.get(piece) or self.packed(piece) for piece in pieces])
+            else:
+                ids = self.merge(chunk.encode("utf-8", "surrogatepass"))
+                packed = b"".join(map(self.packed_of.__getitem__, ids))
+        if len(chunk) <= SHORT:
+            if len(self.known) >= REMEMBERED:
+                self.known, self.aged = {}, self.known
+            self.known[chunk] = packed
         return packed
 
     def encode_packed(self, text: str) -> bytes:
-        known, packed = self.known, self.packed
-        return b"".join([known.get(piece) or packed(piece) for piece in self.pattern.findall(text)])
+        known, packed = self.known.get, self.packed
+        return b"".join([known(chunk) or packed(chunk) for chunk in self.chunks.findall(text)])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), dtype="<u4").tolist()
 
+    def decode_parts(self, packed: bytes) -> Iterator[bytes]:
+        """The bytes of packed ids, some tokens at a time."""
+        every = np.frombuffer(packed, dtype="<u4")
+        for k in range(0, len(every), TOGETHER):
+            ids = every[k : k + TOGETHER]
+            lengths = self.lengths[ids]
+            if not lengths.all():
+                raise KeyError("an id that the vocabulary does not have")
+            shift = self.starts[ids] - np.cumsum(lengths) + lengths
+            yield self.flat[np.arange(lengths.sum()) + np.repeat(shift, lengths)].tobytes()
+
     def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return b"".join(self.decode_parts(np.array(ids, dtype="<u4").tobytes()))
 
 
 _LOADED: dict[tuple[str, str], ByteBPE] = {}
@@ -191,10 +229,12 @@ def round_trip_digests(
             counts, of_ids, of_bytes = [], [], []
             for text in batch.column(1).to_pylist():
                 packed = bpe.encode_packed(text)
-                ids = np.frombuffer(packed, dtype="<u4").tolist()
-                counts.append(len(ids))
+                counts.append(len(packed) // 4)
                 of_ids.append(hashlib.sha256(packed).hexdigest())
-                of_bytes.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
+                decoded = hashlib.sha256()
+                for part in bpe.decode_parts(packed):
+                    decoded.update(part)
+                of_bytes.append(decoded.hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)]
             yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

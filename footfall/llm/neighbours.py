@@ -128,7 +128,11 @@ def fit(sample: np.ndarray, rows: int, k: int = 10, recall: float = 0.95) -> Ind
     functions = max(1, round(math.log2(max(rows, 1) / CELL_ROWS))) if rows > CELL_ROWS else 1
     if len(sample) < 2:
         return Index(functions, 1.0, 1.0, PROBES)
-    width = 2 * math.sqrt(sample.var(axis=0).sum())
+    with np.errstate(over="ignore"):
+        width = 2 * math.sqrt(sample.var(axis=0).sum())
+    if not math.isfinite(width):
+        # Components so large that squares overflow: cells tell nothing, all is compared.
+        return Index(1, 1.0, 1.0, 1)
     draw = np.random.default_rng(3)
     asked = draw.permutation(len(sample))[:SAMPLE_QUERIES]
     gaps = squared(sample[asked], sample)
@@ -338,7 +342,7 @@ def nearest(
         # Drawn by a hash of the vector; at most SAMPLE of them reach the driver.
         drawn = rows.select("v").orderBy(F.xxhash64(F.lit(11), "v")).limit(SAMPLE).collect()
         lengths = [len(r.v) for r in drawn]
-        usual = max(set(lengths), key=lambda n: (lengths.count(n), n), default=0)
+        usual = max(set(lengths), key=lambda n: (lengths.count(n), n), default=1)
         sample = np.array([r.v for r in drawn if len(r.v) == usual], dtype=float).reshape(-1, usual)
         index = fit(sample, rows.count(), k)
     wanted = k + 1  # one may be the query itself

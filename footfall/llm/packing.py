@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from footfall.llm.common import prepare, texts_of, written
 
-# Words, and stems, whose ids a worker remembers; when full, it starts afresh.
-REMEMBERED = 800_000
-REMEMBERED_STEMS = 500_000
+# Short words whose ids a worker remembers, twice as many at most: when full, those that
+# were not met since the last time are forgotten. Stems are forgotten all at once.
+REMEMBERED, SHORT = 700_000, 64
+REMEMBERED_STEMS = 300_000
 # Characters besides the blank that end a word for every step of the tokenizer, and that no
 # step joins to what stands beside them: what lies between two of them is encoded by itself.
 BLANKS = "\t\n\r\x0b\x0c"
@@ -69,6 +70,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.aged: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
@@ -92,9 +94,12 @@ class WordEncoder:
         for part in parts.difference(plain):
             stems[part] = self._encode(part).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words that are not known; short ones are from now on."""
+        aged = self.aged
+        found = {word: aged[word] for word in words if word in aged}
         parts: dict[str, tuple[str, str]] = {}
-        for word in words:
+        for word in words.difference(found):
             stem = word.rstrip(CLOSING)
             last = stem[-1:]
             if not last.isascii():
@@ -110,25 +115,32 @@ class WordEncoder:
         self._learn_stems({part for pair in parts.values() for part in pair if part and part not in stems})
         stems[""] = b""
         for word, (stem, tail) in parts.items():
-            self.known[word] = stems[stem] + stems[tail]
-
-    def encode_packed(self, texts: list[str]) -> list[bytes]:
+            found[word] = stems[stem] + stems[tail]
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        if len(self.stems) > REMEMBERED_STEMS:
+            self.known, self.aged = {"": b""}, self.known
+        if len(stems) > REMEMBERED_STEMS:
             self.stems = {}
-        rows = []
+        self.known.update(found if max(map(len, found)) <= SHORT else {w: i for w, i in found.items() if len(w) <= SHORT})
+        return found
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        known, rows, gaps = self.known.get, [], []
+        missing: set[str] = set()
         for text in texts:
             for blank in BLANKS:
                 text = text.replace(blank, " ")
-            rows.append(text.split(" "))
-        known = self.known
-        missing: set[str] = set()
-        for row in rows:
-            missing.update(set(row).difference(known))
+            words = text.split(" ")
+            ids = list(map(known, words))
+            rows.append(ids)
+            if None in ids:
+                unknown = [(ids, place, words[place]) for place, found in enumerate(ids) if found is None]
+                missing.update([word for *_, word in unknown])
+                gaps += unknown
         if missing:
-            self._learn(missing)
-        return [b"".join(map(known.__getitem__, row)) for row in rows]
+            learned = self._learn(missing)
+            for ids, place, word in gaps:
+                ids[place] = learned[word]
+        return [b"".join(ids) for ids in rows]
 
 
 _LOADED: dict[str, WordEncoder] = {}

@@ -43,16 +43,42 @@ RULES = [
 
 def op1_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     """Pages judged by rules and host reputation. A labelled page is one whose id has a
-    row in labels; it is good when its quality is 1 and it is not toxic."""
+    row in labels; it is good when its quality is 1 and it is not toxic, in every row of it."""
     pages = _table(spark, folder, "pages")
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
-    labels = _table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
+    labels = _table(spark, folder, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.min(good).alias("good"))
     host, _ = url_filter.url_parts(F.col("url"))
     hosts = pages.select("page_id", host.alias("host"))
     reputation = url_filter.host_reputation(hosts.join(labels, "page_id"), hosts=hosts)
     return url_filter.judge_urls(pages, reputation, RULES)
 
 
+def _posterior_sql(level: int, good: str, n: str, strength: str) -> str:
+    """Mean and variance of a level, from those of the one above."""
+    room = f"m{level - 1} * (1 - m{level - 1})"
+    size = f"greatest({room} / (v{level - 1} + {room} / ({strength} + 1)) - 1, 0.5)"
+    return (
+        f"({good} + {size} * m{level - 1}) / ({n} + {size}) AS m{level}, "
+        f"m{level} * (1 - m{level}) / ({n} + {size} + 1) AS v{level}"
+    )
+
+
+def _strength_sql(units: str, p: str) -> str:
+    return (
+        f"SELECT greatest(2.0, least(1000.0, coalesce(sum(n * {p} * (1 - {p}) * (n - 1)) / "
+        f"greatest(sum((g - n * {p}) ** 2 - n * {p} * (1 - {p})), 1e-9) - 1, 1000.0))) AS s FROM {units} WHERE n > 1"
+    )
+
+
+SQL_PARTS = {
+    "{top}": "(g0 - g + 1) / (n0 - n + 2) AS m0, m0 * (1 - m0) / (n0 - n + 3) AS v0",
+    "{post_1}": _posterior_sql(1, "(g1 - g)", "(n1 - n)", "s"),
+    "{post_2}": _posterior_sql(2, "(g2 - g)", "(n2 - n)", "t"),
+    "{post_3}": _posterior_sql(3, "g", "n", "r"),
+    "{strength_1}": _strength_sql("u1", "m0"),
+    "{strength_2}": _strength_sql("u2", "m1"),
+    "{strength_3}": _strength_sql("u3", "m2"),
+}
 ORACLE_1 = r"""
 WITH parts AS (
   SELECT page_id,
@@ -60,28 +86,31 @@ WITH parts AS (
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '^[\s\S]*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
-units AS (
-  SELECT host, split_part(host, '.', -1) AS suffix,
+hosts AS (
+  SELECT DISTINCT host, split_part(host, '.', -1) AS suffix,
          CASE WHEN length(host) - length(replace(host, '.', '')) > 1
-              THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain,
-         count(*) AS n, count(*) FILTER (quality = 1 AND toxic = 0) AS good
-  FROM parts JOIN labels ON doc_id = page_id
-  WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL),
-a AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM units),
-l1 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(m) AS p FROM units, a GROUP BY 1),
-s1 AS (SELECT greatest(2.0, least(1000.0, coalesce(sum(n * p * (1 - p) * (n - 1)) /
-         greatest(sum((good - n * p) ** 2 - n * p * (1 - p)), 1e-9) - 1, 1000.0))) AS s FROM l1 WHERE n > 1),
-m1 AS (SELECT suffix, (good + s * p) / (n + s) AS p FROM l1, s1),
-l2 AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good, any_value(p) AS p
-       FROM units JOIN m1 USING (suffix) GROUP BY 1, 2),
-s2 AS (SELECT greatest(2.0, least(1000.0, coalesce(sum(n * p * (1 - p) * (n - 1)) /
-         greatest(sum((good - n * p) ** 2 - n * p * (1 - p)), 1e-9) - 1, 1000.0))) AS s FROM l2 WHERE n > 1),
-m2 AS (SELECT domain, (good + s * p) / (n + s) AS p FROM l2, s2),
-l3 AS (SELECT host, n, good, p FROM units JOIN m2 USING (domain)),
-s3 AS (SELECT greatest(2.0, least(1000.0, coalesce(sum(n * p * (1 - p) * (n - 1)) /
-         greatest(sum((good - n * p) ** 2 - n * p * (1 - p)), 1e-9) - 1, 1000.0))) AS s FROM l3 WHERE n > 1),
-m3 AS (SELECT host, (good + s * p) / (n + s) AS p, n + s AS size FROM l3, s3),
-low AS (SELECT host, p - 1.645 * sqrt(p * (1 - p) / (size + 1)) AS low FROM m3),
+              THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain FROM parts),
+judged AS (
+  SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels
+  WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
+l3 AS (SELECT suffix, domain, host, count(*) AS n, sum(good) AS g FROM parts JOIN judged USING (page_id) JOIN hosts USING (host) GROUP BY ALL),
+l2 AS (SELECT suffix, domain, sum(n) AS n, sum(g) AS g FROM l3 GROUP BY ALL),
+l1 AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM l3 GROUP BY ALL),
+l0 AS (SELECT coalesce(sum(n), 0) AS n0, coalesce(sum(g), 0) AS g0 FROM l3),
+u1 AS (SELECT *, {top} FROM l1, l0),
+s1 AS ({strength_1}),
+u2 AS (SELECT *, {post_1} FROM (
+  SELECT l2.suffix, l2.domain, l2.n AS n, l2.g AS g, n0, g0, s, {top}, l1.n AS n1, l1.g AS g1 FROM l2 JOIN l1 USING (suffix), l0, s1)),
+s2 AS ({strength_2}),
+u3 AS (SELECT *, {post_2} FROM (SELECT *, {post_1} FROM (
+  SELECT l3.host, l3.n AS n, l3.g AS g, n0, g0, s1.s AS s, s2.s AS t, {top}, l1.n AS n1, l1.g AS g1, l2.n AS n2, l2.g AS g2
+  FROM l3 JOIN l1 USING (suffix) JOIN l2 USING (suffix, domain), l0, s1, s2))),
+s3 AS ({strength_3}),
+low AS (SELECT host, low FROM (SELECT host, m3 - 1.645 * sqrt(v3) AS low FROM (SELECT *, {post_3} FROM (SELECT *, {post_2} FROM (SELECT *, {post_1} FROM (
+  SELECT host, coalesce(l3.n, 0) AS n, coalesce(l3.g, 0) AS g, n0, g0, s1.s AS s, s2.s AS t, s3.s AS r, {top},
+         coalesce(l1.n, 0) AS n1, coalesce(l1.g, 0) AS g1, coalesce(l2.n, 0) AS n2, coalesce(l2.g, 0) AS g2
+  FROM hosts LEFT JOIN l3 USING (suffix, domain, host) LEFT JOIN l1 USING (suffix) LEFT JOIN l2 USING (suffix, domain), l0, s1, s2, s3
+  WHERE n0 > 0)))))),
 rules(action, rule, h, b) AS (VALUES ('block', 'net/', 'net', '/'),
   ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'),
   ('allow', 'org/fr/', 'org', '/fr/')),
@@ -92,6 +121,8 @@ SELECT page_id, host, path, rule,
        coalesce(action, CASE WHEN coalesce(low, 1.0) >= 0.6 THEN 'allow' ELSE 'block' END) AS verdict
 FROM parts LEFT JOIN fits USING (page_id) LEFT JOIN low USING (host)
 """
+for _name, _sql in SQL_PARTS.items():
+    ORACLE_1 = ORACLE_1.replace(_name, _sql)
 
 
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """URL filter: path rules, and where none fits, the reputation of the host.
 
 A host's labelled pages are good or bad. Their rate is shrunk through beta-binomial priors
-along the chain everything - suffix - registered domain - host: the posterior mean of a
-level is the prior mean of the next. How strongly a prior pulls is estimated from the
-spread of the rates below it (moments of the beta-binomial). A host is allowed when the
-lower bound of its posterior reaches a threshold; without labelled pages, its posterior is
-its prior.
+along the chain everything - suffix - registered domain - host: the posterior of a level is
+the prior of the next. A prior's size follows from its variance: how uncertain the mean
+above is, and how far units differ from it (moments of the beta-binomial), so few labelled
+pages in all leave wide bounds everywhere. A unit's own pages are left out of its prior. A
+host is allowed when the lower bound of its posterior reaches a threshold; without labelled
+pages, its posterior is its prior.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ PATH_AT = r"(?s)^.*?://[^/?#]*([^?#]*)"
 
 # Bounds of a prior's strength in pseudo-pages, where moments are degenerate.
 WEAKEST, STRONGEST = 2.0, 1000.0
+# The least size of a prior, where what is above it is next to unknown.
+LEAST_SIZE = 0.5
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -56,15 +59,38 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> d
     return {"rule": rule, "action": action}
 
 
-def _strength(level: DataFrame, prior: str) -> float:
-    """Pseudo-pages that fit the spread of the level's rates around their prior.
+def _posterior(units: DataFrame, good: Column, n: Column, strength: float) -> DataFrame:
+    """Replaces ``p`` and ``v``, mean and variance of a prior, by those of the posterior,
+    given the pages that count and how strongly units follow their prior.
 
-    With p a prior mean, n pages of a unit and k good ones, a beta-binomial of strength s
-    has variance n p (1-p) (1 + (n-1)/(s+1)); the sums of both sides give s. One row
-    comes to the driver.
+    Column by column, as an expression of all three levels would be very large.
     """
-    expected = F.col("n") * F.col(prior) * (1 - F.col(prior))
-    seen = F.pow(F.col("good") - F.col("n") * F.col(prior), F.lit(2))
+    room = F.col("p") * (1 - F.col("p"))
+    size = room / (F.col("v") + room / (strength + 1)) - 1
+    units = units.withColumn("size", F.greatest(size, F.lit(LEAST_SIZE)))
+    units = units.withColumn("p", (good + F.col("size") * F.col("p")) / (n + F.col("size")))
+    return units.withColumn("v", F.col("p") * (1 - F.col("p")) / (n + F.col("size") + 1))
+
+
+def _with_prior(units: DataFrame, strengths: list[float]) -> DataFrame:
+    """Adds ``p`` and ``v`` that units have without their own pages (n, good), by the levels
+    whose strengths are given."""
+    good, n = F.col("all_good") - F.col("good"), F.col("all_n") - F.col("n")
+    units = units.withColumn("p", (good + 1) / (n + 2))
+    units = units.withColumn("v", F.col("p") * (1 - F.col("p")) / (n + 3))
+    for name, strength in zip(LEVELS, strengths):
+        units = _posterior(units, F.col(f"{name}_good") - F.col("good"), F.col(f"{name}_n") - F.col("n"), strength)
+    return units
+
+
+def _strength(level: DataFrame) -> float:
+    """Pseudo-pages that fit the spread of the level's rates around their prior mean ``p``.
+
+    With n pages of a unit and k good ones, a beta-binomial of strength s has variance
+    n p (1-p) (1 + (n-1)/(s+1)); the sums of both sides give s. One row comes to the driver.
+    """
+    expected = F.col("n") * F.col("p") * (1 - F.col("p"))
+    seen = F.pow(F.col("good") - F.col("n") * F.col("p"), F.lit(2))
     sums = (
         level.where("n > 1")
         .agg(F.sum(seen - expected).alias("extra"), F.sum(expected * (F.col("n") - 1)).alias("room"))
@@ -81,12 +107,12 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, hosts: DataFrame | No
     ``outcomes`` has host and good (0 or 1), one row per labelled page; rows where either
     is null are left out. Pages are counted by host before anything is shuffled, so a host
     with a third of all pages is one row per task. The counts are written once; each
-    level then needs its strength before its means.
+    level needs its strength before the next one has its priors.
 
     ``hosts`` has host, in any number of rows. Those without a labelled page are returned
-    too, with n = 0: their posterior is their prior, whose mean is that of their domain,
-    where that has none either of their suffix, and else of everything. Without any
-    labelled page there is nothing to go by, and no host is returned.
+    too, with n = 0: their posterior is their prior, to which their domain, suffix and
+    everything add what they have. Without any labelled page there is nothing to go by, and
+    no host is returned.
     """
     counts = with_levels(
         outcomes.where(F.col("host").isNotNull() & F.col("good").isNotNull())
@@ -95,34 +121,29 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, hosts: DataFrame | No
     )
     counts = written(counts, "host-counts")
     total = counts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
-    overall = ((total.good or 0) + 1) / ((total.n or 0) + 2)
-    parent, prior, means = None, "all_mean", {}
-    for depth, name in enumerate(LEVELS):
-        keys = list(LEVELS[: depth + 1])
-        level = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-        if parent is None:
-            level = level.withColumn(prior, F.lit(overall))
-        else:
-            level = level.join(parent, LEVELS[depth - 1])
-        strength = _strength(level, prior)
-        level = level.withColumn("s", F.lit(strength))
-        mean = (F.col("good") + F.col("s") * F.col(prior)) / (F.col("n") + F.col("s"))
-        level = level.withColumn(f"{name}_mean", mean)
-        parent, prior = level.select(name, f"{name}_mean"), f"{name}_mean"
-        means[name] = parent
-    rated = level.select("host", "n", "good", F.col("host_mean").alias("mean"))
+    everything = {"all_n": F.lit(total.n or 0).cast("long"), "all_good": F.lit(total.good or 0).cast("long")}
+    sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
+    levels = [counts.groupBy(*LEVELS[: depth + 1]).agg(*sums) for depth in range(len(LEVELS))]
+
+    def with_above(units: DataFrame, depth: int) -> DataFrame:
+        """The counts of what a unit belongs to; none where nothing there is labelled."""
+        for name, level in zip(LEVELS[:depth], levels):
+            above = level.select(name, F.col("n").alias(f"{name}_n"), F.col("good").alias(f"{name}_good"))
+            units = units.join(above, name, "left").na.fill(0, [f"{name}_n", f"{name}_good"])
+        return units.withColumns(everything)
+
+    strengths: list[float] = []
+    for depth, level in enumerate(levels):
+        strengths.append(_strength(_with_prior(with_above(level, depth), strengths)))
+    every = counts
     if hosts is not None and total.n:
         # One row per host before the joins by domain and suffix.
-        others = hosts.select("host").where("host IS NOT NULL").distinct().join(counts, "host", "left_anti")
-        others = with_levels(others).join(means["domain"], "domain", "left").join(means["suffix"], "suffix", "left")
+        others = with_levels(hosts.select("host").where("host IS NOT NULL").distinct().join(counts, "host", "left_anti"))
         none = F.lit(0).cast("long")
-        prior_mean = F.coalesce("domain_mean", "suffix_mean", F.lit(overall))
-        rated = rated.unionByName(
-            others.select("host", none.alias("n"), none.alias("good"), prior_mean.alias("mean"))
-        )
-    mean = F.col("mean")
-    spread = F.sqrt(mean * (1 - mean) / (F.col("n") + F.lit(strength) + 1))
-    return rated.withColumn("low", mean - z * spread)
+        every = counts.unionByName(others.withColumns({"n": none, "good": none}))
+    *above, own = strengths
+    rated = _posterior(_with_prior(with_above(every, len(above)), above), F.col("good"), F.col("n"), own)
+    return rated.select("host", "n", "good", F.col("p").alias("mean"), (F.col("p") - z * F.sqrt("v")).alias("low"))
 
 
 def judge_urls(
@@ -137,8 +158,10 @@ def judge_urls(
 
     The longest rule decides; without one, the host's lower bound must reach ``least``. A
     host that ``reputation`` does not have is allowed; give ``host_reputation`` the hosts
-    of the pages for it to have all of them, the empty host of a null url included. Rules are a list of fixed length in the code, tested
-    as one expression. Rows with the same id or url are judged each.
+    of the pages for it to have all of them, the empty host of a null url included. Rules are
+    a list of fixed length in the code, tested as one expression. Rows with the same id or
+    url are judged each; a url of any length is looked at whole; an empty table gives no
+    rows; other columns are not read.
     """
     host, path = url_parts(pages[url_col])
     rows = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"))

@@ -18,13 +18,13 @@ def values(rows):
 
 def test_all_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline")
-    assert numbers == list(range(1, 11)) and "pipeline" in NAMES
+    assert numbers == list(range(1, 14)) and "pipeline" in NAMES
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in entry.oracle_sql()])
 def test_against_sql(spark, name):
     base = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "embeddings", "pages", "labels"):
         base.execute(f"CREATE VIEW {table} AS FROM '{SMALL}/{table}.parquet'")
     ours = entry.queries()[name](spark, SMALL)
     theirs = base.execute(entry.oracle_sql()[name])

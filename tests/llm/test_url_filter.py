@@ -122,3 +122,83 @@ def test_a_good_label_never_lowers_the_bound(spark):
     found = {r.host: r for r in u.host_reputation(outcomes, hosts=hosts).collect()}
     assert len(found) == 42 and (found["new.a.b"].n, found["new.a.b"].good) == (0, 0)
     assert found["new.a.b"].low < found["one.a.b"].low
+
+
+def level_of(host, depth):
+    return tuple([host.split(".")[-1], ".".join(host.split(".")[-2:]), host][:depth])
+
+
+def pages(units, of, depth, without=None):
+    """(n, good) of everything (depth 0), a suffix, a domain or a host, less some unit's."""
+    chosen = [(n, g) for h, n, g in units if level_of(h, depth) == level_of(of, depth) and h not in (without or ())]
+    return sum(n for n, _ in chosen), sum(g for _, g in chosen)
+
+
+def chain(units, host, depth, strengths, own=True):
+    """mean and variance of the unit that a host belongs to, by the rules."""
+    mine = [h for h, _, _ in units if level_of(h, depth) == level_of(host, depth)]
+    n, g = pages(units, host, 0, mine)
+    mean = (g + 1) / (n + 2)
+    variance = mean * (1 - mean) / (n + 3)
+    for k in range(1, depth + own):
+        n, g = pages(units, host, k, None if k == depth else mine)
+        room = mean * (1 - mean)
+        size = max(room / (variance + room / (strengths[k - 1] + 1)) - 1, u.LEAST_SIZE)
+        mean = (g + size * mean) / (n + size)
+        variance = mean * (1 - mean) / (n + size + 1)
+    return mean, variance
+
+
+def spread(units, depth, strengths):
+    """The strength of a level, by moments."""
+    extra = room = 0.0
+    for name in {level_of(h, depth) for h, _, _ in units}:
+        host = next(h for h, _, _ in units if level_of(h, depth) == name)
+        n, g = pages(units, host, depth)
+        if n > 1:
+            p, _ = chain(units, host, depth, strengths, own=False)
+            extra += (g - n * p) ** 2 - n * p * (1 - p)
+            room += n * p * (1 - p) * (n - 1)
+    return max(u.WEAKEST, min(u.STRONGEST, room / max(extra, 1e-9) - 1)) if room else u.STRONGEST
+
+
+@pytest.mark.parametrize("copies", [1, 7])
+def test_against_brute_force(spark, copies):
+    units = [("a.x.org", 1, 1), ("b.x.org", 2, 0), ("c.y.org", 1, 1), ("d.z.com", 5, 4), ("z.com", 1, 1), ("lone", 3, 0)]
+    units = [(h, n * copies, g * copies) for h, n, g in units]
+    seen = [(h, int(k < g)) for h, n, g in units for k in range(n)]
+    outcomes = spark.createDataFrame(seen, "host string, good int")
+    hosts = spark.createDataFrame([("new.x.org",), ("other.net",), ("e.com",), ("lone",)], "host string")
+    found = {r.host: r for r in u.host_reputation(outcomes, hosts=hosts).collect()}
+    assert set(found) == {h for h, _, _ in units} | {"new.x.org", "other.net", "e.com"}
+    strengths = []
+    for depth in (1, 2, 3):
+        strengths.append(spread(units, depth, strengths))
+    for host, row in found.items():
+        mean, variance = chain(units, host, 3, strengths)
+        assert (row.mean, row.low) == pytest.approx((mean, mean - 1.645 * variance**0.5))
+    # A handful of pages in all cannot vouch for a host.
+    assert copies > 1 or all(row.low < 0.6 for row in found.values())
+
+
+def test_more_pages_narrow_the_bounds(spark):
+    def low(copies):
+        seen = [(f"h{k}.d{k % 3}.org", 1) for k in range(6) for _ in range(copies)]
+        outcomes = spark.createDataFrame(seen, "host string, good int")
+        hosts = spark.createDataFrame([("new.org",)], "host string")
+        return {r.host: r.low for r in u.host_reputation(outcomes, hosts=hosts).collect()}
+
+    few, many = low(1), low(200)
+    assert few["new.org"] < many["new.org"] and few["h0.d0.org"] < many["h0.d0.org"] > 0.9
+
+
+def test_repeated_labels_count_a_page_once(spark, tmp_path):
+    pages = [(k, f"http://h{k % 5}.a.org/") for k in range(50)]
+    labels = [(k, int(k % 5 > 0), 0) for k in range(50)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/one/pages.parquet")
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/two/pages.parquet")
+    schema = "doc_id long, quality int, toxic int"
+    spark.createDataFrame(labels, schema).write.parquet(f"{tmp_path}/one/labels.parquet")
+    spark.createDataFrame(labels + labels[:30] * 9 + [(1, 0, 0), (1, None, 1)], schema).write.parquet(f"{tmp_path}/two/labels.parquet")
+    one, two = [{r.page_id: r.verdict for r in queries.op1_url_reputation(spark, f"{tmp_path}/{n}").collect()} for n in ("one", "two")]
+    assert one == two
