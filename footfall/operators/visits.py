@@ -94,7 +94,11 @@ def newest_visits(
 
 def visit_list(hits: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """The printed list of the newest human visits."""
-    rows = newest_visits(hits, limit, ("entry_path", "referrer", "country", "browser"))
+    return listed(newest_visits(hits, limit, ("entry_path", "referrer", "country", "browser")))
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """Visits as the list prints them."""
     return rows.select(
         labels.list_when(F.col("first_seen")).alias("when"),
         "country",

@@ -341,3 +341,10 @@ hits AS (SELECT * REPLACE (CASE WHEN bot > 0 THEN '/crawl' || path ELSE path END
     "two_sites": f"""{WITH_VISITS} SELECT t.site, session, page_count, event_count, 0::BIGINT AS repeated_keys
   FROM sessions, (VALUES ('one'), ('two')) t(site)""",
 }
+
+# Kept tables answer as the hits themselves do.
+ORACLES |= {
+    "kept_visits": ORACLES["visits"],
+    "kept_headline": ORACLES["overview_headline"],
+    "kept_visit_list": ORACLES["visit_list"],
+}

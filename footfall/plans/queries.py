@@ -16,6 +16,7 @@ from footfall.session import shared_folder
 from footfall.sources import events
 from footfall.sources.exports import read_export
 from footfall.sources.store import Store
+from footfall.sources.visit_table import VisitTable
 from footfall.streaming.landing import ingest_landing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -253,6 +254,28 @@ def _state_mixed(spark: SparkSession, folder: str) -> DataFrame:
     return sites.sync_state(log).withColumn("calls", F.lit(calls).cast("long"))
 
 
+def _kept(spark: SparkSession, folder: str) -> VisitTable:
+    """Visits kept by two refreshes: the late half of the month first, then all of it."""
+    hits = events.load_hits(spark, folder)
+    table = VisitTable(Store(shared_folder(spark, "store")))
+    for batch in (hits.where(F.col("created_at") >= HALF), hits):
+        table.store.insert(batch)
+        table.refresh(spark)
+    return table
+
+
+def _kept_visits(spark: SparkSession, folder: str) -> DataFrame:
+    return _kept(spark, folder).visits(spark)
+
+
+def _kept_headline(spark: SparkSession, folder: str) -> DataFrame:
+    return _kept(spark, folder).headline(spark, WEEK)
+
+
+def _kept_visit_list(spark: SparkSession, folder: str) -> DataFrame:
+    return _kept(spark, folder).visit_list(spark)
+
+
 QUERIES: dict[str, Query] = {
     "visits": _over_hits(visits.visits),
     "visit_list": _over_hits(visits.visit_list),
@@ -304,4 +327,7 @@ QUERIES: dict[str, Query] = {
     "sync_state_mixed": _state_mixed,
     "read_odd_export": _read_odd_export,
     "two_sites": _over_hits(_two_sites),
+    "kept_visits": _kept_visits,
+    "kept_headline": _kept_headline,
+    "kept_visit_list": _kept_visit_list,
 }

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,11 +61,12 @@ class Store:
         Of the hits of one identity, what is stored wins over what is offered, and the least
         by all columns over the others, so how rows are dealt into batches never changes how
         many are stored. A digest covers the date: only the batch's own days are compared.
-        The batch is parsed once and written in the shared folder. A repeated call after a
+        The batch is looked at twice, first for its days alone, and must be the same both
+        times; give one that is costly to make as a written table. A repeated call after a
         failure finds what was written and adds the rest.
         """
         spark = batch.sparkSession
-        batch = written(batch.select(*HITS.fieldNames()), "batch")
+        batch = batch.select(*HITS.fieldNames())
         # One row per day, however large the batch.
         days = batch.groupBy("event_date").agg(F.count("*").alias("rows")).collect()
         if not days:
@@ -115,8 +115,8 @@ class Store:
         **export_options,
     ) -> Inserted:
         """Read export files, store what is new, note the sync. ``last_hit_id`` is the
-        cursor that came with the export; see ``next_cursor``."""
-        result = self.insert(read_export(spark, paths, site, **export_options))
+        cursor that came with the export; see ``next_cursor``. Files are parsed once."""
+        result = self.insert(written(read_export(spark, paths, site, **export_options), "batch"))
         self.record(spark, site, synced_at, result.new, last_hit_id, origin)
         return result
 
@@ -173,9 +173,7 @@ def _on_days(hits: DataFrame, days: list[dt.date | None]) -> DataFrame:
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return empty(spark, schema)
+    return empty(spark, schema)

@@ -1,0 +1,126 @@
+"""The kept visits against visits made of all hits."""
+
+import random
+import re
+
+import pytest
+from frames import rows
+
+from pyspark.sql import functions as F
+
+from footfall.operators import overview, visits
+from footfall.sources.store import Store
+from footfall.sources.visit_table import VisitTable
+
+SINCE = "2024-03-06T09:00:00Z"
+
+
+@pytest.fixture
+def table(tmp_path):
+    return VisitTable(Store(str(tmp_path / "a store")))
+
+
+def some_hits(count, seed):
+    """Visits over several days, hits without a time, unflagged entries, bots, events."""
+    draw = random.Random(seed)
+    found = []
+    for number in range(count):
+        visit = draw.randrange(60)
+        day = 1 + (visit % 9) + draw.choice([0, 0, 0, 1, 3])
+        found.append({
+            "hit_key": f"k{seed}-{number:04}", "session": None if visit == 7 else f"s{visit}",
+            "site": draw.choice(["main", None]) if visit % 10 == 0 else "main", "path": f"/{draw.randrange(5)}",
+            "created_at": draw.choice([None, "", "soon"]) if draw.random() < 0.05 else f"2024-03-{day:02}T{draw.randrange(24):02}:00:00Z",
+            "is_event": int(draw.random() < 0.2), "first_visit": int(draw.random() < 0.4),
+            "bot": draw.choice([0, 0, 0, 0, 2]), "referrer": draw.choice(["", "a.example", "b.example"]),
+            "country": draw.choice(["", "PT", "KE"]),
+        })
+    return found
+
+
+def same(one, other):
+    assert one.columns == other.columns
+    assert sorted(rows(one), key=repr) == sorted(rows(other), key=repr)
+
+
+def check(spark, table):
+    hits = table.store.hits(spark)
+    same(table.visits(spark), visits.visits(hits))
+    for since in (None, SINCE):
+        same(table.headline(spark, since), overview.headline(hits, since))
+        assert rows(table.top_referrers(spark, since)) == rows(overview.top_referrers(hits, since))
+        assert rows(table.top_countries(spark, since)) == rows(overview.top_countries(hits, since))
+    for limit in (1, 5, 1000):
+        assert rows(table.visit_list(spark, limit)) == rows(visits.visit_list(hits, limit))
+
+
+def test_inserts_in_any_order_equal_recomputing(spark, table, make_hits):
+    batches = [some_hits(40, seed) for seed in range(3)]
+    # Days come backwards, and each batch has hits of visits that others have.
+    for batch in batches:
+        batch.sort(key=lambda hit: hit["created_at"] or "", reverse=True)
+    for batch in (batches[1], batches[0], batches[1], batches[2]):
+        new = table.store.insert(make_hits(*batch)).new
+        assert bool(table.refresh(spark)) == bool(new)
+        assert table.refresh(spark) == 0
+    check(spark, table)
+    before = rows(table.visits(spark))
+    table.compact(spark)
+    assert sorted(map(repr, rows(table.visits(spark)))) == sorted(map(repr, before))
+    table.store.insert(make_hits(*some_hits(30, 9)))
+    table.refresh(spark)
+    check(spark, table)
+
+
+def test_a_visit_that_began_earlier_than_known_moves(spark, table, make_hits):
+    table.store.insert(make_hits(("k2", "s", "/late", "2024-03-08T10:00:00Z", 1, 0)))
+    table.refresh(spark)
+    assert rows(table.headline(spark, SINCE), "single_page") == [(1,)]
+    table.store.insert(make_hits(("k1", "s", "/early", "2024-03-01T10:00:00Z", 1, 0)))
+    table.refresh(spark)
+    assert table.begun_since(spark, SINCE).count() == 0
+    assert rows(table.visits(spark), "entry_path", "page_count") == [("/early", 2)]
+
+
+def test_a_refresh_that_fails_is_made_good(spark, table, make_hits, monkeypatch):
+    table.store.insert(make_hits(*some_hits(20, 1)))
+    with monkeypatch.context() as broken:
+        broken.setattr(VisitTable, "_commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            table.refresh(spark)
+    assert table.visits(spark).count() == 0
+    table.store.insert(make_hits(*some_hits(20, 2)))
+    table.refresh(spark)
+    check(spark, table)
+
+
+def test_a_replaced_store_is_folded_anew(spark, table, make_hits):
+    table.store.insert(make_hits(*some_hits(20, 1)))
+    table.refresh(spark)
+    table.store.replace(spark, make_hits(*some_hits(20, 5)))
+    table.refresh(spark)
+    check(spark, table)
+    table.store.replace(spark, make_hits())
+    table.refresh(spark)
+    assert table.visits(spark).count() == 0
+
+
+def test_an_empty_store(spark, table):
+    assert table.refresh(spark) == 0 and table.visits(spark).count() == 0
+    assert rows(table.headline(spark, SINCE)) == [(0, 0, 0, 0, 0)]
+    assert rows(table.visit_list(spark)) == []
+
+
+def test_recent_questions_read_recent_partitions(spark, table, make_hits):
+    table.store.insert(make_hits(*[(f"k{d}", f"s{d}", "/", f"2024-03-{d:02}T10:00:00Z", 1, 0) for d in range(1, 21)]))
+    table.refresh(spark)
+    plan = table.headline(spark, "2024-03-15T00:00:00Z")._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet.*?PartitionFilters: \[(.*?)\]", plan)
+    assert len(scans) == 2 and all("event_date" in s or "began" in s for s in scans)
+    read = table.begun_since(spark, "2024-03-15T00:00:00Z")
+    table.newest_visits(spark, 3)
+    files = table._rows(spark).where(F.col("began") >= F.lit("2024-03-15").cast("date")).select("_metadata.file_path").distinct().count()
+    assert read.count() == 6 == files
+    newest = table.newest_visits(spark, 3)._jdf.queryExecution().executedPlan().toString()
+    # One, two, four days: the last four have three visits.
+    assert newest.count("2024-03-") <= 8 and "2024-03-16" not in newest
