@@ -1,16 +1,20 @@
-"""Exact duplicates: runs of digests merged along a tree.
-
-Every text is reduced to (SHA-256, length). Rows are dealt to leaf runs by their id, and
-the runs are merged in binomial rounds: in each round the run numbers lose a few bits, so
-that ``fan_in`` runs meet, sorted by digest, and a digest keeps one row with its best
-identifier and its count. A text that makes up a third of the table never reaches the root
-as more than ``fan_in`` rows, because each leaf has reduced it already, and every round is
-spread over tasks by digest as well as by run.
+"""Exact duplicates: sorted runs of digests merged along a tree.
+
+Every text is reduced to (SHA-256, length) and a second digest of another kind. Rows are
+dealt to leaf runs by their id, and the runs are merged in binomial rounds: in each round
+the run numbers lose a few bits, so that ``fan_in`` runs meet in partitions by digest, are
+merged in the order of the digests, and a digest keeps one row: its best identifier with the
+second digest of its text, and its count. The identifier is a struct, for which Spark
+aggregates over sorted rows only, so each run is sorted before it is exchanged and merged
+in order behind the exchange. At every level the second digests of a group must agree,
+which verifies that equal digests are equal texts. A text that makes up a third of the table
+never reaches the root as more than ``fan_in`` rows, because each leaf has reduced it
+already, and every round is spread over tasks by digest as well as by run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import ascii_lower, texts_of, written
@@ -29,32 +33,40 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "doc_id",
         F.sha2(normal, 256).alias("text_sha256"),
         F.length("text").alias("n_chars"),
+        F.xxhash64(normal).alias("second"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(runs)).cast("int").alias("run"),
     ).withColumn("run", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("run")))
 
 
+def _reduced(level: DataFrame, best: str, rows: Column) -> DataFrame:
+    """One row per digest and run, by a merge of sorted rows; see above."""
+    merged = (
+        level.groupBy(*KEY, "run")
+        .agg(
+            getattr(F, best)("kept_row").alias("kept_row"),
+            F.sum(rows).alias("group_size"),
+            F.min("least").alias("least"),
+            F.max("most").alias("most"),
+        )
+    )
+    complaint = F.concat(F.lit("different texts have the digest "), F.col("text_sha256"))
+    same = F.when(F.col("least") == F.col("most"), F.lit(True)).otherwise(F.raise_error(complaint).cast("boolean"))
+    return merged.where(same)
+
+
 def leaf_runs(rows: DataFrame, best: str) -> DataFrame:
     """Each run with one row per digest: the best identifier and the number of rows."""
-    return rows.groupBy(*KEY, "run").agg(
-        getattr(F, best)("doc_id").alias("keep_id"), F.count("*").alias("group_size")
-    )
+    named = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), "second"))
+    leaves = rows.withColumns({"kept_row": named, "least": F.col("second"), "most": F.col("second")})
+    return _reduced(leaves, best, F.lit(1).cast("long"))
 
 
 def merge_runs(leaf: DataFrame, best: str) -> DataFrame:
     """The root of the tree, one row per digest; ``best`` is ``min`` or ``max``."""
     level = leaf
     for _ in range(ROUNDS):
-        level = (
-            level.withColumn("run", F.shiftright("run", FAN_IN_BITS))
-            .repartition(*KEY, "run")
-            .sortWithinPartitions(*KEY, "run")
-            .groupBy(*KEY, "run")
-            .agg(
-                getattr(F, best)("keep_id").alias("keep_id"),
-                F.sum("group_size").alias("group_size"),
-            )
-        )
-    return level
+        level = _reduced(level.withColumn("run", F.shiftright("run", FAN_IN_BITS)), best, F.col("group_size"))
+    return level.withColumn("keep_id", F.col("kept_row.id"))
 
 
 def exact_groups(
@@ -74,7 +86,7 @@ def exact_groups(
     best = "min" if keep == "smallest" else "max"
     leaf = written(leaf_runs(rows, best), "digest-leaves")
     root = written(merge_runs(leaf, best), "digest-root")
-    answers = leaf.select(*KEY, "run").join(root.drop("run"), KEY)
+    answers = leaf.select(*KEY, "run").join(root.select(*KEY, "keep_id", "group_size"), KEY)
     return rows.join(answers, [*KEY, "run"]).select(
         "doc_id",
         "keep_id",

@@ -93,22 +93,22 @@ hosts AS (
 judged AS (
   SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels
   WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
-l3 AS (SELECT suffix, domain, host, count(*) AS n, sum(good) AS g FROM parts JOIN judged USING (page_id) JOIN hosts USING (host) GROUP BY ALL),
-l2 AS (SELECT suffix, domain, sum(n) AS n, sum(g) AS g FROM l3 GROUP BY ALL),
-l1 AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM l3 GROUP BY ALL),
-l0 AS (SELECT coalesce(sum(n), 0) AS n0, coalesce(sum(g), 0) AS g0 FROM l3),
-u1 AS (SELECT *, {top} FROM l1, l0),
+l3 AS (SELECT suffix, domain, host, count(*) AS n3, sum(good) AS g3 FROM parts JOIN judged USING (page_id) JOIN hosts USING (host) GROUP BY ALL),
+l2 AS (SELECT suffix, domain, sum(n3) AS n2, sum(g3) AS g2 FROM l3 GROUP BY ALL),
+l1 AS (SELECT suffix, sum(n3) AS n1, sum(g3) AS g1 FROM l3 GROUP BY ALL),
+l0 AS (SELECT coalesce(sum(n3), 0) AS n0, coalesce(sum(g3), 0) AS g0 FROM l3),
+u1 AS (SELECT n1 AS n, g1 AS g, {top} FROM l1, l0),
 s1 AS ({strength_1}),
 u2 AS (SELECT *, {post_1} FROM (
-  SELECT l2.suffix, l2.domain, l2.n AS n, l2.g AS g, n0, g0, s, {top}, l1.n AS n1, l1.g AS g1 FROM l2 JOIN l1 USING (suffix), l0, s1)),
+  SELECT n2 AS n, g2 AS g, n0, g0, s, {top}, n1, g1 FROM l2 JOIN l1 USING (suffix), l0, s1)),
 s2 AS ({strength_2}),
 u3 AS (SELECT *, {post_2} FROM (SELECT *, {post_1} FROM (
-  SELECT l3.host, l3.n AS n, l3.g AS g, n0, g0, s1.s AS s, s2.s AS t, {top}, l1.n AS n1, l1.g AS g1, l2.n AS n2, l2.g AS g2
+  SELECT n3 AS n, g3 AS g, n0, g0, s1.s AS s, s2.s AS t, {top}, n1, g1, n2, g2
   FROM l3 JOIN l1 USING (suffix) JOIN l2 USING (suffix, domain), l0, s1, s2))),
 s3 AS ({strength_3}),
 low AS (SELECT host, low FROM (SELECT host, m3 - 1.645 * sqrt(v3) AS low FROM (SELECT *, {post_3} FROM (SELECT *, {post_2} FROM (SELECT *, {post_1} FROM (
-  SELECT host, coalesce(l3.n, 0) AS n, coalesce(l3.g, 0) AS g, n0, g0, s1.s AS s, s2.s AS t, s3.s AS r, {top},
-         coalesce(l1.n, 0) AS n1, coalesce(l1.g, 0) AS g1, coalesce(l2.n, 0) AS n2, coalesce(l2.g, 0) AS g2
+  SELECT host, coalesce(n3, 0) AS n, coalesce(g3, 0) AS g, n0, g0, s1.s AS s, s2.s AS t, s3.s AS r, {top},
+         coalesce(n1, 0) AS n1, coalesce(g1, 0) AS g1, coalesce(n2, 0) AS n2, coalesce(g2, 0) AS g2
   FROM hosts LEFT JOIN l3 USING (suffix, domain, host) LEFT JOIN l1 USING (suffix) LEFT JOIN l2 USING (suffix, domain), l0, s1, s2, s3
   WHERE n0 > 0)))))),
 rules(action, rule, h, b) AS (VALUES ('block', 'net/', 'net', '/'),

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from footfall.llm import exact_dedup
 
@@ -59,3 +61,19 @@ def test_empty_table_and_wrong_choice(make_docs):
 def test_only_functions(make_docs):
     plan = exact_dedup.exact_groups(make_docs((1, "a")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Window" not in plan
+
+
+def test_runs_are_merged_in_order(make_docs):
+    rows = exact_dedup.digests(make_docs(*[(k, f"text {k % 9}") for k in range(90)]))
+    leaf = exact_dedup.leaf_runs(rows, "min")
+    plan = exact_dedup.merge_runs(leaf, "min")._jdf.queryExecution().executedPlan().toString()
+    # Leaves and three rounds: sorted before and behind each exchange, never hashed.
+    assert "HashAggregate" not in plan and plan.count("Exchange hash") == 4
+    assert plan.count("SortAggregate") == 8 and len(re.findall(r"\bSort \[", plan)) >= 8
+
+
+def test_equal_digests_of_different_texts_are_found(make_docs):
+    rows = exact_dedup.digests(make_docs((1, "one"), (2, "two")))
+    forged = rows.withColumns({"text_sha256": F.lit("same"), "run": F.col("doc_id").cast("int") * 16})
+    with pytest.raises(Exception, match="different texts have the digest same"):
+        exact_dedup.merge_runs(exact_dedup.leaf_runs(forged, "min"), "min").collect()
