@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from footfall import schema
 from footfall.operators.visits import visits
+from footfall.schema import single_row
+from footfall.session import written
 
 
 def adhoc_sql(hits: DataFrame, sync_state: DataFrame, query: str) -> DataFrame:
@@ -56,3 +58,26 @@ def to_json_rows(frame: DataFrame) -> DataFrame:
 def write_json(frame: DataFrame, path: str) -> None:
     """The rows as JSON lines, written in parallel."""
     frame.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def to_json_array(frame: DataFrame) -> DataFrame:
+    """The lines of one JSON array, in order: an object each, with a bracket or comma before
+    it, and the closing bracket; ``[]`` for no rows.
+
+    Rows keep the order of the frame. They are written once with their places, as only the
+    first of them opens the array, and no task can know alone whether it has that one.
+    """
+    number = F.monotonically_increasing_id()
+    rows = written(to_json_rows(frame).withColumn("number", number), "json-rows")
+    first = rows.agg(F.min("number").alias("number")).first().number
+    if first is None:
+        return single_row(frame.sparkSession).select(F.lit("[]").alias("line"))
+    mark = F.when(F.col("number") == first, "[").otherwise(",")
+    lines = rows.orderBy("number").select(F.concat(mark, "json").alias("line"))
+    return lines.unionByName(single_row(frame.sparkSession).select(F.lit("]").alias("line")))
+
+
+def write_json_array(frame: DataFrame, path: str) -> None:
+    """The rows as text files that are one JSON array when put together by name; written
+    in parallel, each line an element."""
+    to_json_array(frame).write.mode("overwrite").text(path)

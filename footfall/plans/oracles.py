@@ -318,6 +318,9 @@ hits AS (SELECT * REPLACE (CASE WHEN bot > 0 THEN '/crawl' || path ELSE path END
     "export_json": f"""{WITH_VISITS} SELECT to_json({{
     'session': session, 'entry_path': entry_path, 'page_count': page_count,
     'duration_seconds': duration_seconds}})::VARCHAR AS json FROM sessions""",
+    "export_json_array": f"""{WITH_VISITS} SELECT CASE row_number() OVER (ORDER BY session, site) WHEN 1 THEN '[' ELSE ',' END
+    || to_json({{'session': session, 'entry_path': entry_path, 'page_count': page_count,
+    'duration_seconds': duration_seconds}})::VARCHAR AS line FROM sessions UNION ALL SELECT ']'""",
     "read_export": f"{WITH_EXPORT} SELECT {STORED_HITS}, '' AS site FROM export",
     "hit_keys": f"{WITH_EXPORT} SELECT hit_key, count(*) AS n FROM export GROUP BY 1",
     "key_drift": f"""{WITH_EXPORT} SELECT count(DISTINCT hit_key) AS keys, count(*) AS first_rows,

@@ -95,6 +95,14 @@ def _export_json(hits: DataFrame) -> DataFrame:
     return adhoc.to_json_rows(visits.visits(hits).select("session", "entry_path", "page_count", "duration_seconds"))
 
 
+def _export_array(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of an exported array, as the files have them."""
+    rows = visits.visits(events.load_hits(spark, folder)).orderBy("session", "site")
+    path = shared_folder(spark, "array")
+    adhoc.write_json_array(rows.select("session", "entry_path", "page_count", "duration_seconds"), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 def _rollup(spark: SparkSession, folder: str) -> DataFrame:
     return sites.site_rollup(
         events.load_sites(spark, folder),
@@ -317,6 +325,7 @@ QUERIES: dict[str, Query] = {
     "sync_state_fold": _sync_state,
     "adhoc_sql": _adhoc,
     "export_json": _over_hits(_export_json),
+    "export_json_array": _export_array,
     "read_export": _read_export,
     "hit_keys": _hit_keys,
     "key_drift": _key_drift,

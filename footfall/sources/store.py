@@ -15,6 +15,8 @@ from footfall.schema import HITS, SYNC_LOG, empty, single_row
 from footfall.session import written
 from footfall.sources.exports import read_export
 
+# Files of the log of syncs, one per call, before they are put together.
+LOG_FILES = 100
 # A hit of a day is stored once per site; the whole digest decides, not the short key.
 HIT_ID = ["event_date", "site", "row_digest"]
 
@@ -53,7 +55,22 @@ class Store:
         return hits if site is None else hits.where(F.col("site") == site)
 
     def sync_log(self, spark: SparkSession) -> DataFrame:
-        return _read_or_empty(spark, self.log_path, SYNC_LOG)
+        """All calls; one that is in two files, see ``fold_log``, counts once."""
+        return _read_or_empty(spark, self.log_path, SYNC_LOG).distinct()
+
+    def fold_log(self, spark: SparkSession) -> None:
+        """Put the files of the log together, so that reading it opens a bounded number of
+        files after any number of calls.
+
+        The calls are written as one more file before the others go; a failure in between
+        leaves some of them twice, which reading makes good. Calls keep their numbers and
+        origins, so what repeats one is still known.
+        """
+        files = _read_or_empty(spark, self.log_path, SYNC_LOG).inputFiles()
+        self.sync_log(spark).coalesce(1).write.mode("append").parquet(self.log_path)
+        for file in files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
 
     def insert(self, batch: DataFrame) -> Inserted:
         """Append the hits that are not stored yet; the rest is ignored.
@@ -103,6 +120,8 @@ class Store:
             *[F.lit(value).cast(field.dataType).alias(field.name) for value, field in zip(values, SYNC_LOG)]
         )
         entry.write.mode("append").parquet(self.log_path)
+        if len(_read_or_empty(spark, self.log_path, SYNC_LOG).inputFiles()) > LOG_FILES:
+            self.fold_log(spark)
 
     def sync(
         self,

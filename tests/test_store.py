@@ -194,6 +194,21 @@ def test_cursor_and_rows_add_up(spark, store):
     )
 
 
+def test_a_long_log_is_few_files(spark, store, monkeypatch):
+    monkeypatch.setattr("footfall.sources.store.LOG_FILES", 4)
+    for number in range(12):
+        store.record(spark, "main", FIRST, 1, number, origin=f"stream#{number}")
+        store.record(spark, "main", FIRST, 1, number, origin=f"stream#{number // 2}")
+    assert len(store.sync_log(spark).inputFiles()) <= 5
+    assert store.sync_log(spark).count() == 12
+    assert rows(sync_state(store.sync_log(spark)), "last_hit_id", "synced_rows") == [(11, 12)]
+    # A fold that fails before the old files go leaves every call twice, and counts it once.
+    monkeypatch.setattr("footfall.sources.store.LOG_FILES", 100)
+    store.sync_log(spark).write.mode("append").parquet(store.log_path)
+    store.record(spark, "main", FIRST, 1, 3, origin="stream#7")
+    assert store.sync_log(spark).count() == 12
+
+
 def test_cursor_never_goes_back(spark, store):
     seen = []
     for cursor in (1657819971, 0, 1, 1657819970, None, 1657900000):
