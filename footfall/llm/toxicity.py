@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -97,8 +99,12 @@ def collected(machine, folded: str) -> float:
             harmless.append((end - length + 1, end))
         else:
             hits.append((end - length + 1, end, weight))
+    # Of the phrases that begin up to a place, how far the farthest reaches.
+    harmless.sort()
+    begins, reach = [a for a, _ in harmless], list(accumulate((b for _, b in harmless), max))
     for start, end, weight in hits:
-        if not any(a <= start and end <= b for a, b in harmless):
+        before = bisect_right(begins, start)
+        if not before or reach[before - 1] < end:
             total += weight
     return total
 

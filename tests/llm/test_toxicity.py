@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from footfall.llm import toxicity
 from footfall.llm.toxicity import Lexicon, collected, features, fold
@@ -104,3 +105,36 @@ def test_nothing_to_learn(make_docs, spark):
         assert lexicon == Lexicon()
         assert [r.predicted for r in toxicity.score(docs, lexicon).collect()] == [0, 0]
     assert toxicity.score(make_docs(), Lexicon({"x": 1.0})).count() == 0
+
+
+def plain(lexicon, folded):
+    """By looking everywhere for everything."""
+    total = 0.0
+    spans = [
+        (k, k + len(p) + 2) for p in lexicon.exceptions for k in range(len(folded)) if folded.startswith(f" {p} ", k)
+    ]
+    for stem, weight in lexicon.weights.items():
+        for k in range(len(folded)):
+            if folded.startswith(f" {stem}", k) and not any(a <= k and k + len(stem) + 1 <= b for a, b in spans):
+                total += weight
+    return total
+
+
+def test_against_a_plain_search():
+    draw = random.Random(6)
+    for _ in range(400):
+        word = lambda: "".join(draw.choice("ab") for _ in range(draw.randint(1, 3)))
+        lexicon = Lexicon(
+            {word() + draw.choice(["", " "]): float(1 << k) for k in range(5)},
+            tuple({" ".join(word() for _ in range(draw.randint(1, 3))) for _ in range(3)}),
+        )
+        text = fold(" ".join(word() for _ in range(draw.randint(0, 30))))
+        assert collected(lexicon.automaton(), text) == plain(lexicon, text)
+
+
+def test_many_hits_and_many_phrases_take_linear_time():
+    lexicon = Lexicon({"bad": 1.0}, ("bad luck",))
+    machine, text = lexicon.automaton(), fold("bad luck bad " * 100_000)
+    began = time.process_time()
+    assert collected(machine, text) == 100_000.0
+    assert time.process_time() - began < 10
