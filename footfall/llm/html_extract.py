@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,8 +27,7 @@ from footfall.llm.common import prepare, written
 
 # Elements whose text is never shown as text, or belongs to a control.
 DROPPED = {
-    "script", "style", "head", "title", "noscript", "template", "iframe", "svg", "math", "object",
-    "select", "option", "textarea", "button", "canvas", "audio", "video", "datalist",
+    "script", "style", "head", "title", "noscript", "template", "iframe", "select", "option", "textarea", "button", "canvas", "audio", "video", "datalist",
 }
 # Their content is not markup; it ends at the end tag.
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript"}
@@ -39,6 +39,10 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em",
     "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "s", "samp", "small", "span",
     "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+    # Formulas, drawings and embedded things stand in a sentence, and so does their text.
+    "math", "semantics", "annotation", "mrow", "mi", "mn", "mo", "ms", "mtext", "mfrac", "msqrt", "mroot",
+    "msub", "msup", "msubsup", "munder", "mover", "munderover", "mfenced", "mstyle", "mpadded",
+    "svg", "g", "text", "tspan", "path", "object",
 }
 # An opening tag of the key ends an open element of the values, up to the fence.
 CLOSES = {
@@ -47,10 +51,10 @@ CLOSES = {
 }
 FENCES = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "blockquote", "nav", "main"}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+TAG = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:_-]*)")
+# Inside a tag: up to its end, or to a value in quotes.
+UNQUOTED = re.compile(r"""[^>=]*(?:=(?!\s*["'])[^>=]*)*""")
+QUOTE = re.compile(r"""=\s*(["'])""")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+")
 
@@ -59,9 +63,9 @@ NOT_CONTENT = {
     "nav", "menu", "navbar", "header", "footer", "sidebar", "aside", "widget", "ad", "ads", "advert",
     "advertisement", "banner", "promo", "sponsor", "sponsored", "notice", "cookie", "consent", "alert",
     "form", "comment", "comments", "reply", "replies", "disqus", "related", "recommended", "share",
-    "social", "breadcrumb", "breadcrumbs", "subscribe", "newsletter", "login", "search", "pagination",
-    "toolbar", "popup", "modal", "legal", "copyright", "masthead", "complementary", "navigation",
-    "contentinfo", "dialog", "tags", "byline", "hidden",
+    "social", "breadcrumb", "breadcrumbs", "subscribe", "newsletter", "login", "pagination",
+    "toolbar", "popup", "modal", "copyright", "masthead", "complementary", "navigation",
+    "contentinfo", "dialog",
 }
 CONTENT = {"article", "main", "content", "post", "entry", "story", "prose"}
 SAYS = 5.0
@@ -84,6 +88,63 @@ class Page:
     runs: list[tuple[int, str]] = field(default_factory=list)
 
 
+def pieces(html: str) -> Iterator[tuple[str, str, str]]:
+    """The text and the tags of a page in order: ("", "", text), ("<" or "</", name in lower
+    case, attributes).
+
+    A value in quotes may hold what would end its tag; a quote that nothing closes is an
+    ordinary character. A tag or comment that the page breaks off in is no text. Elements
+    that are dropped are passed over whole. Every place is looked at a bounded number of
+    times, whatever the page breaks off or leaves open.
+    """
+    at, end = 0, len(html)
+    last = {quote: html.rfind(quote) for quote in "\"'"}
+    endless: set[str] = set()  # dropped elements that nothing closes any more
+    while at < end:
+        start = html.find("<", at)
+        if start < 0:
+            yield "", "", html[at:]
+            return
+        if start > at:
+            yield "", "", html[at:start]
+        at = start + 1
+        if html.startswith("!--", at):
+            stop = html.find("-->", at + 1)
+            at = end if stop < 0 else stop + 3
+            continue
+        if html.startswith(("!", "?"), at):
+            stop = html.find(">", at)
+            at = end if stop < 0 else stop + 1
+            continue
+        found = TAG.match(html, at)
+        if found is None:
+            yield "", "", "<"
+            continue
+        at = inside = found.end()
+        while True:
+            at = UNQUOTED.match(html, at).end()
+            if at >= end:
+                return
+            if html[at] == ">":
+                break
+            opening = QUOTE.match(html, at)
+            at = opening.end()
+            if last[opening[1]] >= at:
+                at = html.index(opening[1], at) + 1
+        tag, attributes = found[2].lower(), html[inside:at]
+        at += 1
+        if tag not in DROPPED:
+            yield "</" if found[1] else "<", tag, attributes
+        elif not found[1] and not attributes.endswith("/"):
+            stop = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            if stop:
+                at = stop.end()
+            else:
+                endless.add(tag)
+                if tag in RAW:
+                    return
+
+
 def parse(html: str) -> Page:
     """A forgiving tree of the block elements.
 
@@ -92,6 +153,7 @@ def parse(html: str) -> Page:
     """
     page = Page()
     stack: list[tuple[str, int]] = []  # open blocks
+    open_tags: Counter[str] = Counter()
     depth_in_link = 0
     parts: list[str] = []
 
@@ -104,6 +166,7 @@ def parse(html: str) -> Page:
         if above >= 0:
             page.children[above] += 1
         stack.append((tag, len(page.tags)))
+        open_tags[tag] += above >= 0
         page.parent.append(above)
         page.tags.append(tag)
         page.names.append(frozenset(names))
@@ -112,6 +175,11 @@ def parse(html: str) -> Page:
         page.marks.append(0)
         page.children.append(0)
 
+    def closed() -> str:
+        tag, _ = stack.pop()
+        open_tags[tag] -= 1
+        return tag
+
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
@@ -129,57 +197,36 @@ def parse(html: str) -> Page:
             page.links[stack[-1][1]] += len(text)
 
     opened(ROOT, "")
-    at, end = 0, len(html)
-    while at < end:
-        found = TOKEN.search(html, at)
-        if found is None:
-            add(html[at:])
-            break
-        if found.start() > at:
-            add(html[at : found.start()])
-        at = found.end()
-        tag = found.group(2)
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if found.group(1):
-            if tag in INLINE:
-                depth_in_link = max(0, depth_in_link - (tag == "a"))
-            elif any(tag == open_tag for open_tag, _ in stack[1:]):
+    for kind, tag, text in pieces(html):
+        if not kind:
+            add(text)
+        elif tag in VOID:
+            if tag in ("br", "hr"):
+                parts.append(" ")
+        elif tag in INLINE:
+            if tag == "a":
+                depth_in_link = depth_in_link + 1 if kind == "<" else max(0, depth_in_link - 1)
+        elif kind == "</":
+            if open_tags[tag]:
                 flush()
-                while stack.pop()[0] != tag:
+                while closed() != tag:
                     pass
                 depth_in_link = 0
-            continue
-        if tag in DROPPED:
-            if found.group(3).endswith("/"):
-                continue
-            closing = re.compile(rf"</{tag}\b[^>]*>", re.I)
-            stop = closing.search(html, at)
-            if stop:
-                at = stop.end()
-            elif tag in RAW:
-                at = end
-            continue
-        if tag in VOID:
-            if tag in ("br", "hr"):
-                parts.append(" ")
-            continue
-        if tag in INLINE:
-            depth_in_link += tag == "a"
-            continue
-        flush()
-        depth_in_link = 0
-        if stack[-1][0] == "p":
-            stack.pop()
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in FENCES:
-                    break
-        opened(tag, found.group(3))
+        else:
+            flush()
+            depth_in_link = 0
+            if stack[-1][0] == "p":
+                closed()
+            ends = CLOSES.get(tag, ())
+            if any(open_tags[name] for name in ends):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in ends:
+                        while len(stack) > k:
+                            closed()
+                        break
+                    if stack[k][0] in FENCES:
+                        break
+            opened(tag, text)
     flush()
     return page
 

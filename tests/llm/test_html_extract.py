@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from itertools import product
 
 import numpy as np
@@ -114,3 +115,36 @@ def test_learning_from_a_table(spark):
     assert h.main_text([html], learned) == [text]
     assert h.learn(pages.where("page_id > 99")) == h.Model(h.prior_weights())
     assert h.learn(pages.where("page_id > 999")) == h.Model(h.prior_weights())
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<p title='x ", '<a "', "<select>", "<x>", "</y><x>", "<li><x>", "<!-- ", "<", "<p title=\"", "<td><i>", "<b =", "=' <q "],
+)
+def test_time_is_linear(unit):
+    began = time.process_time()
+    h.parse("<body><p>text " + unit * 40_000)
+    assert time.process_time() - began < 8
+
+
+def test_quotes_in_tags():
+    text = lambda html: [run for _, run in h.parse(html).runs]
+    assert text("<p title='a > b'>one</p><p class=x>two") == ["one", "two"]
+    assert text('<p "odd>one</p><p title="never closed>two</p>') == ["one", "two"]
+    assert text("a < b and <3 <p>c") == ["a < b and <3", "c"]
+    assert text("<p>one<!-- <p>two --> three<p tit") == ["one three"]
+    assert text("<P CLASS = 'x'\n>one</P ><br/>two") == ["one", "two"]
+
+
+def test_formulas_and_embedded_text_stay(model):
+    draw = random.Random(8)
+    sentence = (
+        "<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> here, "
+        "<object data='x'>a fallback</object> and <svg><text>a label</text></svg> and more words.</p>"
+        "<p class='legal'>This paragraph names a law, and belongs to the article.</p>"
+    )
+    html, text = page(draw, extra=sentence)
+    assert h.main_text([html], model) == [
+        f"{text} Energy is E=mc2 here, a fallback and a label and more words. This paragraph names a law, and belongs "
+        "to the article."
+    ]
