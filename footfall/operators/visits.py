@@ -14,6 +14,9 @@ from footfall.schema import ENTRY_FIELDS, VISIT_ID, VISITS
 RECENT_LIMIT = 500
 LIST_LIMIT = 25
 
+# Ids that are few enough to be sent to every task.
+FEW = 10_000
+
 # Columns of the recent list; it leaves the referrer scheme out.
 RECENT_COLUMNS = [name for name in VISITS.fieldNames() if name != "referrer_scheme"]
 
@@ -79,7 +82,8 @@ def newest_visits(
 
     First every visit is reduced to when it began and its class, and the newest ``limit``
     are taken; then only the hits of these are read with all they hold. Their ids are at
-    most ``limit`` rows, so they may be broadcast.
+    most ``limit`` rows; up to ``FEW`` of them are broadcast, more are joined as Spark sees
+    fit.
     """
     began = hits.groupBy(*VISIT_ID).agg(F.min("created_at").alias("first_seen"), F.max("bot").alias("bot"))
     began = began if include_bots else human(began)
@@ -88,7 +92,7 @@ def newest_visits(
         return newest(rows if include_bots else human(rows), None)
     wanted = newest(began, limit).select(*[F.col(name).alias(f"of_{name}") for name in VISIT_ID])
     same = [hits[name].eqNullSafe(wanted[f"of_{name}"]) for name in VISIT_ID]
-    chosen = hits.join(F.broadcast(wanted), same[0] & same[1], "left_semi")
+    chosen = hits.join(F.broadcast(wanted) if limit <= FEW else wanted, same[0] & same[1], "left_semi")
     return newest(visits(chosen, entry=entry), limit)
 
 
