@@ -102,19 +102,19 @@ def read_export(
     if header is not None:
         Header.parse(header)
     headers = _headers(spark, paths)
-    summary = headers.agg(F.count_distinct("line").alias("kinds"), F.min("line").alias("line"), F.min("problem").alias("problem")).first()
+    summary = headers.agg(F.min("line").alias("line"), F.max("line").alias("last"), F.min("problem").alias("problem")).first()
     if summary.problem is not None:
         # The line that the problem was found in says again what it is.
         Header.parse(summary.problem)
     if header is not None and not headers.where(F.col("line") != header).isEmpty():
         raise ExportError("a file does not have the header it was said to have")
-    if not summary.kinds:
+    if summary.line is None:
         return empty(spark, HITS)
     rows = records.records(spark, paths)
-    if summary.kinds == 1:
+    if summary.line == summary.last:
         return _to_hits(rows, F.array(*map(F.lit, Header.parse(summary.line).places())), site, key_mode)
     # Files differ: each record learns where its file has the columns.
-    known = headers.select(F.col("file").alias("of_file"), "places")
+    known = written(headers.select(F.col("file").alias("of_file"), "places"), "export-places")
     return _to_hits(rows.join(known, rows["file"] == known["of_file"]), F.col("places"), site, key_mode)
 
 
@@ -142,8 +142,9 @@ def _headers(spark: SparkSession, paths: list[str]) -> DataFrame:
                 ["file", "line", "places", "problem"],
             )
 
+    # One row per file.
     firsts = records.first_records(spark, paths)
-    return written(firsts.mapInArrow(parsed, "file string, line string, places array<int>, problem string"), "export-places")
+    return firsts.mapInArrow(parsed, "file string, line string, places array<int>, problem string")
 
 
 def _cells(record: Column) -> Column:
