@@ -159,8 +159,7 @@ def op5_token_matrices(spark: SparkSession, folder: str) -> DataFrame:
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document judged; trusted documents are those labelled with quality 1."""
     docs = _table(spark, folder, "documents")
-    ratio = quality.fit(docs, _table(spark, folder, "labels"))
-    return quality.judge(docs, ratio).drop("mean_ratio")
+    return quality.fit_and_judge(docs, _table(spark, folder, "labels")).drop("mean_ratio")
 
 
 def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -111,6 +111,38 @@ def test_repeated_ids_are_rated_once(make_docs, spark, monkeypatch):
     assert sorted(q for _, q in seen) == [0] * 32 + [1] * 20
 
 
+def test_the_threshold_takes_all_labelled_documents(make_docs, spark):
+    # Of 10,200 poor documents the 200 of which a bound of 10,000 would leave out look like some good ones.
+    ids = spark.range(10_200).orderBy(F.xxhash64("id"), "id").collect()
+    rows = [(r.id, "bad stuff") for r in ids[:10_000]] + [(r.id, "mixed bag") for r in ids[10_000:]]
+    rows += [(20_000 + k, "mixed bag") for k in range(5)] + [(30_000 + k, "fine words") for k in range(50)]
+    labels = [(d, int(d >= 20_000)) for d, _ in rows]
+    docs, labels = make_docs(*rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    ratio = quality.fit(docs, labels, buckets=1024)
+    mean = {r.doc_id: r.mean_ratio for r in quality.judge(docs, ratio).collect()}
+    assert mean[20_000] < ratio.threshold <= mean[30_000]
+    assert quality.fit(docs, labels, buckets=1024, trusted_rows=20_000, poor_rows=10_000).threshold <= mean[20_000]
+
+
+def test_threshold_over_tables(spark):
+    draw = random.Random(3)
+    for size, spread, cost in [(0, 1, 20), (1, 5, 20), (30, 4, 1), (400, 30_000, 2), (400, 90, 20), (300, 10**7, 1)]:
+        rated = [(draw.randint(-spread, spread), int(draw.random() < 0.4)) for _ in range(size)]
+        rated = [(mean + spread * quality_ // 2, quality_) for mean, quality_ in rated]
+        frame = spark.createDataFrame(rated, "mean long, quality int")
+        assert quality.threshold(frame, cost) == quality._threshold(sorted(rated), cost)
+
+
+def test_fit_and_judge_at_once(make_docs, spark, rows_of):
+    rows, labels = corpus()
+    docs = make_docs(*rows, *EDGES, rows[5], rows[5])
+    for known in (labels + [(7, 0), (None, 1)], [(k, 0) for k, _ in labels], []):
+        labelled = spark.createDataFrame(known, "doc_id long, quality int")
+        want = quality.judge(docs, quality.fit(docs, labelled, buckets=64))
+        got = quality.fit_and_judge(docs, labelled, buckets=64)
+        assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
+
+
 def test_edges_and_no_labels(make_docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     ratio = quality.fit(make_docs(*EDGES), none, buckets=16)
