@@ -87,9 +87,19 @@ def _local_root() -> str:
     return tempfile.mkdtemp(prefix="footfall-")
 
 
+# Shuffles of a query are removed when it ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame as a table in the shared folder, read again: lineage ends here, and a
-    lost executor costs no more than the tasks it ran."""
-    folder = shared_folder(frame.sparkSession, purpose)
-    frame.write.parquet(folder)
-    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+    lost executor costs no more than the tasks it ran. What was shuffled for it goes at once."""
+    spark = frame.sparkSession
+    folder = shared_folder(spark, purpose)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(folder)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(folder)
