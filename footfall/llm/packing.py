@@ -10,6 +10,7 @@ cut falls into leaves one record per piece.
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -29,13 +30,17 @@ REMEMBERED_STEMS = 300_000
 # Characters besides the blank that end a word for every step of the tokenizer, and that no
 # step joins to what stands beside them: what lies between two of them is encoded by itself.
 BLANKS = "\t\n\r\x0b\x0c"
-# Marks that the tokenizer keeps apart from a letter before them.
-CLOSING = ".,!"
+# Marks that the tokenizer keeps apart from a letter before them, together.
+CLOSING = string.punctuation
+# The last character of which lower case and composed form are taken as known.
+LATIN = "\u00ff"
 # How the vocabulary marks a token that ends a word.
 WORD_END = "</w>"
-# Words that are encoded together, and texts.
+# Words that are encoded together, texts that are handed over, and texts whose words are
+# looked up together: few, so that what was found is still near when they are joined.
 TOGETHER = 1000
 TEXTS = 100
+NEAR = 10
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -61,6 +66,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         # The library looks for their strings in the text as it was before lower-casing.
@@ -69,6 +75,12 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.model = self.tokenizer.model
+        self.packed = [number.to_bytes(4, "little") for number in range(len(self.ends))]
+        # Bytes as the model writes them.
+        shown = sorted(ByteLevel.alphabet())  # a byte's own character, or one above them
+        moved = sorted(set(range(256)).difference(map(ord, shown)))
+        self.symbols = dict(zip(moved, shown[256 - len(moved) :]))
         self.known: dict[str, bytes] = {"": b""}
         self.aged: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
@@ -76,13 +88,28 @@ class WordEncoder:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def _direct(self, part: str) -> bytes:
+        """By the merges alone: letters up to U+00FF are one word, whatever the steps before."""
+        if part.isascii():
+            symbols = part.lower()
+        else:
+            symbols = part.lower().encode().decode("latin-1").translate(self.symbols)
+        return b"".join([self.packed[token.id] for token in self.model.tokenize(symbols)])
+
     def _learn_stems(self, parts: set[str]) -> None:
-        """Words of letters only are single words for the tokenizer, too, and each ends with
-        the one token that is marked so: many are encoded together. Others go one by one."""
+        """Words of letters only are single words for the tokenizer, too. Its model takes those
+        of the first letters of Unicode as they are; of others, each ends with the one token
+        that is marked so, and many are encoded together. What is left goes one by one."""
         stems = self.stems
         plain = [part for part in parts if _letters_only(part)]
-        for k in range(0, len(plain), TOGETHER):
-            some = plain[k : k + TOGETHER]
+        others = []
+        for part in plain:
+            if part.isascii() or max(part) <= LATIN:
+                stems[part] = self._direct(part)
+            else:
+                others.append(part)
+        for k in range(0, len(others), TOGETHER):
+            some = others[k : k + TOGETHER]
             ids = self._encode(" ".join(some))
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
@@ -124,23 +151,22 @@ class WordEncoder:
         return found
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
-        known, rows, gaps = self.known.get, [], []
-        missing: set[str] = set()
+        return [ids for k in range(0, len(texts), NEAR) for ids in self._encode_near(texts[k : k + NEAR])]
+
+    def _encode_near(self, texts: list[str]) -> list[bytes]:
+        rows = []
         for text in texts:
             for blank in BLANKS:
                 text = text.replace(blank, " ")
-            words = text.split(" ")
-            ids = list(map(known, words))
-            rows.append(ids)
-            if None in ids:
-                unknown = [(ids, place, words[place]) for place, found in enumerate(ids) if found is None]
-                missing.update([word for *_, word in unknown])
-                gaps += unknown
+            rows.append(text.split(" "))
+        # What is remembered is large and slow to look into: once for each different word.
+        words = list(set().union(*rows))
+        found = dict(zip(words, map(self.known.get, words)))
+        missing = {word for word, ids in found.items() if ids is None}
         if missing:
-            learned = self._learn(missing)
-            for ids, place, word in gaps:
-                ids[place] = learned[word]
-        return [b"".join(ids) for ids in rows]
+            found.update(self._learn(missing))
+        ids = found.__getitem__
+        return [b"".join(map(ids, row)) for row in rows]
 
 
 _LOADED: dict[str, WordEncoder] = {}

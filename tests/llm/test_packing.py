@@ -81,3 +81,15 @@ def test_repeated_and_missing_ids_and_no_rows(make_docs):
     assert sorted((p.doc_id or -1, p.start, p.sequence_id) for p in pieces) == [(-1, 0, 0), (7, 0, 0), (7, 0, 0)]
     assert len({p.offset for p in pieces}) == 3
     assert packing.pack(make_docs(), PATH).count() == 0
+
+
+def test_words_of_letters_take_no_call_of_the_library(monkeypatch):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("aeinrstéñßöÄÉª") for _ in range(draw.randint(1, 14))) for _ in range(3000)]
+    texts = [" ".join(w + draw.choice(["", ",", "$$$", "'s", "!?'", "<|>", "***."]) for w in words[k::30]) for k in range(30)]
+    encoder, calls = packing.WordEncoder(PATH), []
+    want = [encoder._encode(text).tobytes() for text in texts]
+    monkeypatch.setattr(encoder, "_encode", lambda text, encode=encoder._encode: calls.append(text) or encode(text))
+    assert encoder.encode_packed(texts) == want
+    # Closing marks, and words that do not end with letters and marks only.
+    assert all(not c.isalpha() for c in calls) and all("'" in c for c in calls if any(map(str.isalpha, c)))
