@@ -72,6 +72,7 @@ class WordEncoder:
         # The library looks for their strings in the text as it was before lower-casing.
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.I)
+        self.lettered = any(map(str.isalpha, special))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -126,7 +127,11 @@ class WordEncoder:
         aged = self.aged
         found = {word: aged[word] for word in words if word in aged}
         parts: dict[str, tuple[str, str]] = {}
+        direct = self._direct
         for word in words.difference(found):
+            if word.isalpha() and (word.isascii() or max(word) <= LATIN) and not self.lettered:
+                found[word] = direct(word)  # seldom met as a stem again: not worth the memory
+                continue
             stem = word.rstrip(CLOSING)
             last = stem[-1:]
             if not last.isascii():
