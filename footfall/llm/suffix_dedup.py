@@ -59,6 +59,19 @@ def _scales(count: int) -> tuple[np.ndarray, np.ndarray]:
     return _SCALES[size]
 
 
+def in_order(first: np.ndarray, *rest: np.ndarray) -> np.ndarray:
+    """The order by ``first``, then ``rest``, as np.lexsort gives it. The stable sort only
+    merges where ``first`` consists of sorted runs; what follows it decides among equals."""
+    order = np.argsort(first, kind="stable")
+    key = first[order]
+    equal = np.zeros(len(key) + 1, dtype=bool)
+    equal[1:-1] = key[1:] == key[:-1]
+    tied = np.flatnonzero(equal[1:] | equal[:-1])
+    some = order[tied]
+    order[tied] = some[np.lexsort([column[some] for column in (*reversed(rest), first)])]
+    return order
+
+
 # Batches of documents ---------------------------------------------------------------
 
 
@@ -129,7 +142,7 @@ class Anchors:
         else:
             anchor = windows = np.zeros(0, np.uint64)
             self.first = self.last = self.doc = np.zeros(0, np.int64)
-        order = np.lexsort((self.doc, windows, anchor))
+        order = in_order(anchor, windows, self.doc)
         anchor, windows = anchor[order], windows[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1])
@@ -269,7 +282,7 @@ class Family:
 
     def _merge(self, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         both = [np.concatenate(pair) for pair in zip(a, b)]
-        order = np.lexsort((both[2], both[1], both[0]))
+        order = in_order(*both[:3])
         one, two, ids, number, place = (column[order] for column in both)
         new = np.ones(len(one), dtype=bool)
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])

@@ -107,3 +107,11 @@ def test_rows_keep_their_columns(make_docs, rows_of, spark):
     )
     cut = pa.record_batch([pa.array([1]), pa.array(["x"]), pa.array(["aé".encode()[:2]])], ["a", "b", "c"])
     assert next(s._as_text(iter([cut]))).column(2).to_pylist() == ["a"]
+
+
+def test_order_is_that_of_lexsort():
+    draw = np.random.default_rng(4)
+    for size, values in [(0, 3), (1, 3), (500, 4), (500, 400), (2000, 10**9)]:
+        one, two, ids = draw.integers(0, values, (3, size)).astype(np.uint64)
+        for part in (one, np.concatenate([np.sort(one[: size // 2]), np.sort(one[size // 2 :])])):
+            assert (s.in_order(part, two, ids) == np.lexsort((ids, two, part))).all()
